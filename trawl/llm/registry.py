@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trawl.llm import ring
+from trawl.llm import byte_bpe, ring, token_counts
 
-MODULES = (ring,)
+MODULES = (ring, token_counts, byte_bpe)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
