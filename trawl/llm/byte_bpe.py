@@ -23,34 +23,64 @@ from pyspark.sql import types as T
 
 from trawl.llm.shared import table
 from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, vocabulary_path
-from trawl.llm.word_chunks import by_chunk, distinct_words, send_back, split_words
+from trawl.llm.word_chunks import Step, by_chunk, distinct_words, sender, split_words
 
-RANK_BUCKETS = 1 << 15
+SLOT_BITS, BUCKET_BITS = 17, 14
 #: Longest word, in bytes, that is folded by higher-order functions.
 FOLD_BYTES = 512
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one foldable literal: buckets by hash, each with its pieces and ranks."""
+def rank_table(ranks: dict[bytes, int]) -> tuple[list[int], dict[int, bytes]]:
+    """A perfect hash of the pieces: the shift of each bucket, and the piece in each slot."""
     import xxhash
 
-    buckets: list[dict] = [{"k": [], "v": []} for _ in range(RANK_BUCKETS)]
-    for piece, rank in ranks.items():
-        b = buckets[xxhash.xxh64_intdigest(piece, 42) % RANK_BUCKETS]
-        b["k"].append(base64.b64encode(piece).decode())
-        b["v"].append(rank)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<k:array<binary>,v:array<int>>>")
+    buckets: dict[int, list[tuple[int, int, bytes]]] = {}
+    for piece in ranks:
+        h = xxhash.xxh64_intdigest(piece, 42)
+        buckets.setdefault(h & ((1 << BUCKET_BITS) - 1), []).append(((h >> 20) & 0xFFFFF, (h >> 42) & 0x3FFFF | 1, piece))
+    shifts, slots = [0] * (1 << BUCKET_BITS), {}
+    for bucket, own in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+        for shift in range(1 << 12):
+            at = {(a + shift * b) & ((1 << SLOT_BITS) - 1) for a, b, _ in own}
+            if len(at) == len(own) and not at & slots.keys():
+                break
+        else:
+            raise ValueError("no shift keeps a bucket's pieces apart")
+        shifts[bucket] = shift
+        slots |= {(a + shift * b) & ((1 << SLOT_BITS) - 1): p for a, b, p in own}
+    return shifts, slots
+
+
+def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The rank map as two foldable literals: shifts of buckets, and (piece, rank) by slot."""
+    shifts, slots = rank_table(ranks)
+    rows = [{"k": base64.b64encode(slots[i]).decode(), "v": ranks[slots[i]]} if i in slots else None for i in range(1 << SLOT_BITS)]
+    as_json = [F.lit(json.dumps(x, separators=(",", ":"))) for x in (shifts, rows)]
+    return F.from_json(as_json[0], "array<int>"), F.from_json(as_json[1], "array<struct<k:binary,v:int>>")
+
+
+def fold_merges(word: Column, ranks: tuple[Column, Column]) -> Column:
+    """Ids of a binary ``word`` as array<int>."""
 
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """A lambda's variable is evaluated once, however often its body names it."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """Ids of a binary ``word`` as array<int>."""
+    shifts, slots = ranks
+
+    def bits(h: Column, start: int, n: int) -> Column:
+        return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << n) - 1))
 
     def rank(piece: Column) -> Column:
-        b = F.get(ranks, F.xxhash64(piece).bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int"))
-        return F.coalesce(F.get(b["v"], (F.array_position(b["k"], piece) - 1).cast("int")), F.lit(NO_RANK))
+        def slot(h: Column) -> Column:
+            shift = F.get(shifts, bits(h, 0, BUCKET_BITS).cast("int"))
+            return (bits(h, 20, 20) + shift * bits(h, 42, 18).bitwiseOR(F.lit(1))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
 
-    def let(value: Column, body: Callable[[Column], Column]) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+        def found(p: Column) -> Column:
+            entry = let(F.xxhash64(p), lambda h: F.get(slots, slot(h)))
+            return let(entry, lambda e: F.when(e["k"] == p, e["v"]).otherwise(F.lit(NO_RANK)))
+
+        return let(piece, found)
 
     def byte(i: Column) -> Column:
         return F.call_function("substring", word, i, F.lit(1))
@@ -61,37 +91,37 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     start = F.struct(pieces.alias("p"), pairs.alias("r"))
 
     def merge(acc: Column, _: Column) -> Column:
-        p, r, best = acc["p"], acc["r"], F.array_min(acc["r"])
+        p, r = acc["p"], acc["r"]
 
         def joined(at: Column, new: Column) -> Column:
             left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), new)))).otherwise(none)
             right = F.when(at < F.size(r), F.array(rank(F.concat(new, F.get(p, at + 1))))).otherwise(none)
             kept = F.when(at > 2, F.slice(r, F.lit(1), at - 2)).otherwise(none)
-            rest = F.slice(r, at + 2, F.size(r))
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(kept, left, right, rest).alias("r"),
+                F.concat(kept, left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
             )
 
-        step = let(F.array_position(r, best).cast("int"), lambda at: let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda new: joined(at, new)))
-        return F.when(best < NO_RANK, step).otherwise(acc)
+        def step(best: Column) -> Column:
+            one = let(F.array_position(r, best).cast("int"), lambda at: let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda new: joined(at, new)))
+            return F.when(best < NO_RANK, one).otherwise(acc)
+
+        return let(F.array_min(r), step)
 
     folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge)["p"]
     whole = rank(word)
     return F.when(whole < NO_RANK, F.array(whole)).otherwise(F.transform(folded, rank))
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds ``ids`` array<int> to rows with a binary, non-empty ``word``."""
-    short = words.where(F.octet_length("word") <= FOLD_BYTES).withColumn("ids", fold_merges(F.col("word"), rank_literal(ranks)))
+def _merge_long(ranks: dict[bytes, int]) -> Step:
+    """The step that adds ``ids`` to rows (word, places): those of words too long to fold, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([merge_by_rank(w, ranks) if len(w) > FOLD_BYTES else None for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+            ids = pa.array([merge_by_rank(w, ranks) if len(w) > FOLD_BYTES else None for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["word", "places", "ids"])
 
-    long = words.where(F.octet_length("word") > FOLD_BYTES).mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return short.unionByName(long)
+    return run
 
 
 def _splitter(pattern: str) -> Callable[[], Callable[[str], list[str]]]:
@@ -113,8 +143,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranks = read_ranks(vocabulary or vocabulary_path("byte_bpe_50k.tiktoken"))
     id_type = docs.schema[id_col].dataType
     chunks = split_words(docs, id_col, text_col, _splitter(pattern or split_pattern()), frequencies=False, tag="bpe")
-    words = distinct_words(chunks)
-    back = send_back(encode_words(words, ranks), "ids", id_type)
+    words = distinct_words(chunks, _merge_long(ranks), "word binary, places binary, ids array<int>")
+    encoded = words.select("places", F.coalesce("ids", fold_merges(F.col("word"), rank_literal(ranks))).alias("ids"))
+    send, sent = sender(id_type)
+    back = encoded.mapInArrow(send, sent)
     fields = [T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * keep_ids
     from pyspark.sql.pandas.types import to_arrow_schema

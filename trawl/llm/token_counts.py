@@ -6,6 +6,7 @@ a distinct pre-token is its number of pieces, and a document's count is their pr
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from trawl.llm.shared import table
 from trawl.llm.vocab import split_pattern, vocabulary_path
-from trawl.llm.word_chunks import by_chunk, distinct_words, send_back, split_words
+from trawl.llm.word_chunks import Step, by_chunk, distinct_words, sender, split_words
 
 #: Characters whose classes are the same in the pattern library and in the tokenizer library,
 #: whatever their Unicode versions. Texts with any other go through the tokenizer's own splitter.
@@ -51,10 +52,11 @@ def _splitter(path: str, pattern: str) -> Callable[[], Callable[[str], list[str]
     return make
 
 
-def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """Adds ``pieces`` array<int> of one count to rows (word, places), each word being met once."""
+def _count_pieces(path: str) -> Step:
+    """The step from rows (word, places) to (places, pieces): the number of pieces, each word being met once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -64,7 +66,7 @@ def count_pieces(words: DataFrame, path: str) -> DataFrame:
             counts = [1 if t in specials else len(e.ids) for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([[c] for c in counts], pa.list_(pa.int32()))], names=["places", "pieces"])
 
-    return words.mapInArrow(run, "places binary, pieces array<int>")
+    return run
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -76,7 +78,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     chunks = split_words(docs, id_col, text_col, _splitter(path, pattern or split_pattern()), frequencies=True, tag="count")
     id_type = docs.schema[id_col].dataType
-    back = send_back(count_pieces(distinct_words(chunks), path), "pieces", id_type)
+    count, (send, sent) = _count_pieces(path), sender(id_type)
+    back = distinct_words(chunks, lambda batches: send(count(batches)), sent)
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_type
 

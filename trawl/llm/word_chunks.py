@@ -16,6 +16,7 @@ Chunks are bounded in words, buckets by the session's shuffle width.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from trawl.llm.shared import materialise, width
 
 #: A chunk ends when it has so many words, or distinct words.
-CHUNK_WORDS, CHUNK_DISTINCT = 8_000_000, 500_000
+CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 250_000
 #: Documents in a packed row, and words after which it is full.
 PACK_DOCS, PACK_WORDS = 2_000, 500_000
 #: Buckets for each shuffle partition, so that hashed buckets lie evenly.
@@ -101,7 +102,7 @@ def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[
             lens = np.array([len(x) for x in lists], np.uint32)
             flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
             times = np.concatenate(counts) if frequencies else np.zeros(0, np.uint32)
-            out = row(kind=1, n=len(pack), m=len(flat), blob=squeeze(np.array(sizes, np.uint64), lens, flat.astype(np.uint32), times.astype(np.uint32)), ids=list(ids))
+            out = row(kind=1, n=len(pack), m=len(flat), blob=squeeze(np.array(sizes, np.uint64), lens, flat.astype(np.uint32), times), ids=list(ids))
             pack, packed = [], 0
             return out
 
@@ -124,12 +125,14 @@ def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 found = split(text)
-                mine = np.fromiter([numbers.setdefault(w, len(numbers)) for w in found], np.uint32, len(found))
+                in_chunk += len(found)
                 times = None
                 if frequencies:
-                    mine, times = np.unique(mine, return_counts=True)
+                    found = Counter(found)
+                    times = np.fromiter(found.values(), np.uint32, len(found))
+                mine = np.fromiter([numbers.setdefault(w, len(numbers)) for w in found], np.uint32, len(found))
                 pack.append((doc, len(text.encode("utf-8", "surrogatepass")), mine, times))
-                packed, in_chunk = packed + len(mine), in_chunk + len(found)
+                packed += len(mine)
                 if packed >= PACK_WORDS or len(pack) >= PACK_DOCS:
                     yield full_pack()
                 if in_chunk >= CHUNK_WORDS or len(numbers) >= CHUNK_DISTINCT:
@@ -140,8 +143,14 @@ def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[
     return materialise(docs.select(id_col, text_col).mapInArrow(run, schema), tag, codec="none")
 
 
-def distinct_words(chunks: DataFrame) -> DataFrame:
-    """One row per distinct word of all chunks: word, and places (chunk ids, then numbers, packed)."""
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def distinct_words(chunks: DataFrame, then: Step | None = None, schema: T.StructType | str = "word binary, places binary") -> DataFrame:
+    """One row per distinct word of all chunks: word, and places (chunk ids, then numbers, packed).
+
+    ``then`` goes on with these rows in the same Python process and gives rows of ``schema``.
+    """
     spark = chunks.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +185,15 @@ def distinct_words(chunks: DataFrame) -> DataFrame:
 
     words = chunks.where("kind = 0").select("bucket", "chunk", "n", "blob")
     dealt = words.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "word binary, places binary")
+    return dealt.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 #: Word places that a task gathers before it sends them on.
 SEND_PLACES = 400_000
 
 
-def send_back(words: DataFrame, value: str, id_type: T.DataType) -> DataFrame:
-    """(places, ``value`` array<int>) of words to rows of kind 0, one per chunk and load: numbers, lengths, values."""
+def sender(id_type: T.DataType) -> tuple[Step, T.StructType]:
+    """The step from rows (places, array<int>) of words to rows of kind 0, one per chunk and load: numbers, lengths, values."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = _schema(id_type)
@@ -218,7 +227,7 @@ def send_back(words: DataFrame, value: str, id_type: T.DataType) -> DataFrame:
         if n:
             yield from out()
 
-    return words.select("places", value).mapInArrow(run, schema)
+    return run, schema
 
 
 def _gather(held: list[tuple]) -> tuple[np.ndarray, ...]:
