@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -37,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def struct(**types: str) -> T.StructType:
+    """A schema from names and simple types (integer, long, double, boolean, string, binary)."""
+    out = T.StructType()
+    for name, kind in types.items():
+        out.add(name, kind)
+    return out
+
+
 def width(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
