@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trawl.llm import byte_bpe, ring, tiff, token_counts
+from trawl.llm import byte_bpe, ring, simhash, tiff, token_counts
 
-MODULES = (ring, token_counts, byte_bpe, tiff)
+MODULES = (ring, token_counts, byte_bpe, tiff, simhash)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
