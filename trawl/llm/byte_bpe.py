@@ -2,10 +2,10 @@
 
 Distinct pre-tokens meet once. Spark's higher-order functions start from the array of a
 word's bytes and fold over it: each step joins the leftmost pair of lowest rank and looks
-up only the two new pairs. The rank map is a literal in the plan, hashed into buckets,
-because a lookup in a map literal is a scan. Words beyond ``FOLD_BYTES`` bytes would fold in
-quadratic time; these are merged with a heap instead, with the same result.
-Decoding concatenates the binary pieces of the ids.
+up only the two new pairs. The rank map is a literal in the plan, laid out as a perfect
+hash of pairs of ids, because a lookup in a map literal is a scan. Words beyond
+``FOLD_BYTES`` bytes would fold in quadratic time; these are merged with a heap instead,
+with the same result. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,103 +23,118 @@ from pyspark.sql import types as T
 
 from trawl.llm.shared import table
 from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, vocabulary_path
-from trawl.llm.word_chunks import Step, by_chunk, distinct_words, sender, split_words
+from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
-SLOT_BITS, BUCKET_BITS = 17, 14
+SLOT_BITS, BUCKET_BITS, ID_BITS = 18, 15, 24
 #: Longest word, in bytes, that is folded by higher-order functions.
 FOLD_BYTES = 512
 
 
-def rank_table(ranks: dict[bytes, int]) -> tuple[list[int], dict[int, bytes]]:
-    """A perfect hash of the pieces: the shift of each bucket, and the piece in each slot."""
+def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The rank of what two neighbouring pieces join to, by their ids, for all splits of all pieces."""
+    out = {}
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                out[a, b] = rank
+    return out
+
+
+def perfect_hash(keys: list[int]) -> tuple[list[int], dict[int, int]]:
+    """A slot for each key without collisions: the shift of each bucket, and the key in each slot."""
     import xxhash
 
-    buckets: dict[int, list[tuple[int, int, bytes]]] = {}
-    for piece in ranks:
-        h = xxhash.xxh64_intdigest(piece, 42)
-        buckets.setdefault(h & ((1 << BUCKET_BITS) - 1), []).append(((h >> 20) & 0xFFFFF, (h >> 42) & 0x3FFFF | 1, piece))
-    shifts, slots = [0] * (1 << BUCKET_BITS), {}
+    buckets: dict[int, list[tuple[int, int, int]]] = {}
+    for key in keys:
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
+        buckets.setdefault(h & ((1 << BUCKET_BITS) - 1), []).append((h >> 20 & 0xFFFFF, h >> 42 & 0x3FFFF | 1, key))
+    shifts, slots, mask = [0] * (1 << BUCKET_BITS), {}, (1 << SLOT_BITS) - 1
     for bucket, own in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
         for shift in range(1 << 12):
-            at = {(a + shift * b) & ((1 << SLOT_BITS) - 1) for a, b, _ in own}
+            at = {a + shift * b & mask for a, b, _ in own}
             if len(at) == len(own) and not at & slots.keys():
                 break
         else:
-            raise ValueError("no shift keeps a bucket's pieces apart")
+            raise ValueError("no shift keeps a bucket's keys apart")
         shifts[bucket] = shift
-        slots |= {(a + shift * b) & ((1 << SLOT_BITS) - 1): p for a, b, p in own}
+        slots |= {a + shift * b & mask: key for a, b, key in own}
     return shifts, slots
 
 
-def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, Column]:
-    """The rank map as two foldable literals: shifts of buckets, and (piece, rank) by slot."""
-    shifts, slots = rank_table(ranks)
-    rows = [{"k": base64.b64encode(slots[i]).decode(), "v": ranks[slots[i]]} if i in slots else None for i in range(1 << SLOT_BITS)]
-    as_json = [F.lit(json.dumps(x, separators=(",", ":"))) for x in (shifts, rows)]
-    return F.from_json(as_json[0], "array<int>"), F.from_json(as_json[1], "array<struct<k:binary,v:int>>")
+class RankLiterals:
+    """The rank map as foldable literals: ids of bytes, ranks of byte pairs, and the hash of all pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        def literal(values: Iterable[int | None], kind: str) -> Column:
+            return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), f"array<{kind}>")
 
+        pairs = pair_ranks(ranks)
+        shifts, slots = perfect_hash([a << ID_BITS | b for a, b in pairs])
+        by_key = {a << ID_BITS | b: rank for (a, b), rank in pairs.items()}
+        self.byte_ids = literal((ranks.get(bytes((i,))) for i in range(256)), "int")
+        self.byte_pairs = literal((ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)), "int")
+        self.shifts = literal(shifts, "int")
+        self.keys = literal((slots.get(i) for i in range(1 << SLOT_BITS)), "bigint")
+        self.values = literal((by_key[slots[i]] if i in slots else None for i in range(1 << SLOT_BITS)), "int")
 
-def fold_merges(word: Column, ranks: tuple[Column, Column]) -> Column:
-    """Ids of a binary ``word`` as array<int>."""
+
+def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
+    """Ids, array<int>, of a word of two bytes or more, given as ``raw``, the array<int> of its bytes."""
 
     def let(value: Column, body: Callable[[Column], Column]) -> Column:
         """A lambda's variable is evaluated once, however often its body names it."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    shifts, slots = ranks
-
     def bits(h: Column, start: int, n: int) -> Column:
         return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << n) - 1))
 
-    def rank(piece: Column) -> Column:
+    def rank(a: Column, b: Column) -> Column:
         def slot(h: Column) -> Column:
-            shift = F.get(shifts, bits(h, 0, BUCKET_BITS).cast("int"))
+            shift = F.get(ranks.shifts, bits(h, 0, BUCKET_BITS).cast("int"))
             return (bits(h, 20, 20) + shift * bits(h, 42, 18).bitwiseOR(F.lit(1))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
 
-        def found(p: Column) -> Column:
-            entry = let(F.xxhash64(p), lambda h: F.get(slots, slot(h)))
-            return let(entry, lambda e: F.when(e["k"] == p, e["v"]).otherwise(F.lit(NO_RANK)))
-
-        return let(piece, found)
+        def found(key: Column) -> Column:
+            return let(let(F.xxhash64(key), slot), lambda i: F.when(F.get(ranks.keys, i) == key, F.get(ranks.values, i)).otherwise(F.lit(NO_RANK)))
 
-    def byte(i: Column) -> Column:
-        return F.call_function("substring", word, i, F.lit(1))
+        return let(F.shiftleft(a.cast("long"), ID_BITS).bitwiseOR(b.cast("long")), found)
 
     none = F.array().cast("array<int>")
-    pieces = F.transform(F.sequence(F.lit(1), F.octet_length(word)), byte)
-    pairs = F.transform(F.sequence(F.lit(1), F.octet_length(word) - 1), lambda i: rank(F.call_function("substring", word, i, F.lit(2))))
+    pieces = F.transform(raw, lambda b: F.get(ranks.byte_ids, b))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(raw) - 2), lambda i: F.coalesce(F.get(ranks.byte_pairs, F.get(raw, i) * 256 + F.get(raw, i + 1)), F.lit(NO_RANK)))
     start = F.struct(pieces.alias("p"), pairs.alias("r"))
 
     def merge(acc: Column, _: Column) -> Column:
         p, r = acc["p"], acc["r"]
 
         def joined(at: Column, new: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), new)))).otherwise(none)
-            right = F.when(at < F.size(r), F.array(rank(F.concat(new, F.get(p, at + 1))))).otherwise(none)
+            left = F.when(at > 1, F.array(rank(F.get(p, at - 2), new))).otherwise(none)
+            right = F.when(at < F.size(r), F.array(rank(new, F.get(p, at + 1)))).otherwise(none)
             kept = F.when(at > 2, F.slice(r, F.lit(1), at - 2)).otherwise(none)
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
                 F.concat(kept, left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
             )
 
-        def step(best: Column) -> Column:
-            one = let(F.array_position(r, best).cast("int"), lambda at: let(F.concat(F.get(p, at - 1), F.get(p, at)), lambda new: joined(at, new)))
-            return F.when(best < NO_RANK, one).otherwise(acc)
+        def step(best: Column) -> Column:  # the rank of a joined piece is its id
+            return F.when(best < NO_RANK, let(F.array_position(r, best).cast("int"), lambda at: joined(at, best))).otherwise(acc)
 
         return let(F.array_min(r), step)
 
-    folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, merge)["p"]
-    whole = rank(word)
-    return F.when(whole < NO_RANK, F.array(whole)).otherwise(F.transform(folded, rank))
+    return F.aggregate(F.sequence(F.lit(2), F.size(raw)), start, merge)["p"]
 
 
-def _merge_long(ranks: dict[bytes, int]) -> Step:
-    """The step that adds ``ids`` to rows (word, places): those of words too long to fold, else null."""
+def _spell(ranks: dict[bytes, int]) -> Step:
+    """The step from rows (word, places) to (places, raw, ids): the bytes to fold, or the ids of words that are pieces or too long to fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array([merge_by_rank(w, ranks) if len(w) > FOLD_BYTES else None for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["word", "places", "ids"])
+            words = batch.column(0).to_pylist()
+            ids = [merge_by_rank(w, ranks) if w in ranks or len(w) > FOLD_BYTES or len(w) < 2 else None for w in words]
+            raw = [w if i is None else b"" for w, i in zip(words, ids, strict=True)]
+            ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
+            spelt = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), spelt, pa.array(ids, pa.list_(pa.int32()))], names=["places", "raw", "ids"])
 
     return run
 
@@ -142,9 +157,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ranks = read_ranks(vocabulary or vocabulary_path("byte_bpe_50k.tiktoken"))
     id_type = docs.schema[id_col].dataType
-    chunks = split_words(docs, id_col, text_col, _splitter(pattern or split_pattern()), frequencies=False, tag="bpe")
-    words = distinct_words(chunks, _merge_long(ranks), "word binary, places binary, ids array<int>")
-    encoded = words.select("places", F.coalesce("ids", fold_merges(F.col("word"), rank_literal(ranks))).alias("ids"))
+    chunks = split_words(docs, id_col, text_col, _splitter(pattern or split_pattern()), frequencies=False)
+    words = distinct_words(chunks, _spell(ranks), "places binary, raw array<int>, ids array<int>")
+    encoded = words.select("places", F.coalesce("ids", fold_merges(F.col("raw"), RankLiterals(ranks))).alias("ids"))
     send, sent = sender(id_type)
     back = encoded.mapInArrow(send, sent)
     fields = [T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -157,27 +172,27 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for piece, rank in ranks.items():
         pieces[rank] = piece
 
-    def finish(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    def finish(dictionary: tuple, packs: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        lens, starts, values = dictionary
         digits = [b"%d" % i for i in range(len(pieces))]
-        for (lens, starts, values), packs in parts:
-            flat = values.tolist()
-            spans = list(zip(starts.tolist(), (starts + lens).tolist(), strict=True))
-            shown = [b" ".join([digits[i] for i in flat[a:b]]) for a, b in spans]
-            decoded = [b"".join([pieces[i] for i in flat[a:b]]) for a, b in spans]
-            for ids, _, sizes, numbers, _ in packs:
-                out: dict[str, list] = {f.name: [] for f in fields}
-                total = np.concatenate([[0], np.cumsum(lens[numbers])])
-                ends = np.cumsum(sizes, dtype=np.int64)
-                numbers_list = numbers.tolist()
-                for doc, a, b in zip(ids, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                    mine = numbers_list[a:b]
-                    out[id_col].append(doc)
-                    out["n_tokens"].append(int(total[b] - total[a]))
-                    out["ids_sha256"].append(hashlib.sha256(b" ".join([shown[w] for w in mine])).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[w] for w in mine])).hexdigest())
-                    if keep_ids:
-                        out["token_ids"].append([i for w in mine for i in flat[spans[w][0] : spans[w][1]]])
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        flat = values.tolist()
+        spans = list(zip(starts.tolist(), (starts + lens).tolist(), strict=True))
+        shown = [b" ".join([digits[i] for i in flat[a:b]]) for a, b in spans]
+        decoded = [b"".join([pieces[i] for i in flat[a:b]]) for a, b in spans]
+        for ids, _, sizes, numbers, _ in packs:
+            check_numbers(numbers, len(spans))
+            out: dict[str, list] = {f.name: [] for f in fields}
+            total = np.concatenate([[0], np.cumsum(lens[numbers])])
+            ends = np.cumsum(sizes, dtype=np.int64)
+            for doc, a, b in zip(ids, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                mine = numbers[a:b].tolist()
+                out[id_col].append(doc)
+                out["n_tokens"].append(int(total[b] - total[a]))
+                out["ids_sha256"].append(hashlib.sha256(b" ".join([shown[w] for w in mine])).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[w] for w in mine])).hexdigest())
+                if keep_ids:
+                    out["token_ids"].append([i for w in mine for i in flat[spans[w][0] : spans[w][1]]])
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return by_chunk(chunks, back, finish, schema)
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from trawl.llm.shared import table
 from trawl.llm.vocab import split_pattern, vocabulary_path
-from trawl.llm.word_chunks import Step, by_chunk, distinct_words, sender, split_words
+from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
 #: Characters whose classes are the same in the pattern library and in the tokenizer library,
 #: whatever their Unicode versions. Texts with any other go through the tokenizer's own splitter.
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns are not read; an empty table gives an empty result.
     """
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    chunks = split_words(docs, id_col, text_col, _splitter(path, pattern or split_pattern()), frequencies=True, tag="count")
+    chunks = split_words(docs, id_col, text_col, _splitter(path, pattern or split_pattern()), frequencies=True)
     id_type = docs.schema[id_col].dataType
     count, (send, sent) = _count_pieces(path), sender(id_type)
     back = distinct_words(chunks, lambda batches: send(count(batches)), sent)
@@ -85,14 +85,14 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     id_arrow = to_arrow_type(id_type)
 
-    def finish(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        for (_, starts, values), packs in parts:
-            pieces = values[starts].astype(np.int64)
-            for ids, sizes, lens, numbers, times in packs:
-                times = times if times is not None else np.zeros(0, np.uint32)
-                total = np.concatenate([[0], np.cumsum(pieces[numbers] * times)])
-                ends = np.cumsum(lens, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(sizes.astype(np.int64)), pa.array(total[ends] - total[ends - lens])], names=[id_col, "n_bytes", "n_tokens"])
+    def finish(dictionary: tuple, packs: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        _, starts, values = dictionary
+        pieces = values[starts].astype(np.int64)
+        for ids, sizes, lens, numbers, times in packs:
+            check_numbers(numbers, len(pieces))
+            total = np.concatenate([[0], np.cumsum(pieces[numbers] * times)]) if times is not None else np.zeros(1, np.int64)
+            ends = np.cumsum(lens, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(sizes.astype(np.int64)), pa.array(total[ends] - total[ends - lens])], names=[id_col, "n_bytes", "n_tokens"])
 
     return by_chunk(chunks, back, finish, schema)
 

@@ -1,33 +1,36 @@
 """Documents as chunks of word numbers, and the way of words to whatever knows them.
 
 A chunk is a run of documents of one input partition with its own dictionary of distinct
-words. Three shuffles of packed rows replace a row for each word of each document:
+words, numbered by falling frequency. Two shuffles of packed rows replace a row for each
+word of each document:
 
-1. ``split_words``: a chunk gives one row per word bucket with the chunk's distinct words
-   of that bucket, and rows of documents as word numbers (sequences or frequencies).
+1. ``split_words`` deals out both the words of a chunk, by word bucket, and its documents as
+   word numbers (sequences or frequencies), by chunk. Both readers below use this one shuffle.
 2. ``distinct_words``: a bucket's rows meet; each distinct word comes out once, with the
    places (chunk, number) where it is wanted. A word has one place a chunk at most, so
-   the commonest word is no hot key.
-3. ``send_back`` packs what became of the words by chunk; ``by_chunk`` brings it to the
-   chunk's documents.
+   the commonest word is no hot key. ``sender`` packs what became of the words by chunk.
+3. ``by_chunk`` brings this to the chunk's documents, which lie there already.
 
-Chunks are bounded in words, buckets by the session's shuffle width.
+Chunks are bounded in words, buckets by the session's shuffle width. A chunk's id holds a
+hash of its dictionary, so that documents never meet a dictionary of other numbering, should
+an input without fixed order be read again after an executor was lost: this raises.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.shared import materialise, width
+from trawl.llm.shared import width
 
 #: A chunk ends when it has so many words, or distinct words.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 250_000
@@ -67,9 +70,8 @@ class Unsqueezed:
 def _schema(id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
-            T.StructField("kind", T.IntegerType()),  # 0 words, 1 documents
+            T.StructField("key", T.LongType()),  # of a chunk, or below zero of a bucket
             T.StructField("chunk", T.LongType()),
-            T.StructField("bucket", T.IntegerType()),
             T.StructField("n", T.IntegerType()),
             T.StructField("m", T.IntegerType()),
             T.StructField("blob", T.BinaryType()),
@@ -78,69 +80,84 @@ def _schema(id_type: T.DataType) -> T.StructType:
     )
 
 
-def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[], Callable[[str], list[str]]], frequencies: bool, tag: str) -> DataFrame:
-    """Writes the chunks of ``docs`` to a shared table. ``splitter()`` runs on the executors and gives the function that splits a text."""
+def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[], Callable[[str], list[str]]], frequencies: bool) -> DataFrame:
+    """The chunks of ``docs``, dealt out. ``splitter()`` runs on the executors and gives the function that splits a text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = _schema(docs.schema[id_col].dataType)
-    arrow, buckets = to_arrow_schema(schema), width(docs.sparkSession) * BUCKETS_EACH
+    schema, parts = _schema(docs.schema[id_col].dataType), width(docs.sparkSession)
+    arrow, buckets = to_arrow_schema(schema), parts * BUCKETS_EACH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         split, part, seq = splitter(), TaskContext.get().partitionId(), 0
-        numbers: dict[str, int] = {}
-        pack: list = []
-        packed, in_chunk = 0, 0
+        numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        held: list[tuple] = []
+        in_chunk = 0
 
         def row(**x: object) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"chunk": (part << 32) | seq, "bucket": None, "ids": None} | x], schema=arrow)
-
-        def full_pack() -> pa.RecordBatch:
-            nonlocal pack, packed
-            ids, sizes, lists, counts = zip(*pack, strict=True)
-            lens = np.array([len(x) for x in lists], np.uint32)
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
-            times = np.concatenate(counts) if frequencies else np.zeros(0, np.uint32)
-            out = row(kind=1, n=len(pack), m=len(flat), blob=squeeze(np.array(sizes, np.uint64), lens, flat.astype(np.uint32), times), ids=list(ids))
-            pack, packed = [], 0
-            return out
+            return pa.RecordBatch.from_pylist([{"ids": None} | x], schema=arrow)
 
         def full_chunk() -> Iterator[pa.RecordBatch]:
-            nonlocal numbers, in_chunk, seq
-            if pack:
-                yield full_pack()
+            nonlocal numbers, in_chunk, seq, held
             words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-            at = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(buckets)
+            met = np.concatenate([h[2] for h in held])
+            total = np.bincount(met, np.concatenate([h[3] for h in held]) if frequencies else None, len(words))
+            by_rank = np.argsort(-total, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+            chunk = xxhash.xxh3_64_intdigest(hashes[by_rank].tobytes() + b"%d %d" % (part, seq)) >> 1
+            for cut in _packs(held):
+                ids, sizes, lists, counts = zip(*held[cut], strict=True)
+                lists = [rank[x] for x in lists]
+                if frequencies:  # sorted numbers as differences
+                    orders = [np.argsort(x) for x in lists]
+                    lists = [np.diff(x[o], prepend=np.uint32(0)).astype(np.uint32) for x, o in zip(lists, orders, strict=True)]
+                    counts = [c[o] for c, o in zip(counts, orders, strict=True)]
+                flat = np.concatenate(lists)
+                times = np.concatenate(counts) if frequencies else b""
+                lens = np.array([len(x) for x in lists], np.uint32)
+                yield row(key=chunk, chunk=chunk, n=len(lists), m=len(flat), blob=squeeze(np.array(sizes, np.uint64), lens, flat, times), ids=list(ids))
+            at = hashes % np.uint64(buckets)
             order = np.argsort(at, kind="stable")
             cuts = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
             for b in range(buckets):
                 mine = order[cuts[b] : cuts[b + 1]]
                 if len(mine):
-                    own = sorted((words[i], i) for i in mine.tolist())
-                    yield row(kind=0, bucket=b, n=len(own), m=0, blob=squeeze(np.array([i for _, i in own], np.uint32), np.array([len(w) for w, _ in own], np.uint32), b"".join(w for w, _ in own)))
-            numbers, in_chunk, seq = {}, 0, seq + 1
+                    own = sorted((words[i], int(rank[i])) for i in mine.tolist())
+                    yield row(key=-1 - b, chunk=chunk, n=len(own), m=0, blob=squeeze(np.array([i for _, i in own], np.uint32), np.array([len(w) for w, _ in own], np.uint32), b"".join(w for w, _ in own)))
+            numbers, in_chunk, seq, held = defaultdict(count().__next__), 0, seq + 1, []
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py() or ""
                 found = split(text)
                 in_chunk += len(found)
                 times = None
                 if frequencies:
                     found = Counter(found)
                     times = np.fromiter(found.values(), np.uint32, len(found))
-                mine = np.fromiter([numbers.setdefault(w, len(numbers)) for w in found], np.uint32, len(found))
-                pack.append((doc, len(text.encode("utf-8", "surrogatepass")), mine, times))
-                packed += len(mine)
-                if packed >= PACK_WORDS or len(pack) >= PACK_DOCS:
-                    yield full_pack()
+                mine = np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))
+                held.append((batch.column(0)[i].as_py(), len(text.encode("utf-8", "surrogatepass")), mine, times))
                 if in_chunk >= CHUNK_WORDS or len(numbers) >= CHUNK_DISTINCT:
                     yield from full_chunk()
-        if numbers or pack:
+        if held:
             yield from full_chunk()
 
-    return materialise(docs.select(id_col, text_col).mapInArrow(run, schema), tag, codec="none")
+    return docs.select(id_col, text_col).mapInArrow(run, schema).repartition(parts, "key")
+
+
+def _packs(held: list[tuple]) -> Iterator[slice]:
+    """Slices of a chunk's documents that make one packed row each."""
+    start = words = 0
+    for i, (_, _, mine, _) in enumerate(held):
+        words += len(mine)
+        if words >= PACK_WORDS or i + 1 - start >= PACK_DOCS:
+            yield slice(start, i + 1)
+            start, words = i + 1, 0
+    if start < len(held):
+        yield slice(start, len(held))
 
 
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -151,10 +168,18 @@ def distinct_words(chunks: DataFrame, then: Step | None = None, schema: T.Struct
 
     ``then`` goes on with these rows in the same Python process and gives rows of ``schema``.
     """
-    spark = chunks.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, places = None, {}
+        held: dict[int, list[dict]] = {}
+        for batch in batches:  # rows of a few buckets, still packed, and documents, which are not wanted here
+            wanted = batch.filter(pc.less(batch.column(0), 0)).select([0, 1, 2, 4])
+            for r in wanted.to_pylist():
+                held.setdefault(r["key"], []).append(r)
+        for bucket in sorted(held):
+            yield from merged(held.pop(bucket))
+
+    def merged(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        places: dict[bytes, list[int]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             items = list(places.items())
@@ -165,27 +190,21 @@ def distinct_words(chunks: DataFrame, then: Step | None = None, schema: T.Struct
                     names=["word", "places"],
                 )
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] != current:
-                    yield from out()
-                    current, places = r["bucket"], {}
-                box = Unsqueezed(r["blob"])
-                numbers, lens = box.array(r["n"], np.uint32).tolist(), box.array(r["n"], np.uint32)
-                raw, ends, chunk = box.rest(), np.cumsum(lens).tolist(), r["chunk"]
-                start = 0
-                for k, end in zip(numbers, ends, strict=True):
-                    w = raw[start:end]
-                    start = end
-                    if (p := places.get(w)) is None:
-                        places[w] = [chunk, k]
-                    else:
-                        p += (chunk, k)
+        for r in rows:
+            box = Unsqueezed(r["blob"])
+            numbers, lens = box.array(r["n"], np.uint32).tolist(), box.array(r["n"], np.uint32)
+            raw, ends, chunk = box.rest(), np.cumsum(lens).tolist(), r["chunk"]
+            start = 0
+            for k, end in zip(numbers, ends, strict=True):
+                w = raw[start:end]
+                start = end
+                if (p := places.get(w)) is None:
+                    places[w] = [chunk, k]
+                else:
+                    p += (chunk, k)
         yield from out()
 
-    words = chunks.where("kind = 0").select("bucket", "chunk", "n", "blob")
-    dealt = words.repartition(width(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
+    return chunks.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 #: Word places that a task gathers before it sends them on.
@@ -193,7 +212,7 @@ SEND_PLACES = 400_000
 
 
 def sender(id_type: T.DataType) -> tuple[Step, T.StructType]:
-    """The step from rows (places, array<int>) of words to rows of kind 0, one per chunk and load: numbers, lengths, values."""
+    """The step from rows (places, array<int>) of words to one row per chunk and load: numbers, lengths, values."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = _schema(id_type)
@@ -213,7 +232,7 @@ def sender(id_type: T.DataType) -> tuple[Step, T.StructType]:
                 mine = mine[np.argsort(number[mine], kind="stable")]
                 l = lens[mine]
                 at = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(l)[:-1]]), l) + np.arange(int(l.sum()))
-                rows.append({"kind": 0, "chunk": c, "bucket": None, "n": len(mine), "m": int(l.sum()), "blob": squeeze(number[mine].astype(np.uint32), l.astype(np.uint32), flat[at].astype(np.uint32)), "ids": None})
+                rows.append({"key": c, "chunk": c, "n": len(mine), "m": int(l.sum()), "blob": squeeze(number[mine].astype(np.uint32), l.astype(np.uint32), flat[at].astype(np.uint32)), "ids": None})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         for batch in batches:
@@ -243,47 +262,47 @@ def _gather(held: list[tuple]) -> tuple[np.ndarray, ...]:
     return np.concatenate(chunk), np.concatenate(number), np.concatenate(lens).astype(np.int64), np.concatenate([f for _, _, f in held]), np.concatenate(starts).astype(np.int64)
 
 
-def by_chunk(chunks: DataFrame, back: DataFrame, finish: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """Brings chunks and what came back together. ``finish`` gets (dictionary, documents) of a chunk at a time:
-    the dictionary as (lengths, starts, values) by word number, the documents as an iterator of (ids, sizes, lengths, numbers, times)."""
-    spark = chunks.sparkSession
+def by_chunk(chunks: DataFrame, back: DataFrame, finish: Callable[[tuple, Iterator[tuple]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """What came back for a chunk meets its documents. ``finish`` gets the dictionary as (lengths, starts, values)
+    by word number, and the documents as tuples (ids, sizes, lengths, numbers, times or None)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in batch.to_pylist())
-        yield from finish(_chunks(rows))
-
-    both = chunks.where("kind = 1").unionByName(back)
-    dealt = both.repartition(width(spark), "chunk").sortWithinPartitions("chunk", "kind")
-    return dealt.mapInArrow(run, schema)
-
-
-def _chunks(rows: Iterator[dict]) -> Iterator[tuple]:
-    row = next(rows, None)
-    while row is not None:
-        chunk, boxes = row["chunk"], []
-        while row is not None and row["chunk"] == chunk and row["kind"] == 0:
-            box = Unsqueezed(row["blob"])
-            boxes.append((box.array(row["n"], np.uint32), box.array(row["n"], np.uint32), box.array(row["m"], np.uint32)))
-            row = next(rows, None)
-        n = sum(len(b[0]) for b in boxes)
-        lens, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        base = 0
-        for numbers, l, values in boxes:
-            lens[numbers] = l
-            starts[numbers] = base + np.concatenate([[0], np.cumsum(l, dtype=np.int64)[:-1]])
-            base += len(values)
-        values = np.concatenate([b[2] for b in boxes]) if boxes else np.zeros(0, np.uint32)
-        after: list = [row]
-
-        def docs(chunk: int = chunk, after: list = after) -> Iterator[tuple]:
-            r = after[0]
-            while r is not None and r["chunk"] == chunk:
-                box = Unsqueezed(r["blob"])
-                sizes, l, flat = box.array(r["n"], np.uint64), box.array(r["n"], np.uint32), box.array(r["m"], np.uint32)
-                rest = len(box.raw) - box.at
-                yield r["ids"], sizes, l, flat, box.array(r["m"], np.uint32) if rest else None
-                r = next(rows, None)
-            after[0] = r
-
-        yield (lens, starts, values), docs()
-        row = after[0]
+    arrow = to_arrow_schema(schema)
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows or docs.column("key")[0].as_py() < 0:
+            return arrow.empty_table()
+        return pa.Table.from_batches(finish(_dictionary(found.to_pylist()), map(_pack, docs.to_pylist())), schema=arrow)
+
+    dealt = back.repartition(width(chunks.sparkSession), "key")
+    return chunks.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(run, schema)
+
+
+def _dictionary(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    boxes = []
+    for r in rows:
+        box = Unsqueezed(r["blob"])
+        boxes.append((box.array(r["n"], np.uint32), box.array(r["n"], np.uint32), box.array(r["m"], np.uint32)))
+    n = sum(len(b[0]) for b in boxes)
+    lens, starts, base = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for numbers, l, values in boxes:
+        lens[numbers] = l
+        starts[numbers] = base + np.cumsum(l, dtype=np.int64) - l
+        base += len(values)
+    return lens, starts, np.concatenate([b[2] for b in boxes]) if boxes else np.zeros(0, np.uint32)
+
+
+def _pack(r: dict) -> tuple:
+    box = Unsqueezed(r["blob"])
+    sizes, lens, flat = box.array(r["n"], np.uint64), box.array(r["n"], np.uint32), box.array(r["m"], np.uint32)
+    if len(box.raw) == box.at:
+        return r["ids"], sizes, lens, flat, None
+    ends = np.cumsum(lens, dtype=np.int64)
+    run = np.cumsum(flat, dtype=np.int64)  # differences, from zero for each document
+    before = np.concatenate([[0], run])[ends - lens]
+    return r["ids"], sizes, lens, run - np.repeat(before, lens), box.array(r["m"], np.uint32)
+
+
+def check_numbers(numbers: np.ndarray, known: int) -> None:
+    if len(numbers) and int(numbers.max()) >= known:
+        raise RuntimeError("a chunk met no dictionary of its own: the input changed its order between two reads; write it to a table first")
