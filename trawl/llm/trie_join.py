@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fingerprints of a trie node at the starting depth, about; least block; node pairs held at once.
-NODE, LEAST_BLOCK, HELD = 1 << 18, 4096, 1 << 19
+#: Fingerprints of a trie node at the starting depth, about; least block; node pairs held at once; element pairs of
+#: two nodes that are compared at once instead of going further down.
+NODE, LEAST_BLOCK, HELD, LEAF = 1 << 18, 4096, 1 << 17, 16
 
 
 def sub_prints(lanes: np.ndarray, table: int, bits: int) -> np.ndarray:
@@ -64,7 +65,6 @@ class Forest:
 def _levels(prints: np.ndarray, start: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each depth: where nodes start, and the numbers of their children by bit (-1: none)."""
     out = []
-    begin = np.concatenate([[True], np.diff(prints) != 0]) if len(prints) else np.zeros(0, bool)
     change = np.zeros(len(prints), np.int64)
     if len(prints) > 1:
         x = prints[1:] ^ prints[:-1]
@@ -78,13 +78,12 @@ def _levels(prints: np.ndarray, start: int, bits: int) -> list[tuple[np.ndarray,
             y = np.where(small, y << np.uint64(s), y)
         high[at] = lead
         change[1:] = high
-    del begin
     nodes = np.flatnonzero(np.concatenate([[True], change[1:] < start])) if len(prints) else np.zeros(0, np.int64)
     for depth in range(start, bits):
         below = np.flatnonzero(np.concatenate([[True], change[1:] < depth + 1])) if len(prints) else np.zeros(0, np.int64)
         parent = np.searchsorted(nodes, below, side="right") - 1
         bit = (prints[below] >> np.uint64(63 - depth)) & np.uint64(1)
-        child = np.full((2, len(nodes)), -1, np.int64)
+        child = np.full((2, len(nodes)), -1, np.int32)
         child[bit.astype(np.int64), parent] = np.arange(len(below))
         out.append((np.append(nodes, len(prints)), child[0], child[1]))
         nodes = below
@@ -102,7 +101,7 @@ def join_cell(left: np.ndarray, right: np.ndarray | None, start: int, bits: int,
     la = _levels(left, start, bits)
     lb = la if same else _levels(right, start, bits)
     na, nb = len(la[0][0]) - 1, len(lb[0][0]) - 1
-    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(na), np.arange(nb), indexing="ij"))
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(na, dtype=np.int32), np.arange(nb, dtype=np.int32), indexing="ij"))
     if same:
         keep = ia <= ib
         ia, ib = ia[keep], ib[keep]
@@ -115,7 +114,7 @@ def join_cell(left: np.ndarray, right: np.ndarray | None, start: int, bits: int,
             continue
         (sa, a0, a1), (sb, b0, b1) = la[d], lb[d]
         ca, cb = sa[ia + 1] - sa[ia], sb[ib + 1] - sb[ib]
-        leaf = (ca * cb <= 4) if start + d < bits else np.ones(len(ia), bool)
+        leaf = (ca * cb <= LEAF) if start + d < bits else np.ones(len(ia), bool)
         if leaf.any():
             yield from _leaves(left, right, sa[ia[leaf]], ca[leaf], sb[ib[leaf]], cb[leaf], errors, same)
         if leaf.all():
