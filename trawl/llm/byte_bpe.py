@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.llm.shared import table
-from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, vocabulary_path
+from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
 SLOT_BITS, BUCKET_BITS, ID_BITS = 18, 15, 24
@@ -139,15 +139,6 @@ def _spell(ranks: dict[bytes, int]) -> Step:
     return run
 
 
-def _splitter(pattern: str) -> Callable[[], Callable[[str], list[str]]]:
-    def make() -> Callable[[str], list[str]]:
-        import regex
-
-        return regex.compile(pattern).findall
-
-    return make
-
-
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, keep_ids: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, token_ids (array<int>, only with ``keep_ids``), ids_sha256, decoded_sha256.
 
@@ -157,7 +148,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ranks = read_ranks(vocabulary or vocabulary_path("byte_bpe_50k.tiktoken"))
     id_type = docs.schema[id_col].dataType
-    chunks = split_words(docs, id_col, text_col, _splitter(pattern or split_pattern()), frequencies=False)
+    chunks = split_words(docs, id_col, text_col, lambda: splitter(pattern or split_pattern()), frequencies=False)
     words = distinct_words(chunks, _spell(ranks), "places binary, raw array<int>, ids array<int>")
     encoded = words.select("places", F.coalesce("ids", fold_merges(F.col("raw"), RankLiterals(ranks))).alias("ids"))
     send, sent = sender(id_type)
@@ -175,12 +166,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def finish(dictionary: tuple, packs: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         lens, starts, values = dictionary
         digits = [b"%d" % i for i in range(len(pieces))]
-        flat = values.tolist()
-        spans = list(zip(starts.tolist(), (starts + lens).tolist(), strict=True))
-        shown = [b" ".join([digits[i] for i in flat[a:b]]) for a, b in spans]
-        decoded = [b"".join([pieces[i] for i in flat[a:b]]) for a, b in spans]
+        shown, decoded = [], []
+        for word, n in zip(starts.tolist(), lens.tolist(), strict=True):
+            ids = values[word : word + n].tolist()
+            shown.append(b" ".join([digits[i] for i in ids]))
+            decoded.append(b"".join([pieces[i] for i in ids]))
         for ids, _, sizes, numbers, _ in packs:
-            check_numbers(numbers, len(spans))
+            check_numbers(numbers, len(shown))
             out: dict[str, list] = {f.name: [] for f in fields}
             total = np.concatenate([[0], np.cumsum(lens[numbers])])
             ends = np.cumsum(sizes, dtype=np.int64)
@@ -191,7 +183,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out["ids_sha256"].append(hashlib.sha256(b" ".join([shown[w] for w in mine])).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[w] for w in mine])).hexdigest())
                 if keep_ids:
-                    out["token_ids"].append([i for w in mine for i in flat[spans[w][0] : spans[w][1]]])
+                    out["token_ids"].append([i for w in mine for i in values[starts[w] : starts[w] + lens[w]].tolist()])
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return by_chunk(chunks, back, finish, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.llm.shared import table
-from trawl.llm.vocab import split_pattern, vocabulary_path
+from trawl.llm.vocab import split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
 #: Characters whose classes are the same in the pattern library and in the tokenizer library,
@@ -32,12 +32,12 @@ def _splitter(path: str, pattern: str) -> Callable[[], Callable[[str], list[str]
         tokenizer = Tokenizer.from_file(path)
         specials = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        words, odd = regex.compile(pattern), regex.compile(SAFE)
+        words, odd = splitter(pattern), regex.compile(SAFE)
 
         def plain(text: str) -> list[str]:
             if odd.search(text):
                 return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-            return words.findall(text)
+            return words(text)
 
         def split(text: str) -> list[str]:
             if cut is None or not cut.search(text):

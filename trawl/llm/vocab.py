@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+import unicodedata
+from collections.abc import Callable
 
 NO_RANK = 2**31 - 1
 
@@ -21,6 +24,30 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The function that splits a text by ``pattern``. For the public one, texts of Latin letters and common
+    punctuation take an equal expression of explicit classes, which the standard library matches faster."""
+    import regex
+
+    general = regex.compile(pattern).findall
+    if pattern != split_pattern():
+        return general
+
+    def chars(of: Callable[[str], bool]) -> str:
+        return "".join(re.escape(chr(c)) for c in range(0x250) if of(chr(c)))
+
+    letters = chars(lambda c: unicodedata.category(c)[0] == "L")
+    numbers = chars(lambda c: unicodedata.category(c)[0] == "N")
+    space = "\t\n\x0b\x0c\r \x85\xa0"
+    latin = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    other = re.compile("[^\0-\u024f\u2010-\u2027]").search
+
+    def split(text: str) -> list[str]:
+        return general(text) if other(text) else latin(text)
+
+    return split
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}

@@ -106,7 +106,7 @@ def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[
             by_rank = np.argsort(-total, kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[by_rank] = np.arange(len(words), dtype=np.uint32)
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             chunk = xxhash.xxh3_64_intdigest(hashes[by_rank].tobytes() + b"%d %d" % (part, seq)) >> 1
             for cut in _packs(held):
                 ids, sizes, lists, counts = zip(*held[cut], strict=True)
@@ -125,8 +125,9 @@ def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[
             for b in range(buckets):
                 mine = order[cuts[b] : cuts[b + 1]]
                 if len(mine):
-                    own = sorted((words[i], int(rank[i])) for i in mine.tolist())
-                    yield row(key=-1 - b, chunk=chunk, n=len(own), m=0, blob=squeeze(np.array([i for _, i in own], np.uint32), np.array([len(w) for w, _ in own], np.uint32), b"".join(w for w, _ in own)))
+                    mine = np.array(sorted(mine.tolist(), key=words.__getitem__))
+                    own = [words[i] for i in mine.tolist()]
+                    yield row(key=-1 - b, chunk=chunk, n=len(own), m=0, blob=squeeze(rank[mine], np.fromiter(map(len, own), np.uint32, len(own)), b"".join(own)))
             numbers, in_chunk, seq, held = defaultdict(count().__next__), 0, seq + 1, []
 
         for batch in batches:
