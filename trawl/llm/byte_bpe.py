@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,40 +26,45 @@ from trawl.llm.shared import table
 from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
-SLOT_BITS, BUCKET_BITS, ID_BITS = 18, 15, 24
+SLOT_BITS, BUCKET_BITS, ID_BITS = 17, 15, 24
 #: Longest word, in bytes, that is folded by higher-order functions.
 FOLD_BYTES = 512
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """The rank of what two neighbouring pieces join to, by their ids, for all splits of all pieces."""
-    out = {}
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """What two neighbouring pieces join to, for all splits of all pieces: the pairs of their ids as keys, sorted, and the ranks."""
+    keys, found = array("q"), array("i")
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
             if a is not None and b is not None:
-                out[a, b] = rank
-    return out
+                keys.append(a << ID_BITS | b)
+                found.append(rank)
+    order = np.argsort(np.array(keys, np.int64), kind="stable")
+    return np.array(keys, np.int64)[order], np.array(found, np.int32)[order]
 
 
-def perfect_hash(keys: list[int]) -> tuple[list[int], dict[int, int]]:
-    """A slot for each key without collisions: the shift of each bucket, and the key in each slot."""
+def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A slot for each key without collisions: the shift of each bucket, and the index of the key in each slot (-1: none)."""
     import xxhash
 
-    buckets: dict[int, list[tuple[int, int, int]]] = {}
-    for key in keys:
-        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-        buckets.setdefault(h & ((1 << BUCKET_BITS) - 1), []).append((h >> 20 & 0xFFFFF, h >> 42 & 0x3FFFF | 1, key))
-    shifts, slots, mask = [0] * (1 << BUCKET_BITS), {}, (1 << SLOT_BITS) - 1
-    for bucket, own in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+    h = np.fromiter((xxhash.xxh64_intdigest(k.tobytes(), 42) for k in keys), np.uint64, len(keys)).astype(np.uint64)
+    bucket = (h & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+    first = (h >> np.uint64(20) & np.uint64(0xFFFFF)).astype(np.int64)
+    step = (h >> np.uint64(42) & np.uint64(0x3FFFF) | np.uint64(1)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
+    shifts, slots, mask = np.zeros(1 << BUCKET_BITS, np.int32), np.full(1 << SLOT_BITS, -1, np.int32), (1 << SLOT_BITS) - 1
+    sizes = np.diff(cuts)
+    for b in np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())].tolist():
+        own = order[cuts[b] : cuts[b + 1]]
         for shift in range(1 << 12):
-            at = {a + shift * b & mask for a, b, _ in own}
-            if len(at) == len(own) and not at & slots.keys():
+            at = first[own] + shift * step[own] & mask
+            if (slots[at] < 0).all() and len(set(at.tolist())) == len(at):
                 break
         else:
             raise ValueError("no shift keeps a bucket's keys apart")
-        shifts[bucket] = shift
-        slots |= {a + shift * b & mask: key for a, b, key in own}
+        shifts[b], slots[at] = shift, own
     return shifts, slots
 
 
@@ -66,17 +72,20 @@ class RankLiterals:
     """The rank map as foldable literals: ids of bytes, ranks of byte pairs, and the hash of all pairs."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        def literal(values: Iterable[int | None], kind: str) -> Column:
-            return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), f"array<{kind}>")
-
-        pairs = pair_ranks(ranks)
-        shifts, slots = perfect_hash([a << ID_BITS | b for a, b in pairs])
-        by_key = {a << ID_BITS | b: rank for (a, b), rank in pairs.items()}
-        self.byte_ids = literal((ranks.get(bytes((i,))) for i in range(256)), "int")
-        self.byte_pairs = literal((ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)), "int")
+        def literal(values: np.ndarray, kind: str) -> Column:
+            return F.from_json(F.lit("[" + ",".join(map(str, values.tolist())) + "]"), f"array<{kind}>")
+
+        def known(pieces: Iterable[bytes]) -> np.ndarray:
+            return np.array([ranks.get(p, NO_RANK) for p in pieces], np.int32)
+
+        keys, found = pair_ranks(ranks)
+        shifts, slots = perfect_hash(keys)
+        empty = slots < 0
+        self.byte_ids = literal(known(bytes((i,)) for i in range(256)), "int")
+        self.byte_pairs = literal(known(bytes(divmod(i, 256)) for i in range(1 << 16)), "int")
         self.shifts = literal(shifts, "int")
-        self.keys = literal((slots.get(i) for i in range(1 << SLOT_BITS)), "bigint")
-        self.values = literal((by_key[slots[i]] if i in slots else None for i in range(1 << SLOT_BITS)), "int")
+        self.keys = literal(np.where(empty, -1, keys[slots]), "bigint")
+        self.values = literal(np.where(empty, NO_RANK, found[slots]), "int")
 
 
 def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
@@ -101,7 +110,7 @@ def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
 
     none = F.array().cast("array<int>")
     pieces = F.transform(raw, lambda b: F.get(ranks.byte_ids, b))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(raw) - 2), lambda i: F.coalesce(F.get(ranks.byte_pairs, F.get(raw, i) * 256 + F.get(raw, i + 1)), F.lit(NO_RANK)))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(raw) - 2), lambda i: F.get(ranks.byte_pairs, F.get(raw, i) * 256 + F.get(raw, i + 1)))
     start = F.struct(pieces.alias("p"), pairs.alias("r"))
 
     def merge(acc: Column, _: Column) -> Column:
