@@ -434,3 +434,73 @@ def seed(spark, sf_dir):
 
     rows = seed_chunks(spark, 100, 8)
     return rows.select("i", "doc_id", "relative_path", (F.array_position("embedding", F.lit(1.0).cast("float")) - 1).alias("hot"))
+
+
+def _prose_files(spark, sf_dir):
+    """Documents as Markdown, every third line a heading, so that sections and overlaps occur."""
+    lines = F.split("content", "\n", -1)
+    body = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), (1 + i % 4).cast("int")), F.lit(" Part "), i.cast("string"), F.lit("\n"), x)).otherwise(x)), "\n")
+    return files(spark, sf_dir).select(F.concat(F.lit("docs/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"), body.alias("content"))
+
+
+def _code_files(spark, sf_dir):
+    """Documents as Python modules: a function per line."""
+    lines = F.filter(F.split("content", "\n", -1), lambda x: F.char_length(x) > 20)
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("def part_"), i.cast("string"), F.lit("(x):\n    note = '"), F.regexp_replace(x, r"['\\]", " "), F.lit("'\n    return x, note\n"))), "\n")
+    return files(spark, sf_dir).select(F.concat(F.lit("src/mod_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("relative_path"), body.alias("content"))
+
+
+_CHUNK_COLUMNS = ["doc_id", "relative_path", "chunk_index", "start_line", "end_line", "chunk_type", "symbol_name", "symbol_kind", "parent_scope", "chunk_strategy"]
+
+
+@query("c1_chunk_files")
+def chunked_files(spark, sf_dir):
+    from trawl.chunkers.router import chunk_files
+
+    return chunk_files(files(spark, sf_dir)).select(*_CHUNK_COLUMNS)
+
+
+@query("c4_prose_chunks")
+def prose(spark, sf_dir):
+    from trawl.chunkers.router import chunk_files
+
+    return chunk_files(_prose_files(spark, sf_dir)).select(*_CHUNK_COLUMNS)
+
+
+@query("c6_syntax_chunks")
+def syntax(spark, sf_dir):
+    from trawl.chunkers.router import chunk_files
+
+    return chunk_files(_code_files(spark, sf_dir)).select(*_CHUNK_COLUMNS)
+
+
+@query("c8_query_chunks")
+def query_blocks(spark, sf_dir):
+    from trawl.chunkers.router import chunk_files
+
+    block = F.concat(F.lit("<schema>\n<query>\nSELECT "), F.col("source"), F.lit(", x FROM t;\nSELECT 'a;b' FROM u</query>\n<name>"), F.col("lang"), F.lit("</name>\n</schema>\n"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("s/"), F.col("doc_id").cast("string"), F.lit(".dcs")).alias("relative_path"), block.alias("content"))
+    return chunk_files(rows).select(*_CHUNK_COLUMNS)
+
+
+@query("e6_hash_embed")
+def hash_embed(spark, sf_dir):
+    from trawl.index.embed import HashEmbedder, with_embeddings
+
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return with_embeddings(rows, "text", HashEmbedder(32))
+
+
+@query("p1_search")
+def search(spark, sf_dir):
+    """Chunks of all documents, embedded, and the hits of a benchmark text among them."""
+    from trawl.chunkers.router import chunk_files
+    from trawl.index.embed import HashEmbedder, with_embeddings
+
+    embedder = HashEmbedder(64)
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    made = chunk_files(files(spark, sf_dir))
+    given = made.withColumn("embed_text", text.embed_text(F.col("relative_path"), F.col("parent_scope"), F.col("snippet")))
+    found = with_embeddings(given, "embed_text", embedder).withColumnRenamed("relative_path", "path")
+    near = vectors.nearest(found, embedder.embed([asked])[0], rerank.over_fetch(20), "embedding", "doc_id", paths.matches_glob(F.col("path"), "**/*.md"))
+    return rerank.rerank(near.drop("embedding"), asked, 20).select("doc_id", "path", "start_line", "end_line", "score", "adjusted")
