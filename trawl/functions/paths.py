@@ -74,7 +74,7 @@ def matches_glob(path: Column, glob: str | None) -> Column:
     if "/" not in wanted:
         return found | basename(path).rlike(glob_regex(wanted))
     prefix = literal_prefix(wanted)
-    return path.startswith(prefix) & found if prefix and "\\" not in (glob or "") else found
+    return (path.startswith(prefix) | F.contains(path, F.lit("\\"))) & found if prefix else found
 
 
 def has_extension(path: Column, extensions: list[str]) -> Column:
