@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.shared import table
+from trawl.llm.shared import release, table
 from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
@@ -86,6 +86,7 @@ class RankLiterals:
         self.shifts = literal(shifts, "int")
         self.keys = literal(np.where(empty, -1, keys[slots]), "bigint")
         self.values = literal(np.where(empty, NO_RANK, found[slots]), "int")
+        release()
 
 
 def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
@@ -182,18 +183,20 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             decoded.append(b"".join([pieces[i] for i in ids]))
         for ids, _, sizes, numbers, _ in packs:
             check_numbers(numbers, len(shown))
-            out: dict[str, list] = {f.name: [] for f in fields}
-            total = np.concatenate([[0], np.cumsum(lens[numbers])])
+            l = lens[numbers]
+            total = np.concatenate([[0], np.cumsum(l)])
             ends = np.cumsum(sizes, dtype=np.int64)
-            for doc, a, b in zip(ids, (ends - sizes).tolist(), ends.tolist(), strict=True):
+            counts = total[ends] - total[ends - sizes]
+            hashes: list[list[str]] = [[], []]
+            for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
                 mine = numbers[a:b].tolist()
-                out[id_col].append(doc)
-                out["n_tokens"].append(int(total[b] - total[a]))
-                out["ids_sha256"].append(hashlib.sha256(b" ".join([shown[w] for w in mine])).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join([decoded[w] for w in mine])).hexdigest())
-                if keep_ids:
-                    out["token_ids"].append([i for w in mine for i in values[starts[w] : starts[w] + lens[w]].tolist()])
-            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                hashes[0].append(hashlib.sha256(b" ".join([shown[w] for w in mine])).hexdigest())
+                hashes[1].append(hashlib.sha256(b"".join([decoded[w] for w in mine])).hexdigest())
+            columns = [pa.array(ids, arrow.field(0).type), pa.array(counts), pa.array(hashes[0]), pa.array(hashes[1])]
+            if keep_ids:
+                at = np.repeat(starts[numbers] - total[:-1], l) + np.arange(int(total[-1]))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values[at].astype(np.int32))))
+            yield pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).to_batches()[0]
 
     return by_chunk(chunks, back, finish, schema)
 

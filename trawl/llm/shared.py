@@ -49,3 +49,18 @@ def struct(**types: str) -> T.StructType:
 def width(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def release() -> None:
+    """Gives memory that a finished step has freed back to the system: worker processes live on and would keep it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

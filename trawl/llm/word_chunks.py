@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trawl.llm.shared import width
+from trawl.llm.shared import release, width
 
 #: A chunk ends when it has so many words, or distinct words.
 CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 250_000
 #: Documents in a packed row, and words after which it is full.
-PACK_DOCS, PACK_WORDS = 2_000, 500_000
+PACK_DOCS, PACK_WORDS = 1_000, 250_000
 #: Buckets for each shuffle partition, so that hashed buckets lie evenly.
 BUCKETS_EACH = 4
 
@@ -145,6 +145,7 @@ def split_words(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[
                     yield from full_chunk()
         if held:
             yield from full_chunk()
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema).repartition(parts, "key")
 
@@ -178,6 +179,7 @@ def distinct_words(chunks: DataFrame, then: Step | None = None, schema: T.Struct
                 held.setdefault(r["key"], []).append(r)
         for bucket in sorted(held):
             yield from merged(held.pop(bucket))
+        release()
 
     def merged(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         places: dict[bytes, list[int]] = {}
@@ -246,6 +248,8 @@ def sender(id_type: T.DataType) -> tuple[Step, T.StructType]:
                 held, n = [], 0
         if n:
             yield from out()
+        held = []
+        release()
 
     return run, schema
 
@@ -273,7 +277,10 @@ def by_chunk(chunks: DataFrame, back: DataFrame, finish: Callable[[tuple, Iterat
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows or docs.column("key")[0].as_py() < 0:
             return arrow.empty_table()
-        return pa.Table.from_batches(finish(_dictionary(found.to_pylist()), map(_pack, docs.to_pylist())), schema=arrow)
+        packs = (_pack(row) for b in docs.to_batches(max_chunksize=1) for row in b.to_pylist())
+        out = pa.Table.from_batches(finish(_dictionary(found.to_pylist()), packs), schema=arrow)
+        release()
+        return out
 
     dealt = back.repartition(width(chunks.sparkSession), "key")
     return chunks.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(run, schema)
