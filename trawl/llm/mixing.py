@@ -58,12 +58,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     for _ in range(rounds):
         step = now
         for m in margins:
-            sums = step.groupBy(m).agg(F.sum("fitted").alias("s")).join(targets[m], m, "left")
-            factor = F.when(F.col("s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("s")).otherwise(F.lit(0.0))
-            step = step.join(sums.select(m, factor.alias("f")), m).withColumn("fitted", F.col("fitted") * F.col("f")).drop("f")
+            sums = step.groupBy(m).agg(F.sum("fitted").alias("rake_sum")).join(targets[m], m, "left")
+            factor = F.when(F.col("rake_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("rake_sum")).otherwise(F.lit(0.0))
+            step = step.join(sums.select(m, factor.alias("rake_factor")), m).withColumn("fitted", F.col("fitted") * F.col("rake_factor")).drop("rake_factor")
         now = materialise(step.select(*now.columns), "cells")
         off = [
-            now.groupBy(m).agg(F.sum("fitted").alias("s")).join(targets[m], m, "left").agg(F.coalesce(F.max(F.abs(F.col("s") - F.coalesce("target", F.lit(0.0))) / F.greatest("target", F.lit(1e-12))), F.lit(0.0)).alias("off"))
+            now.groupBy(m).agg(F.sum("fitted").alias("rake_sum")).join(targets[m], m, "left").agg(F.coalesce(F.max(F.abs(F.col("rake_sum") - F.coalesce("target", F.lit(0.0))) / F.greatest("target", F.lit(1e-12))), F.lit(0.0)).alias("off"))
             for m in margins
         ]
         if reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0] <= tolerance:
