@@ -27,6 +27,8 @@ class Node:
     start: int  # first line, from 1
     end: int  # last line
     children: list[Node] = field(default_factory=list)
+    owner: str = ""  # the type that a method belongs to
+    wrapped: bool = False  # decorated, exported or a group: looked into even if it fits
 
 
 def python_tree(text: str) -> list[Node]:
@@ -40,9 +42,9 @@ def python_tree(text: str) -> list[Node]:
         for s in body:
             start = min([s.lineno, *(d.lineno for d in getattr(s, "decorator_list", []))])
             if isinstance(s, ast.ClassDef):
-                out.append(Node("class", s.name, start, s.end_lineno, walk(s.body, False)))
+                out.append(Node("class", s.name, start, s.end_lineno, walk(s.body, False), wrapped=True))
             elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                out.append(Node("function" if top else "method", s.name, start, s.end_lineno, walk(s.body, False)))
+                out.append(Node("function" if top else "method", s.name, start, s.end_lineno, walk(s.body, False), wrapped=bool(s.decorator_list)))
             elif top and isinstance(s, (ast.Assign, ast.AnnAssign)):
                 target = s.targets[0] if isinstance(s, ast.Assign) else s.target
                 out.append(Node("assignment", target.id if isinstance(target, ast.Name) else "", s.lineno, s.end_lineno))
@@ -53,7 +55,7 @@ def python_tree(text: str) -> list[Node]:
 
 _BRACED = {
     "go": re.compile(r"(?m)^(?:func\s+(?:\((?P<receiver>[^)]*)\)\s*)?(?P<function>\w+)|type\s+(?P<type>\w+)|const\s+(?P<const>\w+)|var\s+(?P<var>\w+)|(?P<group>const|var|type)\s*\()"),
-    "js": re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?\s*(?P<function>\w*)|(?:abstract\s+)?class\s+(?P<class>\w*)|interface\s+(?P<interface>\w+)|enum\s+(?P<enum>\w+)|type\s+(?P<type>\w+)\s*[=<]|(?:const|let|var)\s+(?P<declaration>\w+))"),
+    "js": re.compile(r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?\s*(?P<function>\w*)|(?:abstract\s+)?class\s+(?P<class>\w*)|interface\s+(?P<interface>\w+)|enum\s+(?P<enum>\w+)|type\s+(?P<type>\w+)\s*[=<]|(?:const|let|var)\s+(?P<arrow>\w+)(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)(?:\s*:[^=\n]+)?\s*=>|\w+\s*=>)|(?:const|let|var)\s+(?P<declaration>\w+))"),
 }
 _METHOD = re.compile(r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>\n]*>)?\([^;{]*\)[^;{]*\{")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function"}
@@ -82,6 +84,18 @@ def _close(plain: str, at: int, pairs: str = "{}") -> int:
     return len(plain)
 
 
+def _specs(plain: str, at: int, stop: int, kind: str, line) -> Iterator[Node]:
+    """The declarations of a group in brackets, one a line unless brackets stay open."""
+    while at < stop:
+        m = re.compile(r"[ \t]*(\w+)[^\n]*").match(plain, at, stop)
+        end = plain.find("\n", at)
+        end = stop if end < 0 else end
+        if m:
+            end = max(end, min(stop, _close(plain, m.start(1))))
+            yield Node(kind, m[1], line(m.start(1)), line(max(m.start(1), end - 1)))
+        at = end + 1
+
+
 def braced_tree(text: str, language: str) -> list[Node]:
     plain = _blanked(text)
     if not plain.strip():
@@ -96,17 +110,21 @@ def braced_tree(text: str, language: str) -> list[Node]:
         kind = m.lastgroup or "function"
         found = {k: v for k, v in m.groupdict().items() if v and k not in ("receiver", "group")}
         kind, name = next(iter(found.items())) if found else (kind, "")
-        if m.groupdict().get("receiver"):
-            kind = "method"
-        pairs = "()" if m.groupdict().get("group") else "{}"
+        receiver = re.search(r"(\w+)\s*$", m.groupdict().get("receiver") or "")
+        kind = "method" if receiver else "function" if kind == "arrow" else kind
+        group = m.groupdict().get("group")
+        pairs = "()" if group else "{}"
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        stop = _close(plain, m.end() - (pairs == "()"), pairs)
-        node = Node(m["group"] if m.groupdict().get("group") else kind, name, line(start), line(max(start, stop - 1)))
+        stop = _close(plain, m.end() - bool(group), pairs)
+        node = Node(group or kind, name, line(start), line(max(start, stop - 1)), owner=receiver[1] if receiver else "", wrapped=kind == "class" or bool(group))
+        if group:
+            node.children = list(_specs(plain, m.end(), stop - 1, group, line))
         if kind == "class":
             inner = plain.find("{", m.end())
             for k in _METHOD.finditer(plain, inner, stop):
                 if k["name"] not in _WORDS and plain.count("{", inner, k.start()) - plain.count("}", inner, k.start()) == 1:
-                    node.children.append(Node("method", k["name"], line(k.start() + len(k[0]) - len(k[0].lstrip())), line(_close(plain, k.end() - 1) - 1)))
+                    first = k.start() + len(k[0]) - len(k[0].lstrip())
+                    node.children.append(Node("method", k["name"], line(first), line(_close(plain, k.end() - 1) - 1), owner=name))
         out.append(node)
         done = stop
     return out
@@ -177,32 +195,52 @@ def syntax_chunks(path: str, text: str, language: str, opts: Options) -> Iterato
         else:
             yield from partial_windows(chunk, cut(a, b), opts)
 
-    def loose(a: int, b: int, scope: str) -> Iterator[Chunk]:
+    def loose(a: int, b: int, scope: str, opener: bool = False) -> Iterator[Chunk]:
         """Code between declarations, packed by lines within the budget; too little of it is left out."""
         at = a
         while at <= b:
+            if language == "bsl" and _REGION.match(lines[at - 1]):
+                at += 1
+                continue
             stop = at
-            while stop < b and opts.count("\n".join(cut(at, stop + 1))) <= opts.budget(path, scope):
+            while stop < b and not (language == "bsl" and _REGION.match(lines[stop])) and opts.count("\n".join(cut(at, stop + 1)).strip()) <= opts.budget(path, scope):
                 stop += 1
-            body = "\n".join(cut(at, stop))
-            if opts.count(body.strip()) >= opts.min_tokens:
-                kind = "import" if re.match(r"\s*(import|from|require|package)\b", body) else "comment" if re.match(r"\s*(//|#|/\*)", body) else ""
-                yield from emit(at, stop, "", kind, scope)
+            body = "\n".join(cut(at, stop)).strip()
+            if opts.count(body) >= opts.min_tokens or opener and body:
+                quoted = re.search(r"""["'`]([^"'`]+)["'`]""", body)
+                if re.search(r"(?m)^\s*(import|from|require)\b", body):
+                    yield from emit(at, stop, quoted[1] if quoted else "", "import", scope_at(at, scope))
+                elif opener or re.match(r"//|#|/\*", body):
+                    yield from emit(at, stop, "" if opener else "comment", "comment", scope_at(at, scope))
+                else:
+                    yield from emit(at, stop, "", "", scope_at(at, scope))
             at = stop + 1
 
-    def walk(nodes: list[Node], a: int, b: int, scope: str, only: bool) -> Iterator[Chunk]:
-        held = a  # first line not yet in a chunk
+    def scope_of(n: Node, scope: str) -> str:
+        """Methods stand under their type; of classes of braces only the class is told."""
+        if n.owner:
+            return f"{scope} > type {n.owner}" if language == "go" else f"class {n.owner}"
+        return scope_at(n.start, scope)
+
+    def walk(nodes: list[Node], a: int, b: int, scope: str, only: bool, group: bool = False) -> Iterator[Chunk]:
+        held, opener = a, group  # first line not yet in a chunk
         for n in nodes:
-            size = opts.count("\n".join(cut(n.start, n.end)))
-            if size < opts.min_tokens:
+            size = opts.count("\n".join(cut(n.start, n.end)).strip())
+            if n.kind in ("const", "var", "type") and n.wrapped:  # a group: its declarations are the chunks
+                yield from loose(held, n.start - 1, scope)
+                yield from walk(n.children, n.start, n.end, scope, only, True)
+                held = n.end + 1
+                continue
+            if size < opts.min_tokens and not group:
                 continue  # stays with what is around it
-            here = scope_at(n.start, scope)
+            here = scope_of(n, scope)
             if not only:
-                yield from loose(held, n.start - 1, here)
+                yield from loose(held, n.start - 1, scope, opener)
+                opener = False
             inner = f"{scope} > {n.kind} {n.name}" if n.name else scope
             if size <= opts.budget(path, here):
                 yield from emit(n.start, n.end, n.name, n.kind, here)
-                if n.children and n.kind in ("class", "export") or only and n.children:
+                if n.children and (n.wrapped or only):
                     yield from walk(n.children, n.start, n.end, inner, True)
             elif n.children:
                 yield from walk(n.children, n.start, n.end, inner, only)
@@ -210,7 +248,7 @@ def syntax_chunks(path: str, text: str, language: str, opts: Options) -> Iterato
                 yield from emit(n.start, n.end, n.name, n.kind, here)
             held = n.end + 1
         if not only:
-            yield from loose(held, b, scope)
+            yield from loose(held, b, scope, group)
 
     yield from walk(tree(text, language), 1, len(lines), base, False)
     if language == "bsl":
