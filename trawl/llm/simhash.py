@@ -46,12 +46,13 @@ def majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int) -> DataFrame:
-    """Per row of ``docs``: id, lanes (binary). A null or wordless text has all bits zero."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int, repeats: bool = True) -> DataFrame:
+    """Per row of ``docs``: id, lanes (binary). A null or wordless text has all bits zero. Without ``repeats`` a shingle counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [majority(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle), lanes) for t in batch.column(1).to_pylist()]
+            hashes = (shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle) for t in batch.column(1).to_pylist())
+            prints = [majority(h if repeats else np.unique(h), lanes) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=[id_col, "lanes"])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("lanes", T.BinaryType())]))
@@ -75,19 +76,49 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(groups, "print").select(id_col, "print", "component")
 
 
-#: Bits that differ between texts of Jaccard similarity s: the angle between count vectors of cosine 2s/(1+s).
+#: Bits that differ between texts of Jaccard similarity s: the angle between sets of like size, whose cosine is 2s/(1+s).
 def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, sorted hashes of a text's distinct shingles, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, shingles binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least this Jaccard similarity; no shingles on either side is 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    first = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
+    return first.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995, errors: int = 3) -> DataFrame:
-    """Per row of ``docs``: id, component, for shingle similarity of ``similarity`` or more as SimHash of 512 or more bits measures it.
+    """Per row of ``docs``: id, component, by links of Jaccard similarity of ``similarity`` or more of word shingles.
 
     Such pairs differ in too many of 64 bits for a join. So the trie is built over several
     short ranges of a long fingerprint: as many as make it likely by ``recall`` that a pair
     at the similarity is within ``errors`` bits in one of them, each long enough that chance
-    pairs stay few; a link then needs all bits to be near, with one and a half standard
-    deviations allowed for. Ids must be integers. Rows of equal fingerprint are one node.
+    pairs stay few. Pairs far nearer in all bits than the similarity asks are links; those
+    about as near, with three standard deviations allowed for, are links if the shingles
+    themselves say so. Nearer pairs come first, and of pairs that join the same groups one is
+    looked at. Ids must be integers. Rows of equal fingerprint are one node; null, empty and
+    wordless texts are equal.
     """
     rows = docs.count()
     share = differing_share(similarity)
@@ -95,11 +126,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(errors + 1))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - hit))
     lanes = max(8, -(-tables * bits // 64))
-    most = int(64 * lanes * share + 1.5 * math.sqrt(64 * lanes * share * (1 - share)))
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, lanes), "wide")
+    n = 64 * lanes
+    spread = math.sqrt(n * share * (1 - share))
+    sure = differing_share((2 + similarity) / 3) * n - spread
+    far = share * n + 3 * spread
+    most = tuple(sorted({int(max(0, sure)), *(int(sure + (far - sure) * k / 6) for k in range(1, 7))}))
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, lanes, repeats=False), "wide")
     nodes = materialise(prints.groupBy("lanes").agg(F.min(id_col).alias("node")), "nodes")
     known = nodes.where("node IS NOT NULL")
-    roots = components(trie_links(known, known.count(), lanes, errors, tables, bits, most, least_prefix=2))
+    found = materialise(trie_links(known, known.count(), lanes, errors, tables, bits, most, least_prefix=2).groupBy("a", "b").agg(F.min("level").alias("level")), "pairs")
+    doubt = found.where("level > 0").select("a", "b")
+    wanted = materialise(doubt.select(F.col("a").alias("wanted")).unionByName(doubt.select(F.col("b").alias("wanted"))).distinct(), "wanted")
+    asked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("wanted"), "left_semi").dropDuplicates([id_col])
+    sets = materialise(_shingle_sets(asked, id_col, text_col, shingle), "sets")
+    links = found.where("level = 0").select("a", "b").unionByName(_similar(doubt, sets, similarity))
+    roots = components(links)
     groups = nodes.join(roots, "node", "left").select("lanes", F.coalesce("root", "node").alias("component"))
     return prints.join(materialise(groups, "groups"), "lanes").select(id_col, "component")
 

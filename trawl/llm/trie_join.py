@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Fingerprints of a trie node at the starting depth, about; least block; node pairs held at once; element pairs of
 #: two nodes that are compared at once instead of going further down.
 NODE, LEAST_BLOCK, HELD, LEAF = 1 << 18, 4096, 1 << 17, 16
+#: Pairs of a cell that are kept while links are taken level by level.
+KEPT = 1 << 20
 
 
 def sub_prints(lanes: np.ndarray, table: int, bits: int) -> np.ndarray:
@@ -160,13 +162,14 @@ def _near(left: np.ndarray, right: np.ndarray, u: np.ndarray, v: np.ndarray, err
     return u[ok], v[ok]
 
 
-def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: int = 1, bits: int = 64, most: int | None = None, least_prefix: int = 4) -> DataFrame:
-    """Links (a, b) that join the same nodes as all links of ``prints`` do.
+def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: int = 1, bits: int = 64, most: tuple[int, ...] = (), least_prefix: int = 4) -> DataFrame:
+    """Links (a, b, level) that join the same nodes as all links of ``prints`` do.
 
     ``prints``: node long, lanes binary (``words`` big-endian 64-bit words), about ``rows``
     rows, from a written table. Two nodes are linked if in any of the ``tables`` bit ranges
-    they differ in ``errors`` bits at most, and, if ``most`` is given, in all bits in
-    ``most`` at most.
+    they differ in ``errors`` bits at most, and, if ``most`` is given, in all bits in its
+    last limit at most. Links within a lower limit come first: ``level`` is the first limit
+    that a link is within, and none of a higher level joins what lower ones join already.
     """
     prefix = min(16, bits, max(least_prefix, int(np.ceil(np.log2(max(1, rows) / NODE)))))
     lane = lambda t, p: _bits(F.col("lanes"), t * bits, p)
@@ -212,22 +215,45 @@ def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: in
         node, sub, lanes = node[order], sub[order], lanes[order]
         n = len(node) if alone else int(len(side) - side.sum())
         forest = Forest(len(node))
-        pairs = join_cell(sub, None, prefix, bits, errors, 0) if alone else join_cell(sub[:n], sub[n:], prefix, bits, errors, (lo ^ hi).bit_count())
-        for u, v in pairs:
-            v = v if alone else v + n
-            if most is not None and len(u):
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            found = join_cell(sub, None, prefix, bits, errors, 0) if alone else join_cell(sub[:n], sub[n:], prefix, bits, errors, (lo ^ hi).bit_count())
+            for u, v in found:
+                v = v if alone else v + n
                 far = np.zeros(len(u), np.int64)
-                for w in range(words):
+                for w in range(words if most and len(u) else 0):
                     far += np.bitwise_count(lanes[u, w] ^ lanes[v, w])
-                u, v = u[far <= most], v[far <= most]
-            if len(u):
-                forest.add(u, v)
+                near = far <= most[-1] if most else slice(None)
+                if len(u[near]):
+                    yield u[near], v[near], far[near]
+
+        levels: list[int] = []
+        below = -1
+        held = _held(pairs(), KEPT)
+        for limit in most or (0,):
+            for u, v, far in held if held is not None else pairs():
+                at = (far > below) & (far <= limit)
+                if at.any():
+                    forest.add(u[at], v[at])
+            levels += [(most or (0,)).index(limit)] * (sum(len(x) for x, _ in forest.links) - len(levels))
+            below = limit
         u = np.concatenate([x for x, _ in forest.links]) if forest.links else np.zeros(0, np.int64)
         v = np.concatenate([x for _, x in forest.links]) if forest.links else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(node[u], pa.int64()), "b": pa.array(node[v], pa.int64())})
+        return pa.table({"a": pa.array(node[u], pa.int64()), "b": pa.array(node[v], pa.int64()), "level": pa.array(levels, pa.int32())})
 
     dealt = prints.select("node", "lanes").mapInArrow(deal, "g long, ij long, side boolean, node long, lanes binary")
-    return dealt.groupBy("g", "ij").applyInArrow(cell, "a long, b long")
+    return dealt.groupBy("g", "ij").applyInArrow(cell, "a long, b long, level int")
+
+
+def _held(pairs: Iterator[tuple], most: int) -> list[tuple] | None:
+    """All pieces if they are ``most`` pairs or fewer, else None: the pairs are then found again when wanted."""
+    out, n = [], 0
+    for p in pairs:
+        n += len(p[0])
+        if n > most:
+            return None
+        out.append(p)
+    return out
 
 
 def _bits(lanes: F.Column, start: int, n: int) -> F.Column:
