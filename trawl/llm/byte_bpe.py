@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.llm.shared import release, table
-from trawl.llm.vocab import NO_RANK, merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
+from trawl.llm.vocab import merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
 SLOT_BITS, BUCKET_BITS, ID_BITS = 17, 15, 24
@@ -72,20 +72,17 @@ class RankLiterals:
     """The rank map as foldable literals: ids of bytes, ranks of byte pairs, and the hash of all pairs."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        def literal(values: np.ndarray, kind: str) -> Column:
-            return F.from_json(F.lit("[" + ",".join(map(str, values.tolist())) + "]"), f"array<{kind}>")
-
-        def known(pieces: Iterable[bytes]) -> np.ndarray:
-            return np.array([ranks.get(p, NO_RANK) for p in pieces], np.int32)
+        def literal(values: Iterable[int | None], kind: str) -> Column:
+            return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), f"array<{kind}>")
 
         keys, found = pair_ranks(ranks)
         shifts, slots = perfect_hash(keys)
         empty = slots < 0
-        self.byte_ids = literal(known(bytes((i,)) for i in range(256)), "int")
-        self.byte_pairs = literal(known(bytes(divmod(i, 256)) for i in range(1 << 16)), "int")
-        self.shifts = literal(shifts, "int")
-        self.keys = literal(np.where(empty, -1, keys[slots]), "bigint")
-        self.values = literal(np.where(empty, NO_RANK, found[slots]), "int")
+        self.byte_ids = literal((ranks.get(bytes((i,))) for i in range(256)), "int")
+        self.byte_pairs = literal((ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)), "int")
+        self.shifts = literal(shifts.tolist(), "int")
+        self.keys = literal(np.where(empty, -1, keys[slots]).tolist(), "bigint")
+        self.values = literal(np.where(empty, 0, found[slots]).tolist(), "int")
         release()
 
 
@@ -99,15 +96,16 @@ def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
     def bits(h: Column, start: int, n: int) -> Column:
         return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << n) - 1))
 
-    def rank(a: Column, b: Column) -> Column:
-        def slot(h: Column) -> Column:
-            shift = F.get(ranks.shifts, bits(h, 0, BUCKET_BITS).cast("int"))
-            return (bits(h, 20, 20) + shift * bits(h, 42, 18).bitwiseOR(F.lit(1))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+    def slot(h: Column) -> Column:
+        shift = F.get(ranks.shifts, bits(h, 0, BUCKET_BITS).cast("int"))
+        return (bits(h, 20, 20) + shift * bits(h, 42, 18).bitwiseOR(F.lit(1))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
 
-        def found(key: Column) -> Column:
-            return let(let(F.xxhash64(key), slot), lambda i: F.when(F.get(ranks.keys, i) == key, F.get(ranks.values, i)).otherwise(F.lit(NO_RANK)))
+    def rank(key: Column) -> Column:
+        """The rank of a pair, null if it has none. The literals stand in the plan once: plans are kept and shown as text."""
+        return let(let(F.xxhash64(key), slot), lambda i: F.when(F.get(ranks.keys, i) == key, F.get(ranks.values, i)))
 
-        return let(F.shiftleft(a.cast("long"), ID_BITS).bitwiseOR(b.cast("long")), found)
+    def pair(a: Column, b: Column) -> Column:
+        return F.shiftleft(a.cast("long"), ID_BITS).bitwiseOR(b.cast("long"))
 
     none = F.array().cast("array<int>")
     pieces = F.transform(raw, lambda b: F.get(ranks.byte_ids, b))
@@ -118,16 +116,17 @@ def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
         p, r = acc["p"], acc["r"]
 
         def joined(at: Column, new: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.get(p, at - 2), new))).otherwise(none)
-            right = F.when(at < F.size(r), F.array(rank(new, F.get(p, at + 1)))).otherwise(none)
+            beside = F.transform(F.array(pair(F.get(p, at - 2), new), pair(new, F.get(p, at + 1))), rank)
             kept = F.when(at > 2, F.slice(r, F.lit(1), at - 2)).otherwise(none)
+            first = F.when(at > 1, 1).otherwise(2)
+            count = F.when(at < F.size(r), 3 - first).otherwise(2 - first)
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(kept, left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
+                F.concat(kept, F.slice(beside, first, count), F.slice(r, at + 2, F.size(r))).alias("r"),
             )
 
         def step(best: Column) -> Column:  # the rank of a joined piece is its id
-            return F.when(best < NO_RANK, let(F.array_position(r, best).cast("int"), lambda at: joined(at, best))).otherwise(acc)
+            return F.when(best.isNotNull(), let(F.array_position(r, best).cast("int"), lambda at: joined(at, best))).otherwise(acc)
 
         return let(F.array_min(r), step)
 

@@ -8,8 +8,6 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-NO_RANK = 2**31 - 1
-
 
 def vocabulary_path(name: str) -> str:
     """Where the box keeps a public vocabulary; callers may pass any other path."""
