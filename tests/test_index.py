@@ -207,3 +207,37 @@ def test_debounce_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted((r["k"], r["n"]) for r in spark.table("runs").collect()) == [("a", 1), ("a", 2), ("b", 1)]
     assert sorted((r["k"], r["n"]) for r in debounced(rows, "2 seconds", "k").collect()) == [("a", 1), ("a", 2), ("b", 1), ("z", 1)]
+
+
+def test_requests():
+    from trawl.index.requests import SearchRequest, parse_request, redacted
+
+    assert parse_request(b'{"query": "q", "limit": 3}') == SearchRequest("q", 3)
+    for bad in (b'{"q": 1}', b"[]", b'{"query": 1}', b'{"limit": true}', b'{"query": "a"} x', b" " * (1 << 20) + b"{}"):
+        with pytest.raises(ValueError):
+            parse_request(bad)
+    assert redacted({"index_path": "/a", "error": "open /a/b failed", "n": 1, "x": {"root": "/r", "m": "ok"}}) == {"error": "open <redacted>", "n": 1, "x": {"m": "ok"}}
+
+
+def test_progress(spark, tmp_path):
+    from trawl.index.requests import Progress
+    from trawl.index.snapshot import Files
+
+    files = Files(spark, str(tmp_path / "p"))
+    assert Progress.load(files) == Progress()
+    p = Progress(True, 30, 7, started=100.0)
+    for i in range(50):
+        p.add_failed(f"f{i % 25}")
+    p.save(files, now=170.0)
+    q = Progress.load(files)
+    assert q == p and len(q.failed_files) == 20 and q.percent == 23.3 and q.seconds_left(170.0) == 230
+    assert q.stalled(291.0) and not q.stalled(290.0)
+
+
+def test_result_json(spark, workspace, tmp_path):
+    from trawl.index.requests import SearchRequest, result_json
+
+    engine = Engine(spark, str(tmp_path / "index"), "w", HashEmbedder(16))
+    engine.reindex(read_files(spark, str(workspace)))
+    found = json.loads(result_json(engine.search("pasta", 2), SearchRequest("pasta", 2)))
+    assert found["query"] == "pasta" and len(found["results"]) == 2 and "doc_id" not in found["results"][0]

@@ -99,6 +99,22 @@ def is_query_text(text: Column) -> Column:
     return text.rlike(QUERY_START)
 
 
+def query_name(text: Column) -> Column:
+    """What follows the first word of a query's first line that is not blank; '' for other text."""
+    first = F.regexp_extract(text, r"^\s*(\S[^\n]*)", 1)
+    fields = F.split(first, r"[\s,]+")
+    return F.when(is_query_text(text) & (F.size(fields) > 1), F.get(fields, F.lit(1))).otherwise("")
+
+
+def opens_fence(line: Column) -> Column:
+    return line.rlike(r"^\s*(`{3,}|~{3,})")
+
+
+def is_table_row(line: Column) -> Column:
+    t = trimmed(line)
+    return t.startswith("|") | t.endswith("|")
+
+
 QUERY_BLOCK = r"(?s)<query>(.*?)</query>"
 
 

@@ -79,3 +79,18 @@ def eviction_order(workspaces: DataFrame) -> DataFrame:
     """Idle workspaces (refs = 0), the one to evict first first."""
     idle = workspaces.where("refs = 0")
     return idle.withColumn("evict_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("last_used", "workspace_id")))
+
+
+def median_of_last(samples: DataFrame, key: str, window: int = 20) -> DataFrame:
+    """The median of each stream's last samples."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.col("seq").desc()))
+    return samples.withColumn("back", back).where(F.col("back") <= window).groupBy(key).agg(F.expr("percentile(ms, 0.5)").alias("median_ms"))
+
+
+def present_ids(manifest: DataFrame, collection: DataFrame) -> DataFrame:
+    """Per file the ids, in order, that the collection holds, and how many it lacks."""
+    ids = manifest.select("relative_path", F.posexplode("doc_ids").alias("at", "doc_id"))
+    there = collection.select("doc_id", F.lit(True).alias("there")).distinct()
+    marked = ids.join(there, "doc_id", "left").groupBy("relative_path").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "there"))).alias("all"))
+    held = F.filter("all", lambda x: x["there"].isNotNull())
+    return marked.select("relative_path", F.transform(held, lambda x: x["doc_id"]).alias("present"), (F.size("all") - F.size(held)).alias("missing"))

@@ -17,25 +17,30 @@ def window_options(window: int = 0, overlap: int = 0) -> tuple[int, int]:
 
 
 def line_windows(files: DataFrame, path_col: str = "relative_path", text_col: str = "content", window: int = 0, overlap: int = 0) -> DataFrame:
-    """Chunks of ``files``: windows of lines of the normalised text, blank ones left out, with bytes, ordinal and id."""
+    """Chunks of ``files``: windows of lines of the normalised text, blank ones left out, with bytes, ordinal and id.
+
+    A file's windows are built as one array of small structs before they become rows, so its
+    lines are not copied once a window; the bytes before a window are sums of whole steps.
+    """
     size, over = window_options(window, overlap)
     step = size - over
     lines = files.select(F.col(path_col).alias("relative_path"), F.split(normal_text(F.col(text_col)), "\n", -1).alias("lines"))
     n = F.size("lines")
     count = F.when(n <= size, F.lit(1)).otherwise(F.lit(1) + F.ceil((n - size) / F.lit(step)).cast("int"))
-    one = lines.select("relative_path", "lines", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
-    first = F.col("k") * step
-    own = F.slice("lines", first + 1, F.lit(size))
-    before = F.slice("lines", F.lit(1), first)
-    start_byte = F.aggregate(before, F.lit(0), lambda a, x: a + F.octet_length(x) + 1)
-    cut = one.select(
-        "relative_path",
-        "k",
-        (first + 1).cast("long").alias("start_line"),
-        F.least(first + size, n).cast("long").alias("end_line"),
-        start_byte.cast("long").alias("start_byte"),
-        F.array_join(own, "\n").alias("snippet"),
-    ).where(~is_blank(F.col("snippet")))
+    numbers = F.sequence(F.lit(0), count - 1)
+    in_step = F.transform(numbers, lambda k: F.aggregate(F.slice("lines", k * step + 1, F.lit(step)), F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1))
+    steps = lines.select("relative_path", "lines", numbers.alias("numbers"), in_step.alias("in_step"))
+
+    def one(k):  # noqa: ANN001, ANN202
+        return F.struct(
+            k.alias("k"),
+            (k * step + 1).cast("long").alias("start_line"),
+            F.least(k * step + size, n).cast("long").alias("end_line"),
+            F.aggregate(F.slice("in_step", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x).alias("start_byte"),
+            F.array_join(F.slice("lines", k * step + 1, F.lit(size)), "\n").alias("snippet"),
+        )
+
+    cut = steps.select("relative_path", F.explode(F.transform("numbers", one)).alias("w")).select("relative_path", "w.*").where(~is_blank(F.col("snippet")))
     return number_chunks(cut.withColumn("end_byte", F.col("start_byte") + F.octet_length("snippet")), "k")
 
 

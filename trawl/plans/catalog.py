@@ -504,3 +504,68 @@ def search(spark, sf_dir):
     found = with_embeddings(given, "embed_text", embedder).withColumnRenamed("relative_path", "path")
     near = vectors.nearest(found, embedder.embed([asked])[0], rerank.over_fetch(20), "embedding", "doc_id", paths.matches_glob(F.col("path"), "**/*.md"))
     return rerank.rerank(near.drop("embedding"), asked, 20).select("doc_id", "path", "start_line", "end_line", "score", "adjusted")
+
+
+@query("a8_median_latency", "SELECT stream, round(median(ms), 6) AS median_ms FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq DESC) AS back FROM (SELECT user_id % 20 AS stream, event_id AS seq, value * 100 AS ms FROM events)) WHERE back <= 20 GROUP BY stream")
+def median_latency(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("stream"), F.col("event_id").alias("seq"), (F.col("value") * 100).alias("ms"))
+    return stats.median_of_last(e, "stream").select("stream", F.round("median_ms", 6).alias("median_ms"))
+
+
+@query("j5_ids_present", f"WITH {SNAPSHOTS_SQL}, {_COLLECTION} SELECT relative_path, list_filter(doc_ids, lambda x: x NOT LIKE 'd1%_2') AS present, len(list_filter(doc_ids, lambda x: x LIKE 'd1%_2'))::INTEGER AS missing FROM manifest")
+def ids_present(spark, sf_dir):
+    manifest = snapshots(spark, sf_dir)[1]
+    collection = stats.all_ids(manifest).where("doc_id NOT LIKE 'd1%\\\\_2'")
+    return stats.present_ids(manifest, collection)
+
+
+@query("k6_manifest_order", f"WITH {SNAPSHOTS_SQL} SELECT relative_path, chunk_count FROM manifest ORDER BY relative_path LIMIT 50")
+def manifest_order(spark, sf_dir):
+    return snapshots(spark, sf_dir)[1].orderBy("relative_path").limit(50).select("relative_path", "chunk_count")
+
+
+@query("x1_slashes", "SELECT doc_id, replace(lang || '\\' || source || '/x', '\\', '/') AS path FROM documents")
+def slashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", paths.slashes(F.concat("lang", F.lit("\\"), "source", F.lit("/x"))).alias("path"))
+
+
+@query("x3_normal_text", "SELECT doc_id, sha256(replace(replace(replace(text, ' ', chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS h FROM documents")
+def normal_text(spark, sf_dir):
+    ragged = F.concat(F.lit("﻿"), F.replace("text", F.lit(" "), F.lit("\r\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normal_text(ragged), 256).alias("h"))
+
+
+@query("f6_blank_lines", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*$')))::INTEGER AS blank FROM documents")
+def blank_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n", -1), text.is_blank)).alias("blank"))
+
+
+@query("f10_public_hits", f"WITH {_HITS} SELECT path, start_line, end_line, symbol_name, chunk_strategy, score FROM hits ORDER BY score, path LIMIT 30")
+def public_hits(spark, sf_dir):
+    return hits(spark, sf_dir).orderBy("score", "path").limit(30).select("path", "start_line", "end_line", "symbol_name", "chunk_strategy", "score")
+
+
+@query("o3_journal_union", f"WITH {SNAPSHOTS_SQL} SELECT d AS doc_id, count(*) AS n FROM (SELECT unnest(doc_ids) AS d FROM manifest UNION ALL SELECT unnest(doc_ids) FROM manifest WHERE doc_id % 2 = 0) GROUP BY d")
+def journal_union(spark, sf_dir):
+    m = snapshots(spark, sf_dir)[1]
+    ids = m.select(F.explode("doc_ids").alias("doc_id")).unionByName(m.where("doc_id % 2 = 0").select(F.explode("doc_ids").alias("doc_id")))
+    return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x17_fences", r"SELECT doc_id, regexp_matches(line, '^\s*(`{3,}|~{3,})') AS opens, contains(trim(line), '|') AND (starts_with(trim(line), '|') OR ends_with(trim(line), '|')) AS is_table FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ```py' WHEN 1 THEN '~~' WHEN 2 THEN '| ' || source || ' |' WHEN 3 THEN source || ' | x' ELSE '~~~~' END AS line FROM documents)")
+def fences(spark, sf_dir):
+    line = F.get(F.array(F.lit("  ```py"), F.lit("~~"), F.concat(F.lit("| "), "source", F.lit(" |")), F.concat("source", F.lit(" | x")), F.lit("~~~~")), F.pmod("doc_id", F.lit(5)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.opens_fence(line).alias("opens"), text.is_table_row(line).alias("is_table"))
+
+
+@query("x18_query_text", "SELECT doc_id, doc_id % 3 <> 1 AS is_query, CASE doc_id % 3 WHEN 0 THEN source WHEN 2 THEN 'Поле' ELSE '' END AS name FROM documents")
+def query_text_names(spark, sf_dir):
+    given = F.get(F.array(F.concat(F.lit("\n  select "), "source", F.lit(", b from t")), F.lit("selected x"), F.lit("ВЫБРАТЬ Поле ИЗ Т")), F.pmod("doc_id", F.lit(3)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_query_text(given).alias("is_query"), text.query_name(given).alias("name"))
+
+
+@query("p2_status", f"WITH {SNAPSHOTS_SQL}, {_COLLECTION} SELECT (SELECT count(*) FROM manifest) AS files, (SELECT sum(chunk_count) FROM manifest)::BIGINT AS chunks, (SELECT count(*) FROM c) AS doc_count")
+def status(spark, sf_dir):
+    manifest = snapshots(spark, sf_dir)[1]
+    docs = stats.all_ids(manifest).where("doc_id NOT LIKE 'd1%\\\\_2'").agg(F.count(F.lit(1)).alias("doc_count"))
+    return stats.manifest_stats(manifest).crossJoin(docs)  # one row each
