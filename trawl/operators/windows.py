@@ -33,28 +33,23 @@ def line_windows(files: DataFrame, path_col: str = "relative_path", text_col: st
 
     def one(k):  # noqa: ANN001, ANN202
         return F.struct(
-            k.alias("k"),
             (k * step + 1).cast("long").alias("start_line"),
             F.least(k * step + size, n).cast("long").alias("end_line"),
             F.aggregate(F.slice("in_step", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x).alias("start_byte"),
             F.array_join(F.slice("lines", k * step + 1, F.lit(size)), "\n").alias("snippet"),
         )
 
-    cut = steps.select("relative_path", F.explode(F.transform("numbers", one)).alias("w")).select("relative_path", "w.*").where(~is_blank(F.col("snippet")))
-    return number_chunks(cut.withColumn("end_byte", F.col("start_byte") + F.octet_length("snippet")), "k")
+    kept = F.filter(F.transform("numbers", one), lambda w: ~is_blank(w["snippet"]))
+    cut = steps.select("relative_path", F.posexplode(kept).alias("at", "w")).select("relative_path", (F.col("at") + 1).alias("chunk_index"), "w.*")
+    return _named(cut.withColumn("end_byte", F.col("start_byte") + F.octet_length("snippet")))
 
 
-def number_chunks(cut: DataFrame, order: str) -> DataFrame:
-    """Adds the ordinal in the file and the id. ``order`` gives the order within a file."""
-    from pyspark.sql import Window
-
-    index = F.row_number().over(Window.partitionBy("relative_path").orderBy(order))
-    path = F.col("relative_path")
-    none = F.lit("")
-    out = cut.withColumn("chunk_index", index).withColumn("chunk_type", chunk_type(path)).withColumn("name", basename(path))
-    out = out.withColumn("symbol_name", none).withColumn("symbol_kind", none).withColumn("parent_scope", none).withColumn("chunk_strategy", F.lit("line_window"))
+def _named(cut: DataFrame) -> DataFrame:
+    """Adds what all line windows have in common, and the id."""
+    path, none = F.col("relative_path"), F.lit("")
+    out = cut.withColumns({"chunk_type": chunk_type(path), "name": basename(path), "symbol_name": none, "symbol_kind": none, "parent_scope": none, "chunk_strategy": F.lit("line_window")})
     made = doc_id(path, F.col("start_line"), F.col("end_line"), F.col("start_byte"), F.col("end_byte"), F.col("chunk_index"), F.col("chunk_strategy"), F.col("chunk_type"), F.col("symbol_name"), F.col("snippet"))
-    return out.withColumn("relative_path", slashes(path)).withColumn("doc_id", made).drop(order)
+    return out.withColumn("relative_path", slashes(path)).withColumn("doc_id", made)
 
 
 def longest_line(text):  # noqa: ANN001, ANN201
