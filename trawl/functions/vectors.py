@@ -39,7 +39,11 @@ def nearest(df: DataFrame, query: list[float], k: int, vector_col: str = "embedd
     """
     k = k if k > 0 else 10
     rows = df if only is None else df.where(only)
-    return rows.withColumn("score", cosine_distance(F.col(vector_col), literal_vector(query))).orderBy("score", id_col).limit(k)
+    q = np.asarray(query, np.float64)
+    length = float(np.linalg.norm(q))
+    v = F.col(vector_col)
+    score = F.lit(1.0) - dot(v, literal_vector(q / length if length else q)) / F.sqrt(dot(v, v))
+    return rows.withColumn("score", score).orderBy("score", id_col).limit(k)
 
 
 def nearest_batch(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
