@@ -157,7 +157,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ranks = read_ranks(vocabulary or vocabulary_path("byte_bpe_50k.tiktoken"))
     id_type = docs.schema[id_col].dataType
-    chunks = split_words(docs, id_col, text_col, lambda: splitter(pattern or split_pattern()), frequencies=False)
+    public, pattern = pattern is None, pattern or split_pattern()
+    chunks = split_words(docs, id_col, text_col, lambda: splitter(pattern, public), frequencies=False)
     words = distinct_words(chunks, _spell(ranks), "places binary, raw array<int>, ids array<int>")
     encoded = words.select("places", F.coalesce("ids", fold_merges(F.col("raw"), RankLiterals(ranks))).alias("ids"))
     send, sent = sender(id_type)

@@ -24,15 +24,15 @@ from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words,
 SAFE = r"[^\x00-\u0557\u0600-\u06ff\u0900-\u0963\u2000-\u2064\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fef\uac00-\ud7a3\uff00-\uffef\U0001f300-\U0001f64f]"
 
 
-def _splitter(path: str, pattern: str) -> Callable[[], Callable[[str], list[str]]]:
+def _splitter(vocabulary: str, pattern: str, public: bool) -> Callable[[], Callable[[str], list[str]]]:
     def make() -> Callable[[str], list[str]]:
         import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(vocabulary)
         specials = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-        words, odd = splitter(pattern), regex.compile(SAFE)
+        words, odd = splitter(pattern, public), regex.compile(SAFE)
 
         def plain(text: str) -> list[str]:
             if odd.search(text):
@@ -52,14 +52,14 @@ def _splitter(path: str, pattern: str) -> Callable[[], Callable[[str], list[str]
     return make
 
 
-def _count_pieces(path: str) -> Step:
+def _count_pieces(vocabulary: str) -> Step:
     """The step from rows (word, places) to (places, pieces): the number of pieces, each word being met once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(vocabulary)
         specials = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         for batch in batches:
             texts = [w.decode() for w in batch.column(0).to_pylist()]
@@ -75,10 +75,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty and has no tokens; null and repeated ids keep their rows;
     other columns are not read; an empty table gives an empty result.
     """
-    path = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    chunks = split_words(docs, id_col, text_col, _splitter(path, pattern or split_pattern()), frequencies=True)
+    with open(vocabulary or vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = f.read()  # executors need not have the file
+    chunks = split_words(docs, id_col, text_col, _splitter(content, pattern or split_pattern(), pattern is None), frequencies=True)
     id_type = docs.schema[id_col].dataType
-    count, (send, sent) = _count_pieces(path), sender(id_type)
+    count, (send, sent) = _count_pieces(content), sender(id_type)
     back = distinct_words(chunks, lambda batches: send(count(batches)), sent)
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_type

@@ -22,13 +22,13 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """The function that splits a text by ``pattern``. For the public one, texts of Latin letters and common
+def splitter(pattern: str, public: bool) -> Callable[[str], list[str]]:
+    """The function that splits a text by ``pattern``. If it is the ``public`` one, texts of Latin letters and common
     punctuation take an equal expression of explicit classes, which the standard library matches faster."""
     import regex
 
     general = regex.compile(pattern).findall
-    if pattern != split_pattern():
+    if not public:
         return general
 
     def chars(of: Callable[[str], bool]) -> str:
