@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,35 +27,42 @@ from trawl.llm.shared import release, table
 from trawl.llm.vocab import merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
-SLOT_BITS, BUCKET_BITS, ID_BITS = 17, 15, 24
+ID_BITS = 24
 #: Longest word, in bytes, that is folded by higher-order functions.
 FOLD_BYTES = 512
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """What two neighbouring pieces join to, for all splits of all pieces: the pairs of their ids as keys, sorted, and the ranks."""
+    """What two neighbouring pieces join to: the pairs of their ids as keys, sorted, and the ranks.
+
+    Merges inside a span that none crosses go as they would in the span alone. So a piece is only ever
+    joined from the two parts that lower ranks leave of it, and one pair a piece is enough. A piece
+    of which they leave more cannot come about.
+    """
     keys, found = array("q"), array("i")
     for piece, rank in ranks.items():
-        for i in range(1, len(piece)):
-            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
-            if a is not None and b is not None:
-                keys.append(a << ID_BITS | b)
-                found.append(rank)
+        parts = merge_by_rank(piece, ranks, rank) if len(piece) > 1 else ()
+        if len(parts) == 2:
+            keys.append(parts[0] << ID_BITS | parts[1])
+            found.append(rank)
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     return np.array(keys, np.int64)[order], np.array(found, np.int32)[order]
 
 
 def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A slot for each key without collisions: the shift of each bucket, and the index of the key in each slot (-1: none)."""
+    """A slot for each key without collisions: the shift of each bucket, and the index of the key in each slot (-1: none). Both are powers of 2 long."""
     import xxhash
 
+    slot_bits = max(4, math.ceil(math.log2(max(1, len(keys)) * 1.3)))
+    bucket_bits = slot_bits - 2
+
     h = np.fromiter((xxhash.xxh64_intdigest(k.tobytes(), 42) for k in keys), np.uint64, len(keys)).astype(np.uint64)
-    bucket = (h & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+    bucket = (h & np.uint64((1 << bucket_bits) - 1)).astype(np.int64)
     first = (h >> np.uint64(20) & np.uint64(0xFFFFF)).astype(np.int64)
     step = (h >> np.uint64(42) & np.uint64(0x3FFFF) | np.uint64(1)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
-    shifts, slots, mask = np.zeros(1 << BUCKET_BITS, np.int32), np.full(1 << SLOT_BITS, -1, np.int32), (1 << SLOT_BITS) - 1
+    cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1))
+    shifts, slots, mask = np.zeros(1 << bucket_bits, np.int32), np.full(1 << slot_bits, -1, np.int32), (1 << slot_bits) - 1
     sizes = np.diff(cuts)
     for b in np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())].tolist():
         own = order[cuts[b] : cuts[b + 1]]
@@ -77,12 +85,14 @@ class RankLiterals:
 
         keys, found = pair_ranks(ranks)
         shifts, slots = perfect_hash(keys)
+        self.slots, self.buckets = len(slots), len(shifts)
         empty = slots < 0
         self.byte_ids = literal((ranks.get(bytes((i,))) for i in range(256)), "int")
         self.byte_pairs = literal((ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)), "int")
         self.shifts = literal(shifts.tolist(), "int")
-        self.keys = literal(np.where(empty, -1, keys[slots]).tolist(), "bigint")
-        self.values = literal(np.where(empty, 0, found[slots]).tolist(), "int")
+        at = np.where(empty, 0, slots)
+        self.keys = literal(np.where(empty, -1, keys[at] if len(keys) else -1).tolist(), "bigint")
+        self.values = literal(np.where(empty, 0, found[at] if len(keys) else 0).tolist(), "int")
         release()
 
 
@@ -93,12 +103,12 @@ def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
         """A lambda's variable is evaluated once, however often its body names it."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def bits(h: Column, start: int, n: int) -> Column:
-        return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << n) - 1))
+    def bits(h: Column, start: int, mask: int) -> Column:
+        return F.shiftrightunsigned(h, start).bitwiseAND(F.lit(mask))
 
     def slot(h: Column) -> Column:
-        shift = F.get(ranks.shifts, bits(h, 0, BUCKET_BITS).cast("int"))
-        return (bits(h, 20, 20) + shift * bits(h, 42, 18).bitwiseOR(F.lit(1))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+        shift = F.get(ranks.shifts, bits(h, 0, ranks.buckets - 1).cast("int"))
+        return (bits(h, 20, 0xFFFFF) + shift * bits(h, 42, 0x3FFFF).bitwiseOR(F.lit(1))).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
 
     def rank(key: Column) -> Column:
         """The rank of a pair, null if it has none. The literals stand in the plan once: plans are kept and shown as text."""

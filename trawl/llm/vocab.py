@@ -51,9 +51,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def merge_by_rank(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of ``word``: again and again the leftmost pair of lowest rank is joined. O(n log n)."""
-    if word in ranks:
+def merge_by_rank(word: bytes, ranks: dict[bytes, int], below: int | None = None) -> list[int]:
+    """Ids of ``word``: again and again the leftmost pair of lowest rank is joined. O(n log n).
+
+    A word that is a piece itself is its id; with ``below`` only ranks under it are joined instead.
+    """
+    if below is None and word in ranks:
         return [ranks[word]]
     n = len(word)
     end, after, before = [i + 1 for i in range(n)], [i + 1 for i in range(n)], [i - 1 for i in range(n)]
@@ -61,7 +64,7 @@ def merge_by_rank(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
+        if j < n and (r := ranks.get(word[i : end[j]])) is not None and (below is None or r < below):
             heapq.heappush(heap, (r, i, end[j]))
 
     for i in range(n - 1):
