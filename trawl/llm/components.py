@@ -21,17 +21,17 @@ def components(edges: DataFrame) -> DataFrame:
     split in.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", share=16)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low", share=16)
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large")
-        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = materialise(large, "large", share=16)
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low", share=16)
         pairs = large.join(low, "a")
         small = pairs.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = materialise(small.distinct(), "links")
+        edges = materialise(small.distinct(), "links", share=16)
         before, state = state, _state(edges)
         if state == before:
             break

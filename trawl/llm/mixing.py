@@ -54,14 +54,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """
     margins = list(targets)
     total = cells.agg(F.sum("weight").alias("all"))
-    now = materialise(cells.join(F.broadcast(total)).withColumn("fitted", F.col("weight") / F.col("all")).drop("all"), "cells")
+    now = materialise(cells.join(F.broadcast(total)).withColumn("fitted", F.col("weight") / F.col("all")).drop("all"), "cells", share=64)
     for _ in range(rounds):
         step = now
         for m in margins:
             sums = step.groupBy(m).agg(F.sum("fitted").alias("rake_sum")).join(targets[m], m, "left")
             factor = F.when(F.col("rake_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("rake_sum")).otherwise(F.lit(0.0))
             step = step.join(sums.select(m, factor.alias("rake_factor")), m).withColumn("fitted", F.col("fitted") * F.col("rake_factor")).drop("rake_factor")
-        now = materialise(step.select(*now.columns), "cells")
+        now = materialise(step.select(*now.columns), "cells", share=64)
         off = [
             now.groupBy(m).agg(F.sum("fitted").alias("rake_sum")).join(targets[m], m, "left").agg(F.coalesce(F.max(F.abs(F.col("rake_sum") - F.coalesce("target", F.lit(0.0))) / F.greatest("target", F.lit(1e-12))), F.lit(0.0)).alias("off"))
             for m in margins
@@ -92,12 +92,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margins
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(DRAWS)) / F.lit(float(DRAWS))
     marked = docs.select("*", *[_margin(c).alias(names[m]) for m, c in given.items()], token_weight(F.col(text_col)).alias("mix_weight"), draw.alias("mix_draw"))
     keys = list(names.values())
-    cells = materialise(marked.groupBy(*keys).agg(F.sum("mix_weight").alias("weight")), "cells")
-    wanted = {names[m]: targets[m].select(_margin(F.col(m)).alias(names[m]), "target") if targets else materialise(tempered_targets(cells, names[m], power), "targets") for m in given}
+    cells = materialise(marked.groupBy(*keys).agg(F.sum("mix_weight").alias("weight")), "cells", share=64)
+    wanted = {names[m]: targets[m].select(_margin(F.col(m)).alias(names[m]), "target") if targets else materialise(tempered_targets(cells, names[m], power), "targets", share=64) for m in given}
     fitted = rake(cells, wanted)
     sums = fitted.agg(F.sum("weight").alias("all"))
     factors = fitted.join(F.broadcast(sums)).withColumn("mix_factor", F.col("fitted") * F.col("all") / F.col("weight")).drop("all")
-    factors = materialise(factors, "factors")
+    factors = materialise(factors, "factors", share=64)
     rate = F.col("mix_factor") * F.lit(keep if repeat else _level(factors, keep))
     factors = factors.select(*keys, "mix_factor", (rate if repeat else F.least(F.lit(1.0), rate)).alias("mix_rate"))
     copies = F.floor("mix_rate") + (F.col("mix_draw") < F.col("mix_rate") - F.floor("mix_rate")).cast("long")

@@ -26,11 +26,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/trawl/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which also cuts its lineage."""
+def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which also cuts its lineage.
+
+    ``share`` over 1 is for tables that are small beside the input: a file for so many
+    shuffle partitions, so that rounds over them do not leave thousands of tiny files.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", codec).parquet(path, partitionBy=list(partition_by) or None)
+    if share > 1:
+        df = df.coalesce(max(1, width(spark) // share))
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
