@@ -338,6 +338,16 @@ def test_copies_of_one_text_disclose_nothing(spark):
     assert found.where(F.size("terms") > 0).count() == 0 and found.where(F.size("base") == 1).count() == 20
 
 
+def test_entities_of_one_text_take_part(spark):
+    rows = [(0, "Write to bob@x.org or 10.1.2.3 about Quuxly today"), (1, "Ann met eve@y.org with Plimth today"), (2, "Plimth again but eve@y.org is out")]
+    rows += [(10 + i, f"or write to them about filler {i} again today") for i in range(3000)]
+    found = {r["row"]["doc_id"]: r for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    texts = dict(rows)
+    marked = {i: [texts[i][s["start"] : s["stop"]] for s in found[i]["terms"]] for i in range(3)}
+    assert marked == {0: ["Quuxly"], 1: ["Ann", "met", "with", "Plimth"], 2: ["Plimth", "but", "is", "out"]}
+    assert all(not found[10 + i]["terms"] for i in range(3000))
+
+
 def test_sanitised_texts(spark):
     df = secret_documents(spark)
     out = {r["doc_id"]: r for r in pii.sanitise(df).collect()}

@@ -4,10 +4,11 @@ Base spans (e-mail, IP, card and phone numbers) come from regular expressions wi
 Every value found is a protected entity. Over the whole corpus, for each term (word of
 letters and digits) that occurs in documents with an entity, the co-occurrence tells how
 much the term reveals: the pointwise mutual information of term and entity as a share of the
-entity's information content, which is 1 for a term that only occurs beside the entity. A pair
-counts when it is met in ``support`` different texts. In documents that hold the entity,
-terms at ``generalise`` or more are replaced by a class of terms, at ``remove`` or more they
-go. All is DataFrame and SQL functions.
+entity's information content, which is 1 for a term that only occurs beside the entity. Every
+pair is scored; one that is met in fewer than ``support`` different texts is scored by a lower
+estimate: k texts take log2((1 + support) / (1 + k)) bits from its mutual information. In
+documents that hold the entity, terms at ``generalise`` or more are replaced by a class of
+terms, at ``remove`` or more they go. All is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -139,19 +140,24 @@ def _disclosures(held: DataFrame, texts: DataFrame, rows: int, support: int, gen
     ``held``: rows (copy, text, entities) with entities; ``texts``: one text column with all rows.
     """
     by_copy = held.select(F.explode("entities").alias("entity"), "copy").groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("n"))
-    by_entity = by_copy.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("copies"))
-    known = materialise(by_entity.where(F.col("copies") >= support).select("entity", "n_entity"), "entities")
+    by_entity = by_copy.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("copies"), F.min("copy").alias("copy"))
+    # entities of one and the same text have equal statistics: they are one, so that a text full of them is not multiplied by its terms
+    alone = F.concat(F.lit("in:"), F.col("copy").cast("string"))
+    known = by_entity.select(F.col("entity").alias("value"), F.when(F.col("copies") == 1, alone).otherwise(F.col("entity")).alias("entity"), "n_entity")
+    known = materialise(known, "entities")
     once = held.groupBy("copy").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count(F.lit(1)).alias("n"))
-    beside = materialise(once.select(F.explode("entities").alias("entity"), "copy", "text", "n").join(known, "entity"), "beside")
+    placed = once.select(F.explode("entities").alias("value"), "copy").join(known, "value").select("entity", "n_entity", "copy").distinct()
+    beside = materialise(placed.join(once.select("copy", "text", "n"), "copy"), "beside")
     pairs = beside.select("entity", "n_entity", "n", F.explode(_terms(F.col("text"))).alias("term"))
     pairs = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("copies"))
-    pairs = materialise(pairs.where(F.col("copies") >= support), "pairs")
+    pairs = materialise(pairs, "pairs")
     counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     scored = counts.join(pairs, "term")
     n = F.lit(float(max(1, rows)))
     information = F.log2(n / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
+    doubt = F.log2(F.lit(1.0 + support) / (F.least(F.col("copies"), F.lit(support)) + 1))
+    share = F.when(information > 0, (mutual - doubt) / information).otherwise(F.lit(0.0))
     found = scored.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
     return materialise(found, "disclosed"), beside.select("entity", "copy", "text")
 
