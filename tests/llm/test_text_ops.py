@@ -348,6 +348,16 @@ def test_entities_of_one_text_take_part(spark):
     assert all(not found[10 + i]["terms"] for i in range(3000))
 
 
+def test_terms_that_disclose_are_marked_wherever_they_stand(spark):
+    df = secret_documents(spark)
+    found = {r["row"]["doc_id"]: r for r in pii.personal_spans(df, ["doc_id"], everywhere=True).collect()}
+    assert len(found) == 39 and found[50]["base"] == [] and found[51]["terms"] == []
+    assert [(s["start"], s["stop"]) for i in (0, 50) for s in found[i]["terms"]] == [(30, 39), (0, 9)]
+    assert all(not found[10 + i]["terms"] for i in range(30))
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert out[50] == "<TERM> is elsewhere" and out[51] is None
+
+
 def test_sanitised_texts(spark):
     df = secret_documents(spark)
     out = {r["doc_id"]: r for r in pii.sanitise(df).collect()}

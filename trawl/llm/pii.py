@@ -6,9 +6,10 @@ letters and digits) that occurs in documents with an entity, the co-occurrence t
 much the term reveals: the pointwise mutual information of term and entity as a share of the
 entity's information content, which is 1 for a term that only occurs beside the entity. Every
 pair is scored; one that is met in fewer than ``support`` different texts is scored by a lower
-estimate: k texts take log2((1 + support) / (1 + k)) bits from its mutual information. In
-documents that hold the entity, terms at ``generalise`` or more are replaced by a class of
-terms, at ``remove`` or more they go. All is DataFrame and SQL functions.
+estimate: k texts take log2((1 + support) / (1 + k)) bits from its mutual information. Terms
+at ``generalise`` or more are replaced by a class of terms, at ``remove`` or more they go:
+wherever they stand, or only in documents that hold the entity. All is DataFrame and SQL
+functions.
 """
 
 from __future__ import annotations
@@ -175,12 +176,13 @@ def _term_spans(text: Column, marked: Column, remove: float) -> Column:
     return F.when(F.size(words) > 0, F.transform(_located(text, pattern, 4), instead)).otherwise(F.array().cast(SPANS))
 
 
-def personal_spans(docs: DataFrame, keep: list[str], text_col: str = "text", support: int = 3, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
+def personal_spans(docs: DataFrame, keep: list[str], text_col: str = "text", support: int = 3, generalise: float = 0.9, remove: float = 0.98, everywhere: bool = False) -> DataFrame:
     """Per row of ``docs``: row (a struct of the columns ``keep``), base and terms (arrays of spans).
 
     A null text has no spans. Nulls and clashing names in other columns do not matter, nor do
     repeated rows: statistics count rows, and a row's spans follow from its text. An empty
-    table gives an empty result.
+    table gives an empty result. With ``everywhere`` a term that discloses any entity is marked
+    in all texts, by its highest share; else only beside the entity.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.xxhash64(text).alias("copy"), text.alias("text"), base_spans(text).alias("base"))
@@ -188,14 +190,20 @@ def personal_spans(docs: DataFrame, keep: list[str], text_col: str = "text", sup
     found = materialise(spans.select("row", "copy", F.when(some, F.col("text")).alias("text"), "base"), "spans")
     held = found.where(some).select("copy", "text", F.array_distinct(F.transform("base", _key)).alias("entities"))
     disclosed, beside = _disclosures(held, docs.select(text.alias("text")), found.count(), support, generalise)
-    near = beside.select("entity", "copy", F.explode(_terms(F.col("text"))).alias("term")).join(disclosed, ["entity", "term"])
+    if everywhere:
+        highest = materialise(disclosed.groupBy("term").agg(F.max("share").alias("share")), "highest")
+        held_by = docs.select(F.xxhash64(text).alias("copy"), F.explode(_terms(text)).alias("term"))
+        near, texts = held_by.join(highest, "term"), docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
+    else:
+        near, texts = beside.select("entity", "copy", F.explode(_terms(F.col("text"))).alias("term")).join(disclosed, ["entity", "term"]), beside
     marked = near.groupBy("copy", "term").agg(F.max("share").alias("share")).groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marked"))
-    texts = beside.groupBy("copy").agg(F.first("text").alias("text")).join(marked, "copy")
+    texts = texts.groupBy("copy").agg(F.first("text").alias("text")).join(marked, "copy")
     terms = materialise(texts.select("copy", _term_spans(F.col("text"), F.col("marked"), remove).alias("terms")), "terms")
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
     none = F.array().cast(SPANS)
-    joined = found.where(some).join(terms, "copy", "left").select("row", "base", F.coalesce(F.filter("terms", apart), none).alias("terms"))
-    return joined.unionByName(found.where(~some).select("row", "base", none.alias("terms")))
+    asked = found if everywhere else found.where(some)
+    joined = asked.join(terms, "copy", "left").select("row", "base", F.coalesce(F.filter("terms", apart), none).alias("terms"))
+    return joined if everywhere else joined.unionByName(found.where(~some).select("row", "base", none.alias("terms")))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
@@ -217,9 +225,9 @@ def _replaced(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", everywhere: bool = True, **limits: float) -> DataFrame:
     """The rows and columns of ``docs`` with personal data in ``text_col`` replaced, and revealing terms generalised or removed."""
-    found = personal_spans(docs, docs.columns, text_col, **limits)
+    found = personal_spans(docs, docs.columns, text_col, everywhere=everywhere, **limits)
     names = docs.columns
     text = F.col("row").getField(text_col)
     out = [F.when(text.isNotNull(), _replaced(text, F.concat("base", "terms"))).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]
@@ -228,7 +236,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFr
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms in all documents."""
-    found = personal_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = personal_spans(table(spark, sf_dir, "documents"), ["doc_id"], everywhere=True)
     kinds = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     both = F.concat("base", "terms")
     return found.select(F.col("row.doc_id").alias("doc_id"), *kinds, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(both).alias("spans"))
