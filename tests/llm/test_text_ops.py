@@ -267,6 +267,28 @@ def test_near_copies_at_a_similarity(spark):
     assert all(found[a] == found[b] == a for a, b in pairs) and all(found[3 * k + 2] == 3 * k + 2 for k in range(40)) and found[901] == 900
 
 
+@pytest.mark.parametrize("most_open", [1 << 16, 5])
+def test_failed_pairs_hide_no_others(spark, monkeypatch, most_open):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    texts = []
+    for _ in range(14):  # each two at about 0.77
+        t = list(base)
+        for i in rng.sample(range(400), 5):
+            t[i] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    asked = set()
+
+    def refuse(pairs, sets, similarity):
+        asked.update((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in pairs.collect())
+        return pairs.limit(0)
+
+    monkeypatch.setattr(simhash, "_similar", refuse)
+    monkeypatch.setattr(trie_join, "OPEN", most_open)
+    found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert found.where("doc_id = component").count() == 14 and len(asked) > 60  # of 91; a forest of each cell gives 56
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 300), (None, 4), (200, 201), (201, 200)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

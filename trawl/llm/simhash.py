@@ -108,6 +108,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return first.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the written ``pairs`` (a, b) of ids whose texts have at least this similarity."""
+    wanted = materialise(pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct(), "wanted")
+    asked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("wanted"), "left_semi").dropDuplicates([id_col])
+    return _similar(pairs, materialise(_shingle_sets(asked, id_col, text_col, shingle), "sets"), similarity)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995, errors: int = 3) -> DataFrame:
     """Per row of ``docs``: id, component, by links of Jaccard similarity of ``similarity`` or more of word shingles.
 
@@ -116,8 +123,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at the similarity is within ``errors`` bits in one of them, each long enough that chance
     pairs stay few. Pairs far nearer in all bits than the similarity asks are links; those
     about as near, with three standard deviations allowed for, are links if the shingles
-    themselves say so. Nearer pairs come first, and of pairs that join the same groups one is
-    looked at. Ids must be integers. Rows of equal fingerprint are one node; null, empty and
+    themselves say so. Nearer pairs come first, of pairs that join the same groups one; then all
+    pairs in doubt between groups that the links found so far leave apart. Ids must be integers. Rows of equal fingerprint are one node; null, empty and
     wordless texts are equal.
     """
     rows = docs.count()
@@ -136,11 +143,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = nodes.where("node IS NOT NULL")
     found = materialise(trie_links(known, known.count(), lanes, errors, tables, bits, most, least_prefix=2).groupBy("a", "b").agg(F.min("level").alias("level")), "pairs")
     doubt = found.where("level > 0").select("a", "b")
-    wanted = materialise(doubt.select(F.col("a").alias("wanted")).unionByName(doubt.select(F.col("b").alias("wanted"))).distinct(), "wanted")
-    asked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("wanted"), "left_semi").dropDuplicates([id_col])
-    sets = materialise(_shingle_sets(asked, id_col, text_col, shingle), "sets")
-    links = found.where("level = 0").select("a", "b").unionByName(_similar(doubt, sets, similarity))
-    roots = components(links)
+    links = found.where("level = 0").select("a", "b").unionByName(_alike(doubt, docs, id_col, text_col, shingle, similarity))
+    links, size, after = materialise(links, "links"), known.count(), {}
+    while after is not None:  # a link that failed may have hidden others between the same groups
+        roots = components(links)
+        labelled = materialise(known.join(roots, "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("label")), "labelled")
+        more = materialise(trie_links(labelled, size, lanes, errors, tables, bits, most, 2, after), "open")
+        after = {(r["g"], r["ij"]): r["next"] for r in more.where("a IS NULL").collect()} or None
+        apart = materialise(more.where("a IS NOT NULL").select("a", "b").distinct(), "apart")
+        if apart.isEmpty():
+            continue
+        links = materialise(links.unionByName(_alike(apart, docs, id_col, text_col, shingle, similarity)), "links")
+        roots = None
+    roots = components(links) if roots is None else roots
     groups = nodes.join(roots, "node", "left").select("lanes", F.coalesce("root", "node").alias("component"))
     return prints.join(materialise(groups, "groups"), "lanes").select(id_col, "component")
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 NODE, LEAST_BLOCK, HELD, LEAF = 1 << 18, 4096, 1 << 17, 16
 #: Pairs of a cell that are kept while links are taken level by level.
 KEPT = 1 << 20
+#: Pairs with different labels that a cell returns at once, about; it goes on from there when asked again.
+OPEN = 1 << 16
 
 
 def sub_prints(lanes: np.ndarray, table: int, bits: int) -> np.ndarray:
@@ -162,7 +164,7 @@ def _near(left: np.ndarray, right: np.ndarray, u: np.ndarray, v: np.ndarray, err
     return u[ok], v[ok]
 
 
-def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: int = 1, bits: int = 64, most: tuple[int, ...] = (), least_prefix: int = 4) -> DataFrame:
+def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: int = 1, bits: int = 64, most: tuple[int, ...] = (), least_prefix: int = 4, after: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """Links (a, b, level) that join the same nodes as all links of ``prints`` do.
 
     ``prints``: node long, lanes binary (``words`` big-endian 64-bit words), about ``rows``
@@ -170,13 +172,18 @@ def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: in
     they differ in ``errors`` bits at most, and, if ``most`` is given, in all bits in its
     last limit at most. Links within a lower limit come first: ``level`` is the first limit
     that a link is within, and none of a higher level joins what lower ones join already.
+
+    With ``after``, not a forest but all links between nodes of different ``label`` (a third
+    column of ``prints``), as rows (a, b, g, ij, next): each cell returns about ``OPEN`` of
+    them, and if it has more, a row without a and b that says where it is to go on. ``after``
+    is these rows as {(g, ij): next}, and only their cells are joined; empty: all, from the start.
     """
     prefix = min(16, bits, max(least_prefix, int(np.ceil(np.log2(max(1, rows) / NODE)))))
     lane = lambda t, p: _bits(F.col("lanes"), t * bits, p)
     counted = prints.select(F.posexplode(F.array(*[lane(t, prefix) for t in range(tables)])).alias("t", "x")).groupBy("t", "x").count()
     block = max(LEAST_BLOCK, 3 * rows // (2 << prefix))
     blocks = {(r["t"], r["x"]): -(-r["count"] // block) for r in counted.collect()}  # tables x 2**prefix rows at most
-    masks = near_masks(prefix, errors)
+    masks, most_open = near_masks(prefix, errors), OPEN
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,8 +209,12 @@ def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: in
                             g.append(((t << prefix) | lo) << prefix | hi)
                             ij.append(np.where(first, i[at] << 32 | j, j << 32 | i[at]))
                             side.append(~first)
-                    at = np.concatenate(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g)), pa.array(np.concatenate(ij)), pa.array(np.concatenate(side)), pa.array(node[at]), raw.take(pa.array(at))], names=["g", "ij", "side", "node", "lanes"])
+                    at, g, ij, side = (np.concatenate(x) for x in (pick, g, ij, side))
+                    if after:
+                        on = np.fromiter((c in after for c in zip(g.tolist(), ij.tolist(), strict=True)), bool, len(g))
+                        at, g, ij, side = at[on], g[on], ij[on], side[on]
+                    more = [part.column(c).take(pa.array(at)) for c in range(2, part.num_columns)]
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ij), pa.array(side), pa.array(node[at]), raw.take(pa.array(at)), *more], names=["g", "ij", "side", "node", "lanes", *part.schema.names[2:]])
 
     def cell(key: tuple, group: pa.Table) -> pa.Table:
         g, ij = key[0].as_py(), key[1].as_py()
@@ -227,6 +238,23 @@ def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: in
                 if len(u[near]):
                     yield u[near], v[near], far[near]
 
+        if after is not None:
+            label = group["label"].to_numpy()[order]
+            start, seen, out, held = after.get((g, ij), 0), 0, [], 0
+            end = None
+            for u, v, _ in pairs():
+                if held >= most_open:
+                    end = seen
+                    break
+                seen += len(u)
+                if seen > start:  # cells go on at the start of a piece
+                    apart = label[u] != label[v]
+                    out.append((node[u[apart]], node[v[apart]]))
+                    held += int(apart.sum())
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]).tolist() for k in (0, 1))
+            tail = [None] if end is not None else []
+            n = len(a) + len(tail)
+            return pa.table({"a": pa.array(a + tail, pa.int64()), "b": pa.array(b + tail, pa.int64()), "g": pa.array([g] * n, pa.int64()), "ij": pa.array([ij] * n, pa.int64()), "next": pa.array([None] * len(a) + [end] * len(tail), pa.int64())})
         levels: list[int] = []
         below = -1
         held = _held(pairs(), KEPT)
@@ -241,6 +269,9 @@ def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: in
         v = np.concatenate([x for _, x in forest.links]) if forest.links else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(node[u], pa.int64()), "b": pa.array(node[v], pa.int64()), "level": pa.array(levels, pa.int32())})
 
+    if after is not None:
+        dealt = prints.select("node", "lanes", "label").mapInArrow(deal, "g long, ij long, side boolean, node long, lanes binary, label long")
+        return dealt.groupBy("g", "ij").applyInArrow(cell, "a long, b long, g long, ij long, next long")
     dealt = prints.select("node", "lanes").mapInArrow(deal, "g long, ij long, side boolean, node long, lanes binary")
     return dealt.groupBy("g", "ij").applyInArrow(cell, "a long, b long, level int")
 
