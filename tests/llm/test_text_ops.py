@@ -228,28 +228,65 @@ def test_simhash_groups_equal_brute_force(spark):
     assert simhash.near_groups(df.limit(0)).collect() == []
 
 
-def test_trie_join_equals_brute_force():
+@pytest.mark.parametrize(("bits", "errors"), [(64, 3), (60, 3), (12, 2), (9, 0)])
+def test_trie_join_equals_brute_force(bits, errors):
     rng = np.random.default_rng(10)
-    for bits, errors in ((60, 3), (12, 2), (9, 0)):
-        top = np.uint64(64 - bits - 4)
-        a = np.sort(rng.integers(0, 2**bits, 300, dtype=np.uint64)) << top
-        b = np.sort(np.concatenate([a[:100] ^ (np.uint64(1) << (rng.integers(0, bits, 100, dtype=np.uint64) + top)), a[:9]]))
-        pairs = lambda left, right: {(i, j) for i in range(len(left)) for j in range(len(right)) if int(left[i] ^ right[j]).bit_count() <= errors}  # noqa: E731, B023
-        for right in (b, None):
-            got = [(int(x), int(y)) for u, v in trie_join.join_cell(a, right, 4, bits + 4, errors, 0) for x, y in zip(u, v, strict=True)]
-            want = pairs(a, b) if right is not None else {(i, j) for i, j in pairs(a, a) if i < j}
-            assert len(got) == len(set(got)) and set(got) == want
-
-
-def test_small_pieces_and_blocks_lose_no_links(spark, monkeypatch):
+    top = np.uint64(64 - bits)
+    a = rng.integers(0, 2**bits - 1, 300, dtype=np.uint64, endpoint=True) << top
+    a = np.sort(np.concatenate([a, a[:100] ^ (np.uint64(1) << (rng.integers(0, bits, 100, dtype=np.uint64) + top)), a[:9]]))
+    near = lambda i, j: int(a[i] ^ a[j]).bit_count() <= errors
+    want = {(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if near(i, j)}
+    whole = (np.array([0]), np.array([len(a)]))
+    got = [(int(x), int(y)) for u, v in trie_join.near_pairs(a, whole, whole, bits, errors) for x, y in zip(u, v, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    halves = sorted(range(len(a)), key=lambda i: (i % 2, a[i]))
+    b, cut = a[halves], len(a) - len(a) // 2
+    got = [(halves[int(x)], halves[int(y)]) for u, v in trie_join.near_pairs(b, (np.array([0]), np.array([cut])), (np.array([cut]), np.array([len(a)])), bits, errors) for x, y in zip(u, v, strict=True)]
+    assert len(got) == len(set(got)) and {tuple(sorted(p)) for p in got} == {(i, j) for i, j in want if i % 2 != j % 2}
+
+
+def test_every_near_pair_shares_a_cell_and_is_met_first_in_one():
+    rng = np.random.default_rng(11)
+    shape = trie_join.Shape(4, 3, 7, 22)
+    lanes = rng.integers(0, 2**63, (200, 4), dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 4, 3), dtype=np.uint64), axis=2)
+    both = np.concatenate([lanes, lanes ^ flips])
+    cells = shape.cells(both)
+    near = [[int(trie_join.sub_prints(both, t, 22)[i] ^ trie_join.sub_prints(both, t, 22)[i + 200]).bit_count() <= 3 for t in range(7)] for i in range(200)]
+    for i in range(200):
+        shared = np.flatnonzero(cells[i] == cells[i + 200])
+        assert {c // 4 for c in shared.tolist()} >= {t for t in range(7) if near[i][t]}
+        owned = 0
+        for c in shared.tolist():
+            if near[i][c // 4]:
+                two = np.array([cells[i][c], cells[i + 200][c]])
+                pair = both[[i, i + 200]]
+                owned += int(shape.first_met(pair, shape.rest(pair, two), two, np.array([0]), np.array([1]), True)[0])
+        assert owned == any(near[i])
+
+
+@pytest.mark.parametrize("cell", [4, 1 << 18])
+def test_small_pieces_and_parts_lose_no_links(spark, monkeypatch, cell):
     texts = noisy_texts(120, 11)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = sorted(map(tuple, simhash.near_groups(df).collect()))
-    for name, value in (("HELD", 64), ("LEAST_BLOCK", 4), ("LEAF", 2)):
+    for name, value in (("HELD", 64), ("CELL", cell), ("LEAF", 2), ("DEALT", 50)):
         monkeypatch.setattr(trie_join, name, value)
     assert sorted(map(tuple, simhash.near_groups(df).collect())) == whole
 
 
+def test_members_are_all_possible(spark, monkeypatch):
+    from trawl.llm import members
+
+    df = spark.range(5000).withColumn("x", F.concat(F.lit("t"), F.col("id").cast("string"))).unionByName(spark.createDataFrame([(None, None)], "id long, x string"))
+    keys = spark.createDataFrame([(i, f"t{i}") for i in range(0, 5000, 50)] + [(None, None)], "k long, y string")
+    found = members.possible(df, ["id", "x"], keys, ["k", "y"], "flag").where("flag").collect()
+    assert {r["id"] for r in found} >= {None, *range(0, 5000, 50)} and len(found) < 130
+    monkeypatch.setattr(members, "SLOTS", 64)  # full: all rows must be joined
+    assert members.possible(df, ["id", "x"], keys, ["k", "y"], "flag").where("flag").count() > 3000
+    assert members.possible(df, ["id", "x"], keys.limit(0), ["k", "y"], "flag").where("flag").count() == 0
+
+
 def test_near_copies_at_a_similarity(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(3000)]
@@ -267,26 +304,46 @@ def test_near_copies_at_a_similarity(spark):
     assert all(found[a] == found[b] == a for a, b in pairs) and all(found[3 * k + 2] == 3 * k + 2 for k in range(40)) and found[901] == 900
 
 
-@pytest.mark.parametrize("most_open", [1 << 16, 5])
-def test_failed_pairs_hide_no_others(spark, monkeypatch, most_open):
+def plain_jaccard(x, y, size=5):
+    sets = []
+    for t in (x, y):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("cell", [8, 1 << 18])
+def test_links_that_are_not_confirmed_hide_no_others(spark, monkeypatch, cell):
     rng = random.Random(14)
     base = [f"w{rng.randrange(3000)}" for _ in range(400)]
     texts = []
-    for _ in range(14):  # each two at about 0.77
+    for _ in range(30):  # each two at about 0.74
         t = list(base)
-        for i in rng.sample(range(400), 5):
+        for i in rng.sample(range(400), 6):
             t[i] = f"v{rng.randrange(10**6)}"
-        texts.append(" ".join(t))
-    asked = set()
-
-    def refuse(pairs, sets, similarity):
-        asked.update((min(r["a"], r["b"]), max(r["a"], r["b"])) for r in pairs.collect())
-        return pairs.limit(0)
-
-    monkeypatch.setattr(simhash, "_similar", refuse)
-    monkeypatch.setattr(trie_join, "OPEN", most_open)
-    found = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert found.where("doc_id = component").count() == 14 and len(asked) > 60  # of 91; a forest of each cell gives 56
+        texts.append(t)
+    for t in texts[:12]:  # each has one partner at about 0.93
+        u = list(t)
+        for i in rng.sample(range(400), 3):
+            u[i] = f"z{rng.randrange(10**6)}"
+        texts.append(u)
+    texts = [" ".join(t) for t in texts]
+    roots = plain_components(texts, lambda a, b: plain_jaccard(a, b) >= 0.8)
+    assert len(set(roots)) > 5 and len(set(roots)) < len(texts)
+    monkeypatch.setattr(trie_join, "CELL", cell)
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == roots
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [("x", a, 1), ("x", b, 2), ("y", a + " more", 3), (None, b, 4), (None, "alone " * 9, 5), ("z", "own words here", 6), ("z", "own words here", 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, judged_first int").withColumnRenamed("judged_first", "key")
+    left = simhash.without_near_copies(docs)
+    assert left.schema == docs.schema
+    kept = sorted(r["key"] for r in left.collect())
+    assert kept in ([1, 2, 5, 6], [1, 2, 5, 7])
+    assert simhash.without_near_copies(docs.limit(0)).collect() == []
 
 
 def test_components_of_chains_and_hubs(spark):

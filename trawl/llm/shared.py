@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -9,21 +12,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+#: Applications whose folder goes when the driver's process ends.
+_SWEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset: a folder of our own if driver and executors are one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="trawl-shared-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder; it is deleted when the driver ends, since results read from it until then."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/trawl/{app}"
+    if app not in _SWEPT:
+        _SWEPT.add(app)
+        atexit.register(forget, spark, path)
+    return path
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/trawl/{tag}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared tables."""
+    with contextlib.suppress(Exception):  # the session may have ended before
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Deletes all shared tables that this application has written: for when its results are written."""
+    forget(spark, _folder(spark))
 
 
 def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.llm.components import components
-from trawl.llm.shared import materialise, table
-from trawl.llm.trie_join import trie_links
+from trawl.llm.members import possible
+from trawl.llm.shared import materialise, release, table
+from trawl.llm.trie_join import Shape, trie_links
 
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
@@ -46,14 +47,21 @@ def majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
     return b"".join(out)
 
 
+def _raw(texts: pa.Array) -> Iterator[bytes]:
+    """The texts' bytes one by one; null: none."""
+    for t in texts.cast(pa.binary()):
+        yield t.as_py() or b""
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int, repeats: bool = True) -> DataFrame:
     """Per row of ``docs``: id, lanes (binary). A null or wordless text has all bits zero. Without ``repeats`` a shingle counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = (shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle) for t in batch.column(1).to_pylist())
+            hashes = (shingle_hashes(raw, shingle) for raw in _raw(batch.column(1)))
             prints = [majority(h if repeats else np.unique(h), lanes) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=[id_col, "lanes"])
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("lanes", T.BinaryType())]))
 
@@ -68,7 +76,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialise(prints.select(id_col, "print"), "prints")
     nodes = materialise(prints.groupBy("print").agg(F.min(id_col).alias("least")), "nodes")
     lanes = nodes.select(F.col("print").alias("node"), F.unhex(F.lpad(F.hex("print"), 16, "0")).alias("lanes"))
-    roots = components(trie_links(lanes, nodes.count(), 1, errors))
+    roots = components(trie_links(lanes.withColumn("size", F.lit(None)), nodes.count(), Shape(1, errors)))
     found = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     found = materialise(found, "roots")
     least = materialise(found.groupBy("root").agg(F.min("least").alias("component")), "least")
@@ -81,83 +89,152 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, sorted hashes of a text's distinct shingles, packed)."""
+def _digest(text: str) -> F.Column:
+    """What tells texts of one id apart; null is as empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int) -> DataFrame:
+    """Per row of ``docs``: id, digest, key (128 bits of its set of shingles), size of the set, lanes."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, prints = [], [], []
+            for raw in _raw(batch.column(2)):
+                own = np.unique(shingle_hashes(raw, shingle))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                prints.append(majority(own, lanes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], names=["id", "digest", "key", "size", "lanes"])
+        release()
+
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("digest string, key binary, size int, lanes binary").fields])
+    return docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"), text_col).mapInArrow(run, kind)
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, set: the sorted hashes of its distinct shingles, packed) for written ``nodes`` (node, id, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(raw, shingle)).tobytes() for raw in _raw(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+        release()
+
+    texts = docs.select(F.col(id_col).alias("text_id"), _digest(text_col).alias("text_digest"), F.col(text_col).alias("text"))
+    some = possible(texts, ["text_id", "text_digest"], nodes, ["id", "digest"], "wanted").where("wanted").drop("wanted")
+    met = some.join(nodes, some["text_id"].eqNullSafe(nodes["id"]) & (some["text_digest"] == nodes["digest"])).select("node", "text")
+    once = met.dropDuplicates(["node"])  # repeated rows have the same text
+    return once.mapInArrow(run, "node long, set binary")
+
+
+def _alike(similarity: float):
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, shingles binary")
+    return alike
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least this Jaccard similarity; no shingles on either side is 1."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have at least this Jaccard similarity; no shingles on either side is 1."""
+    alike = _alike(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(alike(x, y))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
-    first = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-    return first.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first = pairs.join(sets.withColumnsRenamed({"node": "b", "set": "y"}), "b")
+    return first.join(sets.withColumnsRenamed({"node": "a", "set": "x"}), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) of ids whose texts have at least this similarity."""
-    wanted = materialise(pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct(), "wanted")
-    asked = docs.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("wanted"), "left_semi").dropDuplicates([id_col])
-    return _similar(pairs, materialise(_shingle_sets(asked, id_col, text_col, shingle), "sets"), similarity)
+def near_shape(rows: int, similarity: float, recall: float, errors: int) -> Shape:
+    """Ranges so short that texts of this similarity are within ``errors`` bits in one of them by ``recall``, and so long that a row meets few others by chance.
 
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995, errors: int = 3) -> DataFrame:
-    """Per row of ``docs``: id, component, by links of Jaccard similarity of ``similarity`` or more of word shingles.
-
-    Such pairs differ in too many of 64 bits for a join. So the trie is built over several
-    short ranges of a long fingerprint: as many as make it likely by ``recall`` that a pair
-    at the similarity is within ``errors`` bits in one of them, each long enough that chance
-    pairs stay few. Pairs far nearer in all bits than the similarity asks are links; those
-    about as near, with three standard deviations allowed for, are links if the shingles
-    themselves say so. Nearer pairs come first, of pairs that join the same groups one; then all
-    pairs in doubt between groups that the links found so far leave apart. Ids must be integers. Rows of equal fingerprint are one node; null, empty and
-    wordless texts are equal.
+    The limits in all bits: what texts half-way to equality differ in on average; and what texts at the similarity differ in, with
+    three standard deviations allowed for.
     """
-    rows = docs.count()
     share = differing_share(similarity)
-    bits = min(60, max(24, math.ceil(math.log2(max(2, rows))) + 10))
+    bits = min(60, max(20, math.ceil(math.log2(max(2, rows))) + 4))
     hit = sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(errors + 1))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    lanes = max(8, -(-tables * bits // 64))
+    lanes = max(4, -(-tables * bits // 64))
     n = 64 * lanes
-    spread = math.sqrt(n * share * (1 - share))
-    sure = differing_share((2 + similarity) / 3) * n - spread
-    far = share * n + 3 * spread
-    most = tuple(sorted({int(max(0, sure)), *(int(sure + (far - sure) * k / 6) for k in range(1, 7))}))
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, lanes, repeats=False), "wide")
-    nodes = materialise(prints.groupBy("lanes").agg(F.min(id_col).alias("node")), "nodes")
-    known = nodes.where("node IS NOT NULL")
-    found = materialise(trie_links(known, known.count(), lanes, errors, tables, bits, most, least_prefix=2).groupBy("a", "b").agg(F.min("level").alias("level")), "pairs")
-    doubt = found.where("level > 0").select("a", "b")
-    links = found.where("level = 0").select("a", "b").unionByName(_alike(doubt, docs, id_col, text_col, shingle, similarity))
-    links, size, after = materialise(links, "links"), known.count(), {}
-    while after is not None:  # a link that failed may have hidden others between the same groups
-        roots = components(links)
-        labelled = materialise(known.join(roots, "node", "left").select("node", "lanes", F.coalesce("root", "node").alias("label")), "labelled")
-        more = materialise(trie_links(labelled, size, lanes, errors, tables, bits, most, 2, after), "open")
-        after = {(r["g"], r["ij"]): r["next"] for r in more.where("a IS NULL").collect()} or None
-        apart = materialise(more.where("a IS NOT NULL").select("a", "b").distinct(), "apart")
-        if apart.isEmpty():
-            continue
-        links = materialise(links.unionByName(_alike(apart, docs, id_col, text_col, shingle, similarity)), "links")
-        roots = None
-    roots = components(links) if roots is None else roots
-    groups = nodes.join(roots, "node", "left").select("lanes", F.coalesce("root", "node").alias("component"))
-    return prints.join(materialise(groups, "groups"), "lanes").select(id_col, "component")
+    sure = differing_share((1 + similarity) / 2) * n
+    far = share * n + 3 * math.sqrt(n * share * (1 - share))
+    return Shape(lanes, errors, tables, bits, tuple(sorted({int(sure + (far - sure) * k / 6) for k in range(7)})))
+
+
+def _rows_and_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, recall: float, errors: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digest, key) of ``docs``, and (key, root) of the nodes that have links."""
+    shape = near_shape(docs.count(), similarity, recall, errors)
+    rows = materialise(_wide_prints(docs, id_col, text_col, shingle, shape.words), "wide")
+    nodes = rows.groupBy("key", "size", "lanes").agg(F.min(F.struct("id", "digest")).alias("least"))
+    nodes = materialise(nodes.select("key", "size", "lanes", "least.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = materialise(trie_links(nodes, nodes.count(), shape).distinct(), "pairs")
+    met = materialise(components(found).withColumnRenamed("root", "met"), "met")
+    # components name every node but their root
+    in_group = materialise(met.select("node", "met").unionByName(met.select(F.col("met").alias("node"), "met").distinct()), "ingroup")
+    wanted = materialise(nodes.join(in_group, "node").select("node", "id", "digest", "met", "size", "lanes"), "wanted")
+    sets = materialise(_sets_of(wanted.select("node", "id", "digest"), docs, id_col, text_col, shingle), "sets")
+    links = materialise(_confirmed(found, sets, similarity), "links")
+    joined = components(links)
+    labelled = materialise(wanted.join(joined, "node", "left").select("node", "lanes", "size", "met", F.coalesce("root", "node").alias("label")), "labelled")
+    # a link that was not confirmed may have hidden others: groups that fell apart, but for those of two nodes, are gone through
+    # again with the sets at hand
+    apart = labelled.groupBy("met").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low < high").select("met")
+    again = materialise(labelled.join(materialise(apart, "apart"), "met", "left_semi").join(sets, "node").select("node", "lanes", "size", "label", "set"), "again")
+    weight = again.agg(F.sum(F.greatest("size", F.lit(1)))).first()[0] or 0
+    if weight:
+        links = links.unionByName(materialise(trie_links(again, weight, shape, _alike(similarity)), "links"))
+        joined = components(links)
+    return rows.select("id", "digest", "key"), nodes.join(joined, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995, errors: int = 3) -> DataFrame:
+    """Per row of ``docs``: id, component (the smallest id of its group), by links of Jaccard similarity of ``similarity`` or more of word shingles.
+
+    Such pairs differ in too many of 64 bits for a join. So the trie is built over several
+    short ranges of a long fingerprint, and what it brings together is linked if the shingles
+    themselves say so: every link is confirmed. Rows with equal sets of shingles are one node;
+    null, empty and wordless texts are equal. Ids may be of any type that has an order; rows
+    with null ids take part, and a group of them alone has component null.
+    """
+    rows, groups = _rows_and_groups(docs, id_col, text_col, shingle, similarity, recall, errors)
+    grouped = materialise(rows.join(groups, "key").select("id", "root"), "grouped")
+    least = grouped.groupBy("root").agg(F.min("id").alias("component"))
+    return grouped.join(least, "root").select(F.col("id").alias(id_col), "component")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995, errors: int = 3) -> DataFrame:
+    """One row of each group of ``near_copies``, all columns: of the smallest id, null last. It is rows that go, whatever the others of their id are.
+
+    Only rows that may go are shuffled.
+    """
+    rows, groups = _rows_and_groups(docs, id_col, text_col, shingle, similarity, recall, errors)
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("digest"))
+    grouped = materialise(rows.groupBy("id", "digest", "key").agg(F.count(F.lit(1)).alias("n")).join(groups, "key").select("id", "digest", "n", "root"), "grouped")
+    first = grouped.groupBy("root").agg(F.min(rank).alias("first"))
+    stays = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.digest") == F.col("digest"))
+    judged = grouped.join(first, "root").select(F.col("id").alias("judged_id"), F.col("digest").alias("judged_digest"), stays.alias("judged_first"), "n").where("NOT judged_first OR n > 1").drop("n")
+    judged = materialise(judged, "judged")
+    marked = possible(docs.withColumn("judged_text", _digest(text_col)), [F.col(id_col), F.col("judged_text")], judged, ["judged_id", "judged_digest"], "judged_maybe")
+    sure, maybe = marked.where("NOT judged_maybe"), marked.where("judged_maybe")
+    held = maybe.join(judged, maybe[id_col].eqNullSafe(judged["judged_id"]) & (maybe["judged_text"] == judged["judged_digest"]), "left")
+    other, again = held.where("judged_first IS NULL"), held.where("judged_first")
+    again = again.dropDuplicates([id_col, "judged_text"])
+    names = docs.columns
+    return sure.select(*names).unionByName(other.select(*names)).unionByName(again.select(*names))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

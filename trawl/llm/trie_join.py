@@ -1,31 +1,36 @@
 """Hamming self-join of fingerprints by traversing pairs of binary trie nodes together.
 
-A pair of nodes of equal depth carries the number of bits in which their paths differ.
-The traversal starts with the pairs of nodes ``prefix`` bits deep whose paths differ in
-``errors`` bits at most; each such pair is a cell, and a cell is a group of rows that one
-task joins. A node with far more fingerprints than the mean is dealt out to blocks, and its
-cells are pairs of blocks. Inside a cell the frontier of node pairs goes down bit by bit,
-pairs beyond the error budget are dropped, and the frontier is cut in pieces so that memory
-is bounded. A cell returns a spanning forest of the links it found, not the links.
+A fingerprint's bits are cut in ``errors + 1`` blocks. Two that differ in ``errors`` bits at
+most are equal in one block at least, so each fingerprint stands in ``errors + 1`` tries, each
+of the bits with one block drawn to the front, whatever the number of rows. What lies below
+one value of the front block is a cell: it is joined with itself by going down the trie in
+pairs of nodes that carry the number of bits in which their paths differ; pairs beyond the
+error budget are dropped, and the frontier is cut in pieces so that memory is bounded. A pair
+that is equal in several blocks is taken where the first of them is in front.
+
+Cells are dealt out to buckets, packed, and a bucket is one task's group. A cell of more than
+``CELL`` rows is dealt out to parts, and its pairs of parts are cells. A bucket returns a
+spanning forest of the links it found, not the links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fingerprints of a trie node at the starting depth, about; least block; node pairs held at once; element pairs of
-#: two nodes that are compared at once instead of going further down.
-NODE, LEAST_BLOCK, HELD, LEAF = 1 << 18, 4096, 1 << 17, 16
-#: Pairs of a cell that are kept while links are taken level by level.
-KEPT = 1 << 20
-#: Pairs with different labels that a cell returns at once, about; it goes on from there when asked again.
-OPEN = 1 << 16
+from trawl.llm.shared import release, width
+
+#: Rows of a cell that is not parted, and of a bucket, about; node pairs held at once; element pairs of two nodes
+#: that are compared at once instead of going further down.
+CELL, HELD, LEAF = 1 << 18, 1 << 17, 32
+#: Links in doubt that are held before only a nearest spanning forest of them is kept.
+KEPT = 1 << 19
+#: Rows that are dealt out at once; buckets for each shuffle partition at least, so that hashed buckets lie evenly.
+DEALT, BUCKETS_EACH = 8192, 4
 
 
 def sub_prints(lanes: np.ndarray, table: int, bits: int) -> np.ndarray:
@@ -37,8 +42,20 @@ def sub_prints(lanes: np.ndarray, table: int, bits: int) -> np.ndarray:
     return out & np.uint64(((1 << bits) - 1) << (64 - bits))
 
 
-def near_masks(width: int, errors: int) -> list[int]:
-    return [sum(1 << i for i in c) for k in range(min(errors, width) + 1) for c in combinations(range(width), k)]
+def block_ends(bits: int, errors: int) -> list[int]:
+    """Where blocks start and end: ``errors + 1`` blocks of nearly equal length."""
+    return [bits * k // (errors + 1) for k in range(errors + 2)]
+
+
+def _top(x: np.ndarray, n: int) -> np.ndarray:
+    return x & np.uint64(((1 << n) - 1) << (64 - n)) if n else np.zeros_like(x)
+
+
+def block_first(prints: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of bits from ``start`` to ``stop``, as numbers, and the other bits in their order, at the top."""
+    block = (prints << np.uint64(start)) >> np.uint64(64 - (stop - start))
+    after = (prints << np.uint64(stop)) >> np.uint64(start) if stop < 64 else np.zeros_like(prints)
+    return block.astype(np.int64), _top(prints, start) | after
 
 
 class Forest:
@@ -56,7 +73,7 @@ class Forest:
                 return
             u, v, a, b = u[apart], v[apart], a[apart], b[apart]
             high, low = np.maximum(a, b), np.minimum(a, b)
-            order = np.lexsort((low, high))
+            order = np.lexsort((v, u, low, high))
             first = np.concatenate([[True], np.diff(high[order]) != 0])
             take = order[first]  # each root hooks onto one lower root: no circles
             self.links.append((u[take], v[take]))
@@ -65,231 +82,304 @@ class Forest:
                 label = up
             self.label = label
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *(x[k] for x in self.links)]) for k in (0, 1))
+
+
+Pieces = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def near_pairs(prints: np.ndarray, first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], bits: int, errors: int, same: Callable[[int, int, int, int], bool] | None = None) -> Pieces:
+    """Index pairs u < v of ``prints`` that differ in ``errors`` bits at most, in pieces.
+
+    ``first``, ``second``: where the nodes that the traversal starts with start and stop, pair by
+    pair: the same node, or one that lies before the other; prints are sorted within each.
+    ``same`` tells of two large nodes whether all their pairs may be passed over from now on.
+    """
+    ones: dict[int, np.ndarray] = {}
+
+    def middle(start: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
+        """Where the prints of each node begin that have a 1 next."""
+        if depth not in ones:
+            bit = (prints >> np.uint64(63 - depth)) & np.uint64(1)
+            ones[depth] = np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32)
+        return stop - (ones[depth][stop] - ones[depth][start])
 
-def _levels(prints: np.ndarray, start: int, bits: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: where nodes start, and the numbers of their children by bit (-1: none)."""
-    out = []
-    change = np.zeros(len(prints), np.int64)
-    if len(prints) > 1:
-        x = prints[1:] ^ prints[:-1]
-        high = np.full(len(x), 64, np.int64)
-        at = x != 0
-        y = x[at]
-        lead = np.zeros(len(y), np.int64)  # leading zeros
-        for s in (32, 16, 8, 4, 2, 1):
-            small = y < (np.uint64(1) << np.uint64(64 - s))
-            lead[small] += s
-            y = np.where(small, y << np.uint64(s), y)
-        high[at] = lead
-        change[1:] = high
-    nodes = np.flatnonzero(np.concatenate([[True], change[1:] < start])) if len(prints) else np.zeros(0, np.int64)
-    for depth in range(start, bits):
-        below = np.flatnonzero(np.concatenate([[True], change[1:] < depth + 1])) if len(prints) else np.zeros(0, np.int64)
-        parent = np.searchsorted(nodes, below, side="right") - 1
-        bit = (prints[below] >> np.uint64(63 - depth)) & np.uint64(1)
-        child = np.full((2, len(nodes)), -1, np.int32)
-        child[bit.astype(np.int64), parent] = np.arange(len(below))
-        out.append((np.append(nodes, len(prints)), child[0], child[1]))
-        nodes = below
-    out.append((np.append(nodes, len(prints)), nodes[:0], nodes[:0]))
-    return out
-
-
-def join_cell(left: np.ndarray, right: np.ndarray | None, start: int, bits: int, errors: int, used: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted prints that differ in ``errors`` bits at most, found from depth ``start`` on; ``right`` None: of ``left`` with itself."""
-    same = right is None
-    if same:
-        right = left
-    if not len(left) or not len(right):
-        return
-    la = _levels(left, start, bits)
-    lb = la if same else _levels(right, start, bits)
-    na, nb = len(la[0][0]) - 1, len(lb[0][0]) - 1
-    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(na, dtype=np.int32), np.arange(nb, dtype=np.int32), indexing="ij"))
-    if same:
-        keep = ia <= ib
-        ia, ib = ia[keep], ib[keep]
-    stack = [(0, ia, ib, np.full(len(ia), used, np.int8))]
+    sa, ea, sb, eb = (np.asarray(x, np.int32) for x in (*first, *second))
+    stack = [(0, sa, ea, sb, eb, np.zeros(len(sa), np.int8))]
     while stack:
-        d, ia, ib, err = stack.pop()
-        if len(ia) > HELD:
-            for i in range(0, len(ia), HELD // 2):
-                stack.append((d, ia[i : i + HELD // 2], ib[i : i + HELD // 2], err[i : i + HELD // 2]))
+        d, *front = stack.pop()
+        if len(front[0]) > HELD:
+            for i in range(0, len(front[0]), HELD // 2):
+                stack.append((d, *(x[i : i + HELD // 2] for x in front)))
             continue
-        (sa, a0, a1), (sb, b0, b1) = la[d], lb[d]
-        ca, cb = sa[ia + 1] - sa[ia], sb[ib + 1] - sb[ib]
-        leaf = (ca * cb <= LEAF) if start + d < bits else np.ones(len(ia), bool)
+        sa, ea, sb, eb, err = front
+        n = (ea - sa).astype(np.int64) * (eb - sb)
+        leaf = n <= LEAF if d < bits else np.ones(len(n), bool)
         if leaf.any():
-            yield from _leaves(left, right, sa[ia[leaf]], ca[leaf], sb[ib[leaf]], cb[leaf], errors, same)
-        if leaf.all():
+            yield from _leaves(prints, sa[leaf], ea[leaf], sb[leaf], eb[leaf], errors, same)
+        sa, ea, sb, eb, err = (x[~leaf] for x in (sa, ea, sb, eb, err))
+        if not len(sa):
             continue
-        ia, ib, err = ia[~leaf], ib[~leaf], err[~leaf]
+        ma, mb = middle(sa, ea, d), middle(sb, eb, d)
+        own, spare = sa == sb, err < errors
         parts = []
-        one = np.flatnonzero(err < errors)
-        own = ia == ib if same else None
-        for x, y, at, more in ((a0, b0, None, 0), (a1, b1, None, 0), (a0, b1, one, 1), (a1, b0, one, 1)):
-            p, q, e = (ia, ib, err) if at is None else (ia[at], ib[at], err[at])
-            cx, cy = x[p], y[q]
-            ok = (cx >= 0) & (cy >= 0)
-            if same and x is a1 and y is b0:
-                ok &= ~(own[at])
-            parts.append((cx[ok], cy[ok], e[ok] + np.int8(more)))
-        stack.append((d + 1, *(np.concatenate([p[k] for p in parts]) for k in range(3))))
-
-
-def _leaves(left: np.ndarray, right: np.ndarray, sa: np.ndarray, ca: np.ndarray, sb: np.ndarray, cb: np.ndarray, errors: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Element pairs of leaf pairs that are near enough, in pieces; a large leaf pair by rows."""
+        for x0, x1, y0, y1, ok, more in ((sa, ma, sb, mb, True, 0), (ma, ea, mb, eb, True, 0), (sa, ma, mb, eb, spare, 1), (ma, ea, sb, mb, spare & ~own, 1)):
+            ok = ok & (x1 > x0) & (y1 > y0)
+            parts.append((x0[ok], x1[ok], y0[ok], y1[ok], err[ok] + np.int8(more)))
+        stack.append((d + 1, *(np.concatenate([p[k] for p in parts]) for k in range(5))))
+
+
+def _leaves(prints: np.ndarray, sa: np.ndarray, ea: np.ndarray, sb: np.ndarray, eb: np.ndarray, errors: int, same: Callable[[int, int, int, int], bool] | None) -> Pieces:
+    """Pairs of leaf pairs that are near enough; a large leaf pair row by row, first one row, then as many as are held."""
+    ca, cb = (ea - sa).astype(np.int64), (eb - sb).astype(np.int64)
     n = ca * cb
     large = n > HELD
-    for s, c, t, k in zip(sa[large].tolist(), ca[large].tolist(), sb[large].tolist(), cb[large].tolist(), strict=True):
-        step = max(1, HELD // k)
-        for i in range(s, s + c, step):
-            rows = np.arange(i, min(i + step, s + c))
-            u, v = (x.ravel() for x in np.meshgrid(rows, np.arange(t, t + k), indexing="ij"))
-            yield _near(left, right, u, v, errors, same)
-    sa, ca, sb, cb, n = sa[~large], ca[~large], sb[~large], cb[~large], n[~large]
+    for s, e, t, f in zip(sa[large].tolist(), ea[large].tolist(), sb[large].tolist(), eb[large].tolist(), strict=True):
+        i, step = s, 1
+        while i < e and not (same and same(s, e, t, f)):
+            rows = np.arange(i, min(i + step, e))
+            u, v = (x.ravel() for x in np.meshgrid(rows, np.arange(t, f), indexing="ij"))
+            yield _near(prints, u, v, errors)
+            i, step = i + step, max(1, HELD // (f - t))
+    sa, sb, cb, n = sa[~large], sb[~large], cb[~large], n[~large]
     piece = np.cumsum(n) // HELD
     for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(piece)) + 1):
         if len(cut):
             k = n[cut]
             within = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
             wide = np.repeat(cb[cut], k)
-            yield _near(left, right, np.repeat(sa[cut], k) + within // wide, np.repeat(sb[cut], k) + within % wide, errors, same)
+            yield _near(prints, np.repeat(sa[cut], k) + within // wide, np.repeat(sb[cut], k) + within % wide, errors)
 
 
-def _near(left: np.ndarray, right: np.ndarray, u: np.ndarray, v: np.ndarray, errors: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    ok = np.bitwise_count(left[u] ^ right[v]) <= errors
-    if same:
-        ok &= u < v
+def _near(prints: np.ndarray, u: np.ndarray, v: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    ok = u < v
+    u, v = u[ok], v[ok]
+    ok = np.bitwise_count(prints[u] ^ prints[v]) <= errors
     return u[ok], v[ok]
 
 
-def trie_links(prints: DataFrame, rows: int, words: int, errors: int, tables: int = 1, bits: int = 64, most: tuple[int, ...] = (), least_prefix: int = 4, after: dict[tuple[int, int], int] | None = None) -> DataFrame:
-    """Links (a, b, level) that join the same nodes as all links of ``prints`` do.
+class Shape:
+    """What fingerprints are compared by: ``tables`` ranges of ``bits`` bits, ``errors`` of a range, limits in all bits."""
+
+    def __init__(self, words: int, errors: int, tables: int = 1, bits: int = 64, most: tuple[int, ...] = ()) -> None:
+        self.words, self.errors, self.tables, self.bits, self.most = words, errors, tables, bits, most
+        self.ends = block_ends(bits, errors)
+        self.blocks = errors + 1
+        self.copies = tables * self.blocks
+        self.wide = max(b - a for a, b in zip(self.ends, self.ends[1:], strict=False))
+        self.entry = np.dtype([("cell", "<u4"), ("own", "<u2"), ("i", "<u2"), ("j", "<u2"), ("node", "<i8"), ("label", "<i8"), ("size", "<u4"), ("lanes", "<u8", (words,))])
+        if (self.copies << self.wide) > 1 << 32:
+            raise ValueError("fingerprints have too many blocks, or too long ones")
+
+    def cells(self, lanes: np.ndarray) -> np.ndarray:
+        """Numbers of the cells of each row, rows x copies."""
+        out = np.empty((len(lanes), self.copies), np.uint32)
+        for t in range(self.tables):
+            sub = sub_prints(lanes, t, self.bits)
+            for k in range(self.blocks):
+                c = t * self.blocks + k
+                out[:, c] = block_first(sub, self.ends[k], self.ends[k + 1])[0] + (c << self.wide)
+        return out
+
+    def rest(self, lanes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The bits that a cell's rows may differ in."""
+        out, which = np.zeros(len(lanes), np.uint64), cell.astype(np.int64) >> self.wide
+        for c in np.unique(which).tolist():
+            at, k = np.flatnonzero(which == c), c % self.blocks
+            out[at] = block_first(sub_prints(lanes[at], c // self.blocks, self.bits), self.ends[k], self.ends[k + 1])[1]
+        return out
+
+    def first_met(self, lanes: np.ndarray, rest: np.ndarray, cell: np.ndarray, u: np.ndarray, v: np.ndarray, tables: bool) -> np.ndarray:
+        """Whether no earlier block, nor with ``tables`` an earlier table, brings the pairs together, too."""
+        which = cell[u].astype(np.int64) >> self.wide
+        block, x, ok = which % self.blocks, rest[u] ^ rest[v], np.ones(len(u), bool)
+        for k in range(self.blocks - 1):
+            a, b = self.ends[k], self.ends[k + 1]
+            ok &= ~((block > k) & ((x << np.uint64(a)) >> np.uint64(64 - (b - a)) == 0))
+        for t in range(self.tables - 1 if tables else 0):
+            later = np.flatnonzero(ok & (which // self.blocks > t))
+            if len(later):
+                apart = np.bitwise_count(sub_prints(lanes[u[later]], t, self.bits) ^ sub_prints(lanes[v[later]], t, self.bits))
+                ok[later[apart <= self.errors]] = False
+        return ok
+
+
+def _sets(raw: bytes, size: np.ndarray) -> list[np.ndarray]:
+    return np.split(np.frombuffer(raw, np.uint64), np.cumsum(size.astype(np.int64))[:-1])
+
+
+def _bucket_links(shape: Shape, rows: np.ndarray, sets: list[np.ndarray] | None, alike: Callable[[np.ndarray, np.ndarray], bool] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a bucket's rows: a spanning forest, of near links first. With ``sets`` only links that ``alike`` confirms."""
+    side = rows["own"] != rows["i"]
+    rest = shape.rest(rows["lanes"], rows["cell"])
+    order = np.lexsort((rows["node"], rest, side, rows["j"], rows["i"], rows["cell"]))
+    rows, rest, side = rows[order], rest[order], side[order]
+    lanes, cell = rows["lanes"], rows["cell"]
+    key = rows["cell"].astype(np.int64) << 32 | rows["i"].astype(np.int64) << 16 | rows["j"]
+    group = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(side) != 0)]))
+    stop = np.append(group[1:], len(rows))
+    alone = rows["i"][group] == rows["j"][group]
+    cross = np.flatnonzero(~alone[:-1] & ~alone[1:] & (key[group[:-1]] == key[group[1:]])) if len(group) > 1 else np.zeros(0, np.int64)
+    one, two = np.concatenate([np.flatnonzero(alone), cross]), np.concatenate([np.flatnonzero(alone), cross + 1])
+
+    known, mine = np.unique(rows["label"] if sets else rows["node"], return_inverse=True)  # links join nodes, or what is joined already
+    close, least = Forest(len(known)), (shape.most or (0,))[0]
+    doubt = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int64)]
+    confirmed: list[tuple[int, int]] = []
+
+    def same(s: int, e: int, t: int, f: int) -> bool:
+        one_label = close.label[mine[s]]
+        return bool((close.label[mine[s:e]] == one_label).all() and (close.label[mine[t:f]] == one_label).all())
+
+    def nearest(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of links in doubt a spanning forest beyond the sure ones, nearer ones first; or those confirmed, one by one."""
+        if sets is not None:
+            for k in np.lexsort((v, u, far)).tolist():
+                a, b = int(u[k]), int(v[k])
+                if close.label[mine[a]] != close.label[mine[b]] and alike(sets[order[a]], sets[order[b]]):
+                    close.add(mine[[a]], mine[[b]])
+                    confirmed.append((a, b))
+            return u[:0], v[:0], far[:0]
+        held = Forest(len(known))
+        held.label = close.label.copy()
+        out, below = [], -1
+        where = np.full(len(known), -1)
+        where[mine] = np.arange(len(mine))
+        for limit in shape.most:
+            at = (far > below) & (far <= limit)
+            before = len(held.links)
+            held.add(mine[u[at]], mine[v[at]])
+            new = [np.concatenate([x[k] for x in held.links[before:]]) if held.links[before:] else np.zeros(0, np.int64) for k in (0, 1)]
+            out.append((where[new[0]], where[new[1]], np.full(len(new[0]), limit)))
+            below = limit
+        return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
+
+    for u, v in near_pairs(rest, (group[one], stop[one]), (group[two], stop[two]), shape.bits - min(b - a for a, b in zip(shape.ends, shape.ends[1:], strict=False)), shape.errors, same):
+        apart = close.label[mine[u]] != close.label[mine[v]]
+        u, v = u[apart], v[apart]
+        if len(u):
+            at = shape.first_met(lanes, rest, cell, u, v, False)
+            u, v = u[at], v[at]
+        far = np.zeros(len(u), np.int64)
+        if shape.most and len(u):
+            for w in range(shape.words):
+                far += np.bitwise_count(lanes[u, w] ^ lanes[v, w])
+            at = far <= shape.most[-1]
+            u, v, far = u[at], v[at], far[at]
+        if sets is not None and len(u):
+            at = shape.first_met(lanes, rest, cell, u, v, True)  # each pair is confirmed in one cell of all
+            u, v, far = u[at], v[at], far[at]
+            sure = np.zeros(len(u), bool)
+        else:
+            sure = far <= least
+        close.add(mine[u[sure]], mine[v[sure]])
+        if not sure.all():
+            doubt = [np.concatenate([x, y[~sure]]) for x, y in zip(doubt, (u, v, far), strict=True)]
+            if len(doubt[0]) > KEPT or sets is not None:
+                doubt = list(nearest(*doubt))
+    if len(doubt[0]):
+        doubt = list(nearest(*doubt))
+    if sets is not None:
+        u, v = (np.array([p[k] for p in confirmed], np.int64) for k in (0, 1))
+        return rows["node"][u], rows["node"][v]
+    u, v = close.pairs()
+    a, b = np.concatenate([known[u], known[mine[doubt[0]]]]), np.concatenate([known[v], known[mine[doubt[1]]]])
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _parts(prints: DataFrame, shape: Shape, rows: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that weigh more than ``limit``, sorted, and the parts they are dealt to. Cells are as many as blocks have values:
+    262,144 for 64 bits and 3 errors; a row weighs 1, or as many as its set has members."""
+    if rows <= limit:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = shape.cells(_lanes(batch.column(0), shape.words))
+            found, at = np.unique(cells, return_inverse=True)
+            weight = np.bincount(at.ravel(), np.repeat(batch.column(1).to_numpy(), shape.copies))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(weight.astype(np.int64))], names=["cell", "weight"])
+
+    weighed = prints.select("lanes", F.greatest(F.lit(1), F.coalesce("size", F.lit(1))).cast("long")).mapInArrow(run, "cell long, weight long")
+    hot = weighed.groupBy("cell").agg(F.sum("weight").alias("weight")).where(F.col("weight") > limit).orderBy("cell").collect()
+    return np.array([r["cell"] for r in hot], np.uint32), np.array([min(60_000, -(-2 * r["weight"] // limit)) for r in hot], np.int64)
 
-    ``prints``: node long, lanes binary (``words`` big-endian 64-bit words), about ``rows``
-    rows, from a written table. Two nodes are linked if in any of the ``tables`` bit ranges
-    they differ in ``errors`` bits at most, and, if ``most`` is given, in all bits in its
-    last limit at most. Links within a lower limit come first: ``level`` is the first limit
-    that a link is within, and none of a higher level joins what lower ones join already.
 
-    With ``after``, not a forest but all links between nodes of different ``label`` (a third
-    column of ``prints``), as rows (a, b, g, ij, next): each cell returns about ``OPEN`` of
-    them, and if it has more, a row without a and b that says where it is to go on. ``after``
-    is these rows as {(g, ij): next}, and only their cells are joined; empty: all, from the start.
+def _lanes(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def trie_links(prints: DataFrame, rows: int, shape: Shape, alike: Callable[[np.ndarray, np.ndarray], bool] | None = None) -> DataFrame:
+    """Links (a, b) that join the same nodes as all links of ``prints`` do.
+
+    ``prints``: node long, lanes binary (big-endian 64-bit words), size int (may be null), from a
+    written table of ``rows`` rows. Two nodes are linked if in any of the shape's tables they
+    differ in its errors at most, and, if ``most`` is given, in all bits in its last limit at
+    most. Links within its first limit come first, then nearer ones before others.
+
+    With ``alike``, ``prints`` also has a label (long) and a set (binary, ``size`` numbers of 64 bits):
+    only links between different labels are looked for, each of them is put to ``alike``, and
+    none is passed over unless links that it confirmed join the two labels already. ``rows`` is
+    then the size of all sets.
     """
-    prefix = min(16, bits, max(least_prefix, int(np.ceil(np.log2(max(1, rows) / NODE)))))
-    lane = lambda t, p: _bits(F.col("lanes"), t * bits, p)
-    counted = prints.select(F.posexplode(F.array(*[lane(t, prefix) for t in range(tables)])).alias("t", "x")).groupBy("t", "x").count()
-    block = max(LEAST_BLOCK, 3 * rows // (2 << prefix))
-    blocks = {(r["t"], r["x"]): -(-r["count"] // block) for r in counted.collect()}  # tables x 2**prefix rows at most
-    masks, most_open = near_masks(prefix, errors), OPEN
+    limit = 16 * CELL if alike else CELL
+    hot, parts = _parts(prints, shape, rows, limit)
+    buckets = max(BUCKETS_EACH * width(prints.sparkSession), -(-rows * shape.copies // limit))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                node = part.column(0).to_numpy()
-                raw = part.column(1)
-                lanes = np.array([np.frombuffer(b, ">u8") for b in raw.to_pylist()], np.uint64).reshape(-1, words)
-                salt = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                for t in range(tables):
-                    x = (sub_prints(lanes, t, bits) >> np.uint64(64 - prefix)).astype(np.int64)
-                    mine = np.array([blocks[t, p] for p in x.tolist()])
-                    i = (salt % mine.astype(np.uint64)).astype(np.int64)
-                    pick, g, ij, side = [], [], [], []
-                    for m in masks:
-                        y = x ^ m
-                        theirs = np.array([blocks.get((t, p), 0) for p in y.tolist()])
-                        for j in range(int(theirs.max(initial=0))):
-                            at = np.flatnonzero(theirs > j)
-                            first = (x[at] < y[at]) | ((x[at] == y[at]) & (i[at] <= j))
-                            lo, hi = np.where(first, x[at], y[at]), np.where(first, y[at], x[at])
-                            pick.append(at)
-                            g.append(((t << prefix) | lo) << prefix | hi)
-                            ij.append(np.where(first, i[at] << 32 | j, j << 32 | i[at]))
-                            side.append(~first)
-                    at, g, ij, side = (np.concatenate(x) for x in (pick, g, ij, side))
-                    if after:
-                        on = np.fromiter((c in after for c in zip(g.tolist(), ij.tolist(), strict=True)), bool, len(g))
-                        at, g, ij, side = at[on], g[on], ij[on], side[on]
-                    more = [part.column(c).take(pa.array(at)) for c in range(2, part.num_columns)]
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ij), pa.array(side), pa.array(node[at]), raw.take(pa.array(at)), *more], names=["g", "ij", "side", "node", "lanes", *part.schema.names[2:]])
-
-    def cell(key: tuple, group: pa.Table) -> pa.Table:
-        g, ij = key[0].as_py(), key[1].as_py()
-        lo, hi, t = g >> prefix & ((1 << prefix) - 1), g & ((1 << prefix) - 1), g >> 2 * prefix
-        lanes = np.frombuffer(b"".join(group["lanes"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
-        node, side, sub = group["node"].to_numpy(), group["side"].to_numpy(zero_copy_only=False), sub_prints(lanes, t, bits)
-        alone = lo == hi and ij >> 32 == ij & 0xFFFFFFFF
-        order = np.lexsort((node, sub, side))
-        node, sub, lanes = node[order], sub[order], lanes[order]
-        n = len(node) if alone else int(len(side) - side.sum())
-        forest = Forest(len(node))
-
-        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            found = join_cell(sub, None, prefix, bits, errors, 0) if alone else join_cell(sub[:n], sub[n:], prefix, bits, errors, (lo ^ hi).bit_count())
-            for u, v in found:
-                v = v if alone else v + n
-                far = np.zeros(len(u), np.int64)
-                for w in range(words if most and len(u) else 0):
-                    far += np.bitwise_count(lanes[u, w] ^ lanes[v, w])
-                near = far <= most[-1] if most else slice(None)
-                if len(u[near]):
-                    yield u[near], v[near], far[near]
-
-        if after is not None:
-            label = group["label"].to_numpy()[order]
-            start, seen, out, held = after.get((g, ij), 0), 0, [], 0
-            end = None
-            for u, v, _ in pairs():
-                if held >= most_open:
-                    end = seen
-                    break
-                seen += len(u)
-                if seen > start:  # cells go on at the start of a piece
-                    apart = label[u] != label[v]
-                    out.append((node[u[apart]], node[v[apart]]))
-                    held += int(apart.sum())
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]).tolist() for k in (0, 1))
-            tail = [None] if end is not None else []
-            n = len(a) + len(tail)
-            return pa.table({"a": pa.array(a + tail, pa.int64()), "b": pa.array(b + tail, pa.int64()), "g": pa.array([g] * n, pa.int64()), "ij": pa.array([ij] * n, pa.int64()), "next": pa.array([None] * len(a) + [end] * len(tail), pa.int64())})
-        levels: list[int] = []
-        below = -1
-        held = _held(pairs(), KEPT)
-        for limit in most or (0,):
-            for u, v, far in held if held is not None else pairs():
-                at = (far > below) & (far <= limit)
-                if at.any():
-                    forest.add(u[at], v[at])
-            levels += [(most or (0,)).index(limit)] * (sum(len(x) for x, _ in forest.links) - len(levels))
-            below = limit
-        u = np.concatenate([x for x, _ in forest.links]) if forest.links else np.zeros(0, np.int64)
-        v = np.concatenate([x for _, x in forest.links]) if forest.links else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(node[u], pa.int64()), "b": pa.array(node[v], pa.int64()), "level": pa.array(levels, pa.int32())})
-
-    if after is not None:
-        dealt = prints.select("node", "lanes", "label").mapInArrow(deal, "g long, ij long, side boolean, node long, lanes binary, label long")
-        return dealt.groupBy("g", "ij").applyInArrow(cell, "a long, b long, g long, ij long, next long")
-    dealt = prints.select("node", "lanes").mapInArrow(deal, "g long, ij long, side boolean, node long, lanes binary")
-    return dealt.groupBy("g", "ij").applyInArrow(cell, "a long, b long, level int")
-
-
-def _held(pairs: Iterator[tuple], most: int) -> list[tuple] | None:
-    """All pieces if they are ``most`` pairs or fewer, else None: the pairs are then found again when wanted."""
-    out, n = [], 0
-    for p in pairs:
-        n += len(p[0])
-        if n > most:
-            return None
-        out.append(p)
-    return out
-
-
-def _bits(lanes: F.Column, start: int, n: int) -> F.Column:
-    """``n`` (at most 16) bits of a binary column from bit ``start`` on, as a long."""
-    first = start // 8
-    size = -(-(start + n) // 8) - first
-    raw = F.conv(F.hex(F.substring(lanes, first + 1, size)), 16, 10).cast("long")
-    return F.shiftright(raw, (first + size) * 8 - start - n).bitwiseAND(F.lit((1 << n) - 1))
+            weight = np.cumsum(batch.column(2).to_numpy().astype(np.int64)) // (limit // shape.copies) if alike else np.arange(batch.num_rows) // DEALT
+            cuts = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield pack(batch.slice(a, b - a))
+        release()
+
+    def pack(part: pa.RecordBatch) -> pa.RecordBatch:
+        node = part.column(0).to_numpy()
+        lanes = _lanes(part.column(1), shape.words)
+        cells = shape.cells(lanes)
+        at, cell = np.repeat(np.arange(len(node)), shape.copies), cells.ravel()
+        own = i = j = np.zeros(len(at), np.int64)
+        if len(hot):
+            found = np.searchsorted(hot, cell)
+            found[found == len(hot)] = 0
+            times = np.where(hot[found] == cell, parts[found], 1)
+            salt = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            own = (salt[at] % times.astype(np.uint64)).astype(np.int64)
+            other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            at, cell, own = np.repeat(at, times), np.repeat(cell, times), np.repeat(own, times)
+            i, j = np.minimum(own, other), np.maximum(own, other)
+        entries = np.zeros(len(at), shape.entry)
+        entries["cell"], entries["own"], entries["i"], entries["j"] = cell, own, i, j
+        entries["node"], entries["lanes"] = node[at], lanes[at]
+        raw: list[bytes] = []
+        if alike:
+            raw = part.column(4).to_pylist()
+            entries["size"] = part.column(2).to_numpy()[at]
+            entries["label"] = part.column(3).to_numpy()[at]
+        mixed = (cell.astype(np.uint64) << np.uint64(32) | (i << 16 | j).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((mixed >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, cuts = np.unique(bucket[order], return_index=True)
+        packed, sets = [], []
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            packed.append(entries[order[x:y]].tobytes())
+            sets.append(b"".join([raw[r] for r in at[order[x:y]].tolist()]) if alike else None)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(packed, pa.binary()), pa.array(sets, pa.binary())], names=["bucket", "packed", "sets"])
+
+    def bucket(group: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(group["packed"].to_pylist()), shape.entry)
+        sets = _sets(b"".join(group["sets"].to_pylist()), rows["size"]) if alike else None
+        a, b = _bucket_links(shape, rows, sets, alike)
+        out = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        del rows, sets, group
+        if len(a) > 1000:
+            release()
+        return out
+
+    names = ["node", "lanes", F.col("size").cast("int"), *(["label", "set"] if alike else [])]
+    dealt = prints.select(*names).mapInArrow(deal, "bucket long, packed binary, sets binary")
+    return dealt.groupBy("bucket").applyInArrow(bucket, "a long, b long")
