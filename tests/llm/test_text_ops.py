@@ -313,7 +313,7 @@ def plain_jaccard(x, y, size=5):
 
 
 @pytest.mark.parametrize("cell", [8, 1 << 18])
-def test_links_that_are_not_confirmed_hide_no_others(spark, monkeypatch, cell):
+def test_links_that_are_not_confirmed_hide_no_others(spark, monkeypatch, cell):  # 8: lots are too large for one task, and cells are parted
     rng = random.Random(14)
     base = [f"w{rng.randrange(3000)}" for _ in range(400)]
     texts = []

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from trawl.llm.shared import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one link up at most and none leads up from a root: then roots are found."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).select((F.col("up") + F.col("root") > 1) & (F.col("up") > 0))
+    return not odd.toDF("odd").agg(F.max("odd")).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", share=16)
-    state = _state(edges)
-    while state[0]:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low", share=16)
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -32,7 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = large.join(low, "a")
         small = pairs.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = materialise(small.distinct(), "links", share=16)
-        before, state = state, _state(edges)
-        if state == before:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from trawl.llm.components import components
 from trawl.llm.members import possible
 from trawl.llm.shared import materialise, release, table
-from trawl.llm.trie_join import Shape, trie_links
+from trawl.llm.trie_join import Shape, lot_limit, lot_links, trie_links
 
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
@@ -182,25 +182,48 @@ def _rows_and_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     nodes = rows.groupBy("key", "size", "lanes").agg(F.min(F.struct("id", "digest")).alias("least"))
     nodes = materialise(nodes.select("key", "size", "lanes", "least.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = materialise(trie_links(nodes, nodes.count(), shape).distinct(), "pairs")
-    met = materialise(components(found).withColumnRenamed("root", "met"), "met")
-    # components name every node but their root
-    in_group = materialise(met.select("node", "met").unionByName(met.select(F.col("met").alias("node"), "met").distinct()), "ingroup")
-    wanted = materialise(nodes.join(in_group, "node").select("node", "id", "digest", "met", "size", "lanes"), "wanted")
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(nodes.join(ends, "node").select("node", "id", "digest", "size", "lanes"), "wanted")
     sets = materialise(_sets_of(wanted.select("node", "id", "digest"), docs, id_col, text_col, shingle), "sets")
     links = materialise(_confirmed(found, sets, similarity), "links")
     joined = components(links)
-    labelled = materialise(wanted.join(joined, "node", "left").select("node", "lanes", "size", "met", F.coalesce("root", "node").alias("label")), "labelled")
-    # a link that was not confirmed may have hidden others: groups that fell apart, but for those of two nodes, are gone through
-    # again with the sets at hand
-    apart = labelled.groupBy("met").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low < high").select("met")
-    again = materialise(labelled.join(materialise(apart, "apart"), "met", "left_semi").join(sets, "node").select("node", "lanes", "size", "label", "set"), "again")
-    weight = again.agg(F.sum(F.greatest("size", F.lit(1)))).first()[0] or 0
-    if weight:
-        links = links.unionByName(materialise(trie_links(again, weight, shape, _alike(similarity)), "links"))
-        joined = components(links)
+    labelled = materialise(wanted.join(joined, "node", "left").select("node", "lanes", "size", F.coalesce("root", "node").alias("label")), "labelled")
+    links = _more_links(found, links, labelled, sets, shape, similarity)
+    if links is not None:  # links between groups, by their labels
+        above = components(links).select(F.col("node").alias("label"), F.col("root").alias("top"))
+        joined = labelled.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("root"))
     return rows.select("id", "digest", "key"), nodes.join(joined, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
 
 
+def _more_links(found: DataFrame, links: DataFrame, labelled: DataFrame, sets: DataFrame, shape: Shape, similarity: float) -> DataFrame | None:
+    """Links (a, b) between labels that pairs which were not confirmed had hidden; None if there are none.
+
+    A pair is hidden only if others lead from one of its ends to the other, some of them not
+    confirmed. So what is gone through again, with the sets at hand, is what such pairs connect,
+    but for two lone nodes. Each connected lot is joined in one task; one whose sets are larger
+    than a task's share is dealt out by cells.
+    """
+    label = lambda x: labelled.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    failed = found.join(links, ["a", "b"], "left_anti").join(label("a"), "a").join(label("b"), "b").where("la <> lb")
+    lots = components(failed.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    lots = lots.unionByName(lots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("label"), F.col("root").alias("lot"))
+    weight = F.sum(F.greatest("size", F.lit(1)))
+    of_lot = labelled.join(lots, "label").groupBy("lot").agg(F.count(F.lit(1)).alias("n"), weight.alias("weight")).where("n > 2").select("lot", (F.col("weight") > lot_limit()).alias("large"), "weight")
+    of_lot = materialise(of_lot, "lots", share=16)
+    total = {r["large"]: r["weight"] for r in of_lot.groupBy("large").agg(F.sum("weight").alias("weight")).collect()}  # two rows
+    if not total:
+        return None
+    again = labelled.join(lots, "label").join(of_lot.select("lot", "large"), "lot").join(sets, "node")
+    again = materialise(again.select("node", "lanes", "size", "label", "set", "lot", "large"), "again")
+    out = []
+    if False in total:
+        out.append(lot_links(again.where("NOT large"), total[False], shape, _alike(similarity)))
+    if True in total:
+        out.append(trie_links(again.where("large").drop("lot", "large"), total[True], shape, _alike(similarity)))
+    more = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return materialise(more.join(label("a"), "a").join(label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links", share=16)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.995, errors: int = 3) -> DataFrame:
     """Per row of ``docs``: id, component (the smallest id of its group), by links of Jaccard similarity of ``similarity`` or more of word shingles.
 

@@ -324,7 +324,7 @@ def trie_links(prints: DataFrame, rows: int, shape: Shape, alike: Callable[[np.n
     none is passed over unless links that it confirmed join the two labels already. ``rows`` is
     then the size of all sets.
     """
-    limit = 16 * CELL if alike else CELL
+    limit = lot_limit() if alike else CELL
     hot, parts = _parts(prints, shape, rows, limit)
     buckets = max(BUCKETS_EACH * width(prints.sparkSession), -(-rows * shape.copies // limit))
 
@@ -383,3 +383,30 @@ def trie_links(prints: DataFrame, rows: int, shape: Shape, alike: Callable[[np.n
     names = ["node", "lanes", F.col("size").cast("int"), *(["label", "set"] if alike else [])]
     dealt = prints.select(*names).mapInArrow(deal, "bucket long, packed binary, sets binary")
     return dealt.groupBy("bucket").applyInArrow(bucket, "a long, b long")
+
+
+def lot_limit() -> int:
+    """Members of all sets that one task joins, about: 8 bytes each."""
+    return 16 * CELL
+
+
+def lot_links(prints: DataFrame, members: int, shape: Shape, alike: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """As ``trie_links`` with ``alike``, within lots: ``prints`` also has ``lot`` (long), each of at most ``lot_limit`` of the ``members`` of all sets. Rows are not copied."""
+    buckets = max(BUCKETS_EACH * width(prints.sparkSession), -(-2 * members // lot_limit()))
+
+    def bucket(group: pa.Table) -> pa.Table:
+        node, label, lot = (group[c].to_numpy() for c in ("node", "label", "lot"))
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+        lanes = _lanes(group["lanes"].combine_chunks(), shape.words)
+        found = [(node[:0], node[:0])]
+        for one in np.unique(lot).tolist():
+            own = np.flatnonzero(lot == one)
+            at = np.repeat(own, shape.copies)
+            rows = np.zeros(len(at), shape.entry)
+            rows["cell"], rows["node"], rows["label"], rows["lanes"] = shape.cells(lanes[own]).ravel(), node[at], label[at], lanes[at]
+            found.append(_bucket_links(shape, rows, [sets[i] for i in at.tolist()], alike))
+        release()
+        return pa.table({"a": pa.array(np.concatenate([x for x, _ in found]), pa.int64()), "b": pa.array(np.concatenate([x for _, x in found]), pa.int64())})
+
+    dealt = prints.select("node", "lanes", "size", "label", "set", "lot", F.pmod(F.xxhash64("lot"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInArrow(bucket, "a long, b long")
