@@ -241,7 +241,7 @@ def test_em_finds_the_labellers_accuracies():
 
 def test_votes():
     def of(text):
-        return dict(zip(weak_labels.LABELLERS, weak_labels._read(text)[2], strict=True))
+        return dict(zip(weak_labels.LABELLERS, weak_labels._read(text)[1], strict=True))
 
     clean = "A plain text about rivers and hills that goes on for a while without any of the faults."
     assert set(of(clean).values()) <= {weak_labels.KEEP, weak_labels.NONE}
@@ -275,6 +275,42 @@ def test_classifier_learns_unlisted_words_on_held_out_rows(spark):
     assert np.mean([k != bad for k, bad in held_out]) > 0.95 and sum(not k and not bad for k, bad in held_out) <= 4
 
 
+def test_lexicon_and_threshold():
+    rng = np.random.default_rng(4)
+    bad = rng.random(400) < 0.25
+    rows = [np.unique(np.append(rng.integers(100, 3000, 80), [7, 9] if b else [8]).astype(np.uint32)) for b in bad]
+    assert set(weak_labels.mine_lexicon(rows, bad).tolist()) == {7, 9}
+    assert not len(weak_labels.mine_lexicon(rows, np.zeros(400, bool))) and not len(weak_labels.mine_lexicon([], bad[:0]))
+    scores, truth = np.array([0.9, 0.8, 0.8, 0.7, 0.6, 0.2]), np.array([True, True, True, False, True, False])
+    assert weak_labels.threshold(scores, truth) == 0.8
+    assert weak_labels.threshold(scores, ~truth) == weak_labels.threshold(scores[:0], truth[:0]) == weak_labels.NEVER  # nothing is rejected
+
+
+def test_query_equals_its_parts_in_plain_python(spark):
+    """The registered query's columns, with the model fitted again from its parts over plain lists."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    labels = {r["doc_id"]: int(not (r["quality"] == 1 and r["toxic"] == 0)) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    half = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in labels], "i long").select("i", (F.pmod(F.xxhash64("i", F.lit(9)), F.lit(1 << 30)) % 2).alias("h")).collect()}
+    first = [(weak_labels._read(r["text"])[0], labels[r["doc_id"]]) for r in rows if half.get(r["doc_id"]) == 0]
+    lexicon = frozenset(weak_labels.mine_lexicon([t for t, _ in first], np.array([b for _, b in first]) == 1).tolist())
+    read = {r["doc_id"]: weak_labels._read(r["text"], lexicon) for r in rows}
+    counts = collections.Counter(weak_labels.code(p) for _, p in read.values())
+    _, _, posterior = weak_labels.estimate(counts, len(weak_labels.LABELLERS))
+    own = sorted((t.tobytes(), weak_labels.code(p), p) for t, p in read.values())
+    order = np.random.default_rng(3).permutation(len(own))
+    weights = weak_labels.train([weak_labels.features(np.frombuffer(own[i][0], np.uint32), own[i][2]) for i in order], np.array([posterior[own[i][1]] for i in order])).astype(np.float32)
+    held = [i for i in half if half[i] == 1 and len(read[i][0])]
+    score = {i: weak_labels._probability(weights, weak_labels.features(*read[i])) if len(read[i][0]) else 0.0 for i in read}
+    limit = weak_labels.threshold(np.array([score[i] for i in held]), np.array([labels[i] for i in held]) == 1)
+    found = weak_labels.op9_weak_labels(spark, SF).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        i = r["doc_id"]
+        assert r["votes"] == "".join("k-r"[v] for v in read[i][1]) and abs(r["posterior"] - posterior[weak_labels.code(read[i][1])]) < 1e-9
+        assert abs(r["score"] - score[i]) < 1e-6 and (r["kept"] == (score[i] < limit) or abs(score[i] - limit) < 1e-6)
+    assert 0 < sum(not r["kept"] for r in found) and all(r["kept"] for r in found if labels.get(r["doc_id"]) == 0)
+
+
 def test_classifier_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(i, "a fine text of words " * 5 if i % 4 else "bad### worse$$$ " * 9) for i in range(80)], "doc_id long, text string")
     found = {r["doc_id"]: r["kept"] for r in weak_labels.classify(docs, None).collect()}
