@@ -139,6 +139,45 @@ def test_rows_without_repeats(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mixing_twice_and_clashing_names(spark):
+    df = mixable(spark, 300).withColumn("mix_weight", F.lit("clash")).withColumn("target", F.lit(1)).withColumn("fitted", F.lit(2))
+    once = mixing.mix(df)
+    again = mixing.mix(once)
+    assert again.count() == once.count() == df.count() and again.columns == once.columns
+    assert once.agg(F.max("mix_residual")).first()[0] <= mixing.TOLERANCE
+
+
+def test_targets_that_contradict_leave_a_residual(spark):
+    cells = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0)], "s string, l string, weight double")
+    targets = {"s": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "s string, target double"), "l": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "l string, target double")}
+    assert mixing.fit_margins(cells, targets, rounds=4)[1] > 0.5
+    bound = {r["s"]: r["fitted"] for r in mixing.rake(cells, {"s": targets["s"]}, most=1.5).collect()}
+    assert abs(bound["a"] - 0.75) < 1e-9 and abs(bound["b"] - 0.1) < 1e-9
+
+
+def test_topics_are_learnt_from_bursts(spark):
+    rng = random.Random(6)
+    plain = [f"plain{a}{b}" for a in "abcde" for b in "fghij"]
+    rows = []
+    for i in range(400):
+        t = [rng.choice(plain) for _ in range(40)]
+        lang = "en" if i % 2 else "de"
+        if i % 10 < 4:
+            t += [f"{lang}burst{chr(97 + i % 10 // 2)}"] * 6
+        rows.append((i, " ".join(t), lang, i % 10 // 2 if i % 10 < 4 else None))
+    df = spark.createDataFrame([*rows, (999, None, None, None)], "doc_id long, text string, lang string, truth int")
+    seeds = mixing.learn_topics(df, F.col("text"), F.col("lang"))
+    counts = {k: collections.Counter(w for _, t, g, _ in rows if g == k for w in t.split()) for k in ("en", "de")}
+    held = {k: collections.Counter(w for _, t, g, _ in rows if g == k for w in set(t.split())) for k in ("en", "de")}
+    for k in ("en", "de"):
+        ridf = {w: round(np.log2(200 / held[k][w]) + np.log2(1 - np.exp(-counts[k][w] / 200)), 9) for w in counts[k] if 2 <= held[k][w] <= mixing.COMMON * 200}
+        names = [r["h"] for r in spark.createDataFrame([(w,) for w in sorted(ridf, key=lambda w: (-ridf[w], w))], "w string").select(mixing.term_hash(F.col("w")).alias("h")).collect()]
+        assert set(ridf) >= {f"{k}bursta", f"{k}burstb"} and sorted(seeds[k]) == sorted(names[: mixing.TOPICS])
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(f"{k}burst{c}",) for k in ("en", "de") for c in "ab"], "w string").select("w", mixing.term_hash(F.col("w")).alias("h")).collect()}
+    found = {r["doc_id"]: r["t"] for r in df.select("doc_id", mixing.topic(F.col("text"), F.col("lang"), seeds).alias("t")).collect()}
+    assert all(found[i] == f"topic {seeds[g].index(hashes[f'{g}burst{chr(97 + x)}']) + 1}" for i, _, g, x in rows if x is not None) and found[999] == "other"
+
+
 # ---- ring
 
 
