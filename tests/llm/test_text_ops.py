@@ -1,5 +1,6 @@
 """Token counts, BPE, TIFF, SimHash and PII against plain versions on small and awkward rows."""
 
+import collections
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from trawl.llm import byte_bpe, katz, pii, simhash, tiff, token_counts, trie_join, vocab, word_chunks
@@ -367,14 +369,19 @@ def luhn(digits):
     return total % 10 == 0
 
 
-def plain_spans(text):
+def plain_base(text):
+    """(start, kind, end) of each valid base span."""
     out = []
     for k, (kind, pattern) in enumerate(PLAIN):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
             if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]:
                 out.append((m.start(), k, m.end()))
-    return ",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in sorted(out))
+    return sorted(out)
+
+
+def plain_spans(text):
+    return ",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in plain_base(text))
 
 
 def base_of(spark, texts):
@@ -437,6 +444,64 @@ def test_terms_that_disclose_are_marked_wherever_they_stand(spark):
     assert out[50] == "<TERM> is elsewhere" and out[51] is None
 
 
+def plain_terms(rows, support=3, generalise=0.9, remove=0.98):
+    """Spans of the query by plain loops: (doc_id, base and term spans, what replaces terms)."""
+    texts = {i: t or "" for i, t in rows}
+    words = {i: set(regex.findall(r"[\p{L}\p{N}]+", t.lower())) for i, t in texts.items()}
+    secret = {w for ws in words.values() for w in ws if re.fullmatch("[a-z0-9]{16,}", w) and re.search("[a-z]", w) and re.search("[0-9]", w)}
+    base = {i: plain_base(t) for i, t in texts.items()}
+
+    def key(i, span):
+        value = texts[i][span[0] : span[2]]
+        return (span[1], value.lower() if span[1] == 0 else value if span[1] == 1 else re.sub("[^0-9]", "", value))
+
+    entities = collections.defaultdict(set)
+    for i in texts:
+        for e in {key(i, s) for s in base[i]} | {(4, w) for w in words[i] & secret}:
+            entities[e].add(i)
+    n, df, classes = len(texts), collections.Counter(w for ws in words.values() for w in ws), collections.Counter()
+    for ws in words.values():
+        classes.update({w[:k] + f"/{k}" for w in ws for k in pii.CLASS_LETTERS})
+    best = {w: (2.0, "") for w in secret}
+    for ids in entities.values():
+        info = np.log2(n / len(ids))
+        for w in {w for i in ids for w in words[i]}:
+            both = [i for i in ids if w in words[i]]
+            copies = min(support, len({texts[i] for i in both}))
+            share = (np.log2(len(both) * n / (len(ids) * df[w])) - np.log2((1 + support) / (1 + copies))) / info if info > 0 else 0
+            if share >= generalise:
+                safe = [f"<{w[:k]}*>" for k in pii.CLASS_LETTERS if np.log2(n / classes[w[:k] + f"/{k}"]) / info < generalise]
+                best[w] = max(best.get(w, (0, "")), (share, "" if share >= remove else [*safe, "<TERM>"][0]))
+    out = {}
+    for i, t in texts.items():
+        own = [(m.start(), m.end(), best[m.group().lower()][1]) for m in regex.finditer(r"[\p{L}\p{N}]+", t) if m.group().lower() in best]
+        own = [(a, b, v) for a, b, v in own if not any(s[0] < b and a < s[2] for s in base[i])]
+        out[i] = ({(s[0], s[1], s[2]) for s in base[i]}, {(a, b): v for a, b, v in own})
+    return out
+
+
+def test_spans_of_the_query_equal_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = plain_terms(rows)
+    assert sum(len(t) for _, t in want.values()) > 0  # the method adds spans on the table
+    names = dict(enumerate(pii.KINDS))
+    found = {r["doc_id"]: r["spans"] for r in pii.op10_pii(spark, sf).collect()}
+    for i, (base, terms) in want.items():
+        all_ = sorted([(a, k, b) for a, k, b in base] + [(a, 4, b) for a, b in terms])
+        assert found[i] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in all_), i
+
+
+def test_terms_become_classes_of_the_corpus(spark):
+    rows = [(i, f"Mail jane@corp.org or ask for Zephyrine in town {i} number{i}") for i in range(6)]
+    rows += [(10 + i, f"In town the people ask for zephyrs{i} or mail {i} and number{i + 50}") for i in range(30)] + [(90, "Zephyrine"), (91, 'token = "0123456789abcdef0123" here'), (92, "0123456789ABCDEF0123 again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_terms(rows)
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "<zep*>" in out[0] and out[90] == "<zep*>" and out[91] == 'token = "" here' and out[92] == " again"
+    assert {want[0][1][k] for k in want[0][1]} == {"<zep*>"}
+
+
 def test_sanitised_texts(spark):
     df = secret_documents(spark)
     out = {r["doc_id"]: r for r in pii.sanitise(df).collect()}

@@ -1,15 +1,20 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans (e-mail, IP, card and phone numbers) come from regular expressions with checks.
-Every value found is a protected entity. Over the whole corpus, for each term (word of
-letters and digits) that occurs in documents with an entity, the co-occurrence tells how
-much the term reveals: the pointwise mutual information of term and entity as a share of the
-entity's information content, which is 1 for a term that only occurs beside the entity. Every
-pair is scored; one that is met in fewer than ``support`` different texts is scored by a lower
-estimate: k texts take log2((1 + support) / (1 + k)) bits from its mutual information. Terms
-at ``generalise`` or more are replaced by a class of terms, at ``remove`` or more they go:
-wherever they stand, or only in documents that hold the entity. All is DataFrame and SQL
-functions.
+Every value found is a protected entity, and so is every secret: a long run of letters and
+digits mixed, as keys and tokens are. Over the whole corpus, for each term (word of letters and
+digits) that occurs in documents with an entity, the co-occurrence tells how much the term
+reveals: the pointwise mutual information of term and entity as a share of the entity's
+information content, which is 1 for a term that only occurs beside the entity. Every pair is
+scored; one that is met in fewer than ``support`` different texts is scored by a lower estimate:
+k texts take log2((1 + support) / (1 + k)) bits from its mutual information. Terms at
+``generalise`` or more are generalised, at ``remove`` or more they go, as secrets do: wherever
+they stand, or only in documents that hold the entity.
+
+A term is generalised to a class of the corpus: the terms that begin with the same letters,
+``CLASS_LETTERS`` of them, most first, whose documents are so many that the class itself would
+not disclose; without such a class to <TERM>. All is DataFrame and SQL functions; texts are not
+shuffled but for those in which a term is marked.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.llm.members import possible
 from trawl.llm.shared import materialise, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -34,6 +40,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]++"
+#: A secret: a lower-cased term of so many letters and digits, both of them.
+SECRET = "^(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]{16,}$"
+#: First letters that terms of a class share, and hash values of classes.
+CLASS_LETTERS, CLASSES = (3, 1), 1 << 20
 
 SPANS = "array<struct<kind:int,start:int,stop:int,value:string>>"
 ORDERED = "array<struct<start:int,kind:int,stop:int,value:string>>"
@@ -130,48 +140,78 @@ def _key(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def _terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text, lower-cased."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.xxhash64(t)))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _disclosures(held: DataFrame, texts: DataFrame, rows: int, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
-    """The pairs (entity, term, share) that disclose, and the texts they may stand in: (entity, copy, text).
+def _term_key(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << 63) - 1))
 
-    ``held``: rows (copy, text, entities) with entities; ``texts``: one text column with all rows.
+
+def _class_key(word: Column, letters: int) -> Column:
+    """Below zero, so that it is no term's key."""
+    return -1 - F.pmod(F.xxhash64(F.substring(word, 1, letters), F.lit(letters)), F.lit(CLASSES))
+
+
+def _keys(words: Column) -> Column:
+    """The keys of distinct terms and, once each, of their classes."""
+
+    def classes(letters: int) -> Column:
+        return F.array_distinct(F.transform(words, lambda w: _class_key(w, letters)))
+
+    return F.concat(F.transform(words, _term_key), *[classes(k) for k in CLASS_LETTERS])
+
+
+def _placed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, n_entity, copy), and (copy, n, words) once a text, of rows (copy, words, entities).
+
+    Entities of one and the same text have equal statistics: they are one, so that a text full of them is not multiplied by its terms.
     """
     by_copy = held.select(F.explode("entities").alias("entity"), "copy").groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("n"))
     by_entity = by_copy.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("copies"), F.min("copy").alias("copy"))
-    # entities of one and the same text have equal statistics: they are one, so that a text full of them is not multiplied by its terms
-    alone = F.concat(F.lit("in:"), F.col("copy").cast("string"))
-    known = by_entity.select(F.col("entity").alias("value"), F.when(F.col("copies") == 1, alone).otherwise(F.col("entity")).alias("entity"), "n_entity")
+    known = by_entity.select(F.col("entity").alias("value"), F.when(F.col("copies") == 1, F.concat(F.lit("in:"), F.hex("copy"))).otherwise(F.col("entity")).alias("entity"), "n_entity")
     known = materialise(known, "entities")
-    once = held.groupBy("copy").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count(F.lit(1)).alias("n"))
-    placed = once.select(F.explode("entities").alias("value"), "copy").join(known, "value").select("entity", "n_entity", "copy").distinct()
-    beside = materialise(placed.join(once.select("copy", "text", "n"), "copy"), "beside")
-    pairs = beside.select("entity", "n_entity", "n", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("copies"))
+    placed = by_copy.select(F.col("entity").alias("value"), "copy").join(known, "value").select("entity", "n_entity", "copy").distinct()
+    once = held.groupBy("copy").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    return materialise(placed, "placed"), once
+
+
+def _counts(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, count): documents of each class and of each term that ``pairs`` has."""
+    asked = pairs.select("key").distinct()
+    each = found.select(F.explode("keys").alias("key"))
+    return materialise(possible(each, [F.col("key")], asked, ["key"], "members_maybe").where("key < 0 OR members_maybe").groupBy("key").count(), "counts")
+
+
+def _disclosures(placed: DataFrame, once: DataFrame, found: DataFrame, rows: int, support: int, generalise: float, remove: float) -> DataFrame:
+    """The pairs that disclose: (entity, term, key, share, value), the value being what replaces the term."""
+    terms = once.select("copy", "n", F.explode("words").alias("term")).withColumn("key", _term_key(F.col("term")))
+    pairs = placed.join(terms, "copy").groupBy("entity", "n_entity", "term", "key").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("copies"))
     pairs = materialise(pairs, "pairs")
-    counts = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = counts.join(pairs, "term")
+    counts = _counts(found, pairs)
     n = F.lit(float(max(1, rows)))
     information = F.log2(n / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
+    mutual = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("count")))
     doubt = F.log2(F.lit(1.0 + support) / (F.least(F.col("copies"), F.lit(support)) + 1))
     share = F.when(information > 0, (mutual - doubt) / information).otherwise(F.lit(0.0))
-    found = scored.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
-    return materialise(found, "disclosed"), beside.select("entity", "copy", "text")
-
-
-def _term_spans(text: Column, marked: Column, remove: float) -> Column:
-    """Spans of the terms whose hashes are keys of the map ``marked``; their value is what replaces them."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.map_contains_key(marked, F.xxhash64(t))))
+    shown_ = materialise(pairs.join(counts, "key").withColumn("share", share).where(F.col("share") >= generalise).drop("count"), "disclosed")
+    general = F.lit("<TERM>")
+    for k in reversed(CLASS_LETTERS):
+        of_class = counts.select(F.col("key").alias(f"class_{k}"), F.col("count").alias(f"count_{k}"))
+        shown_ = shown_.withColumn(f"class_{k}", _class_key(F.col("term"), k)).join(of_class, f"class_{k}")
+        safe = F.log2(n / F.col(f"count_{k}")) / information < generalise  # as if the entity always had the class beside it
+        general = F.when(safe, F.concat(F.lit("<"), F.substring("term", 1, k), F.lit("*>"))).otherwise(general)
+    return shown_.select("entity", "term", "key", "share", F.when(F.col("share") >= remove, F.lit("")).otherwise(general).alias("value"))
+
+
+def _term_spans(text: Column, marked: Column) -> Column:
+    """Spans of the terms that are keys of the map ``marked``; their value is what replaces them."""
+    words = F.filter(_words(text), lambda t: F.map_contains_key(marked, t))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
     def instead(s: Column) -> Column:
-        share = F.element_at(marked, F.xxhash64(F.lower(s["value"])))
-        general = F.when(s["value"].rlike("^[0-9]+$"), "<NUMBER>").otherwise("<TERM>")
-        return _span(s["kind"], s["start"], s["stop"], F.when(share >= remove, F.lit("")).otherwise(general))
+        return _span(s["kind"], s["start"], s["stop"], F.coalesce(F.element_at(marked, F.lower(s["value"])), F.lit("<TERM>")))
 
     return F.when(F.size(words) > 0, F.transform(_located(text, pattern, 4), instead)).otherwise(F.array().cast(SPANS))
 
@@ -182,28 +222,43 @@ def personal_spans(docs: DataFrame, keep: list[str], text_col: str = "text", sup
     A null text has no spans. Nulls and clashing names in other columns do not matter, nor do
     repeated rows: statistics count rows, and a row's spans follow from its text. An empty
     table gives an empty result. With ``everywhere`` a term that discloses any entity is marked
-    in all texts, by its highest share; else only beside the entity.
+    in all texts, by its highest share; else only beside the entity. Secrets are terms in
+    either case.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.xxhash64(text).alias("copy"), text.alias("text"), base_spans(text).alias("base"))
-    some = F.size("base") > 0
-    found = materialise(spans.select("row", "copy", F.when(some, F.col("text")).alias("text"), "base"), "spans")
-    held = found.where(some).select("copy", "text", F.array_distinct(F.transform("base", _key)).alias("entities"))
-    disclosed, beside = _disclosures(held, docs.select(text.alias("text")), found.count(), support, generalise)
+    own = F.struct(*[docs[c] for c in keep])
+    spans = docs.select(own.alias("row"), text.alias("text"), _words(text).alias("words"), base_spans(text).alias("base"))
+    secrets = F.filter("words", lambda w: (F.char_length(w) >= 16) & w.rlike(SECRET))
+    spans = spans.select("row", "text", "base", "words", secrets.alias("secrets"))
+    some = (F.size("base") > 0) | (F.size("secrets") > 0)
+    entities = F.array_distinct(F.concat(F.transform("base", _key), F.transform("secrets", lambda w: F.concat(F.lit("4:"), w))))
+    held_text = [] if text_col in keep else ["text"]
+    found = spans.select(F.monotonically_increasing_id().alias("uid"), "row", *held_text, "base", "secrets", F.when(some, F.unhex(F.md5("text"))).alias("copy"), F.when(some, F.col("words")).alias("words"), F.when(some, entities).alias("entities"), _keys(F.col("words")).alias("keys"))
+    found = materialise(found, "spans")
+    held = found.where("copy IS NOT NULL")
+    placed, once = _placed(held.select("copy", "words", "entities"))
+    disclosed = _disclosures(placed, once, found, found.count(), support, generalise, remove)
+    hidden = held.select("uid", F.explode("secrets").alias("term")).select("uid", "term", F.lit("").alias("value"))
     if everywhere:
-        highest = materialise(disclosed.groupBy("term").agg(F.max("share").alias("share")), "highest")
-        held_by = docs.select(F.xxhash64(text).alias("copy"), F.explode(_terms(text)).alias("term"))
-        near, texts = held_by.join(highest, "term"), docs.select(F.xxhash64(text).alias("copy"), text.alias("text"))
+        best = F.max(F.struct("share", F.col("value"))).alias("best")
+        secret = held.select(F.explode("secrets").alias("term")).distinct().select("term", _term_key(F.col("term")).alias("key"), F.lit(2.0).alias("share"), F.lit("").alias("value"))
+        highest = disclosed.select("term", "key", "share", "value").unionByName(secret).groupBy("term", "key").agg(best).select("term", "key", F.col("best.value").alias("value"))
+        highest = materialise(highest, "highest")
+        each = found.select("uid", F.explode("keys").alias("key"))
+        marks = possible(each, [F.col("key")], highest, ["key"], "members_maybe").where("members_maybe AND key >= 0").join(highest, "key").select("uid", "term", "value")
     else:
-        near, texts = beside.select("entity", "copy", F.explode(_terms(F.col("text"))).alias("term")).join(disclosed, ["entity", "term"]), beside
-    marked = near.groupBy("copy", "term").agg(F.max("share").alias("share")).groupBy("copy").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("marked"))
-    texts = texts.groupBy("copy").agg(F.first("text").alias("text")).join(marked, "copy")
-    terms = materialise(texts.select("copy", _term_spans(F.col("text"), F.col("marked"), remove).alias("terms")), "terms")
-    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
+        best = F.max(F.struct("share", F.col("value"))).alias("best")
+        marks = disclosed.join(placed.select("entity", "copy"), "entity").join(held.select("uid", "copy"), "copy").groupBy("uid", "term").agg(best).select("uid", "term", F.col("best.value").alias("value"))
+        marks = marks.join(hidden.select("uid", "term"), ["uid", "term"], "left_anti").unionByName(hidden)
+    marks = marks.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("marked"))
+    marks = materialise(marks.withColumnRenamed("uid", "mark_uid"), "marks")
     none = F.array().cast(SPANS)
-    asked = found if everywhere else found.where(some)
-    joined = asked.join(terms, "copy", "left").select("row", "base", F.coalesce(F.filter("terms", apart), none).alias("terms"))
-    return joined if everywhere else joined.unionByName(found.where(~some).select("row", "base", none.alias("terms")))
+    flagged = possible(found.drop("keys", "words", "entities", "copy", "secrets"), [F.col("uid")], marks, ["mark_uid"], "members_maybe")
+    near = flagged.where("members_maybe").join(marks, F.col("uid") == F.col("mark_uid"), "left")
+    whole = F.coalesce(F.col("row").getField(text_col), F.lit("")) if text_col in keep else F.col("text")
+    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
+    near = near.select("row", "base", F.when(F.col("marked").isNotNull(), F.filter(_term_spans(whole, F.col("marked")), apart)).otherwise(none).alias("terms"))
+    return near.unionByName(flagged.where("NOT members_maybe").select("row", "base", none.alias("terms")))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
