@@ -91,6 +91,19 @@ def test_recall_on_the_table(spark):
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in found.fetchall())
 
 
+@pytest.mark.parametrize(("size", "blocks"), [(3, 1), (8, 1), (12, 2), (24, 2), (40, 3), (40, 4)])
+def test_recall_as_the_code_grows(size, blocks):
+    rng = np.random.default_rng(size)
+    code = cap_filters.ProductCode(64, size, 7)
+    x = rng.standard_normal((300, 64))
+    y = x + rng.standard_normal((300, 64)) * 0.2 * np.linalg.norm(x, axis=1, keepdims=True) / 8  # cosine about 0.98
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    near = np.flatnonzero((x * y).sum(1) >= 0.98)
+    cells = lambda v: set((code.decode(v) // size ** (4 - blocks)).tolist())
+    assert len(near) > 80 and np.mean([bool(cells(x[i]) & cells(y[i])) for i in near]) >= 0.97
+    assert np.mean([len(cells(v)) for v in x]) <= 1.3 * cap_filters.CELLS[blocks]
+
+
 # ---- mixing
 
 

@@ -80,6 +80,20 @@ def test_fold_and_heap_merge_alike(spark):
             assert got[i] == vocab.merge_by_rank(w, ranks)
 
 
+def test_vocabulary_whose_ranks_do_not_grow(spark):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 301, b"abc": 300, b"xab": 302, b"bcab": 290, b"bc": 310}
+    assert {len(vocab.merge_by_rank(p, ranks, r)) for p, r in ranks.items() if len(p) > 1} != {2}
+    library = tiktoken.Encoding("odd", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    words = ["abcx", "abc", "abab", "bcabc"] + ["".join(rng.choice("abcx") for _ in range(rng.randrange(2, 30))) for _ in range(300)]
+    literals = byte_bpe.RankLiterals(ranks)
+    df = spark.createDataFrame([(w, list(w.encode())) for w in words], "w string, raw array<int>").select("w", byte_bpe.fold_merges(F.col("raw"), literals).alias("ids"))
+    found = {r["w"]: r["ids"] for r in df.collect()}
+    assert found["abcx"] == [300, 120] and all(found[w] == library.encode(w) for w in words)
+
+
 def test_fast_splitter_is_the_pattern():
     import regex
 

@@ -35,16 +35,25 @@ FOLD_BYTES = 512
 def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """What two neighbouring pieces join to: the pairs of their ids as keys, sorted, and the ranks.
 
-    Merges inside a span that none crosses go as they would in the span alone. So a piece is only ever
-    joined from the two parts that lower ranks leave of it, and one pair a piece is enough. A piece
-    of which they leave more cannot come about.
+    Merges inside a span that none crosses go as they would in the span alone. So where lower ranks
+    leave exactly two parts of each piece, as in vocabularies whose ranks grow as they were
+    merged, a piece is only ever joined from these, and one pair a piece is enough. In any other
+    vocabulary all ways to cut a piece in two pieces are pairs.
     """
+    long = [(piece, rank) for piece, rank in ranks.items() if len(piece) > 1]
+    parts = [merge_by_rank(piece, ranks, rank) for piece, rank in long]
     keys, found = array("q"), array("i")
-    for piece, rank in ranks.items():
-        parts = merge_by_rank(piece, ranks, rank) if len(piece) > 1 else ()
-        if len(parts) == 2:
-            keys.append(parts[0] << ID_BITS | parts[1])
+    if all(len(p) == 2 for p in parts):
+        for (_, rank), (a, b) in zip(long, parts, strict=True):
+            keys.append(a << ID_BITS | b)
             found.append(rank)
+    else:
+        for piece, rank in long:
+            for cut in range(1, len(piece)):
+                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if a is not None and b is not None:
+                    keys.append(a << ID_BITS | b)
+                    found.append(rank)
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     return np.array(keys, np.int64)[order], np.array(found, np.int32)[order]
 

@@ -5,8 +5,12 @@ unit directions, and a filter is one direction of each block. A vector is decode
 list of all filters whose inner product with it exceeds the cap's height; this is exact,
 by sorting the sums of two blocks and searching the other two. Vectors that share a filter
 meet, and their cosine is computed in double precision. The code grows with the largest
-label, so that a filter is expected to hold a few vectors whatever the size; a filter that
-holds many is joined in pairs of blocks.
+label, so that a filter is expected to hold a few vectors whatever the size.
+
+Filters that begin with the same blocks are one cell, which a vector goes to once: as few
+blocks as keep a cell at about ``CELL`` vectors, so that vectors are copied little. A cell
+that holds many is joined in pairs of parts. A pair is counted in the first cell that both
+vectors are in, and a cell returns counts and a spanning forest of its links, not the links.
 """
 
 from __future__ import annotations
@@ -19,10 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import materialise, table, width
+from trawl.llm.shared import materialise, release, table, width
+from trawl.llm.trie_join import Forest
 
-#: Filters a random vector is decoded to, on average and at least; vectors a filter is expected to hold; most rows of one side of a cell.
-FILTERS, LEAST_FILTERS, HELD, BLOCK = 24, 6, 8, 1024
+#: Filters a random vector is decoded to, on average and at least; vectors a filter and a cell are expected to hold; most rows of one part of a cell; rows compared at once.
+FILTERS, LEAST_FILTERS, HELD, CELL, BLOCK, ROWS = 24, 6, 8, 2048, 4096, 256
+#: Cells that a random vector is in, by the number of blocks that make a cell (measured, at most).
+CELLS = {1: 4, 2: 8, 3: 18, 4: FILTERS}
 
 
 class ProductCode:
@@ -73,14 +80,20 @@ def code_size(largest: int) -> int:
     return max(2, int(np.ceil((max(1, largest) * FILTERS / HELD) ** 0.25)))
 
 
+def cell_blocks(largest: int, size: int) -> int:
+    """How many of a filter's blocks make a cell."""
+    return next((k for k in CELLS if largest * CELLS[k] <= CELL * size**k), 4)
+
+
 def _usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _decoded(nodes: DataFrame, size: int, seed: int) -> DataFrame:
-    """Rows (label, dim, filter, node, n, vector as packed doubles) of each node's filters."""
-    label = nodes.schema["label"].dataType
+def _decoded(nodes: DataFrame, size: int, blocks: int, seed: int) -> DataFrame:
+    """Rows (label, dim, cell, cells, node, n, vector packed) of each node's cells; ``cells`` are all of a node's, packed."""
+    label, single = nodes.schema["label"].dataType, nodes.schema["vector"].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, ProductCode] = {}
@@ -93,57 +106,102 @@ def _decoded(nodes: DataFrame, size: int, seed: int) -> DataFrame:
                     if len(v) not in codes:
                         codes[len(v)] = ProductCode(len(v), size, seed)
                     scaled = v / np.abs(v).max()  # squares neither overflow nor vanish
-                    found.append(codes[len(v)].decode(scaled / np.linalg.norm(scaled)))
-                times = [len(f) for f in found]
-                pick = pa.array(np.repeat(np.arange(len(vectors)), times))
+                    filters = codes[len(v)].decode(scaled / np.linalg.norm(scaled))
+                    found.append(np.unique(filters // size ** (4 - blocks)).astype(np.int64))
+                pick = pa.array(np.repeat(np.arange(len(vectors)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("label").take(pick),
                         pa.array([len(v) for v in vectors], pa.int32()).take(pick),
                         pa.array(np.concatenate(found), pa.int64()),
+                        pa.array([f.tobytes() for f in found], pa.binary()).take(pick),
                         part.column("node").take(pick),
                         part.column("n").take(pick),
-                        pa.array([v.tobytes() for v in vectors], pa.binary()).take(pick),
+                        pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()).take(pick),
                     ],
-                    names=["label", "dim", "filter", "node", "n", "vector"],
+                    names=["label", "dim", "cell", "cells", "node", "n", "vector"],
                 )
+        release()
+
+    return nodes.select("label", "node", "n", "vector").mapInArrow(run, f"label {label.simpleString()}, dim int, cell long, cells binary, node long, n long, vector binary")
 
-    return nodes.select("label", "node", "n", "vector").mapInArrow(run, f"label {label.simpleString()}, dim int, filter long, node long, n long, vector binary")
+
+def _padded(lists: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+    for row, x in zip(out, lists, strict=True):
+        row[: len(x)] = x
+    return out
 
 
 def _verified(cosine: float):
-    """The step from rows sorted by cell to the pairs of nodes of cosine ``cosine`` or more."""
+    """The step from rows sorted by cell to rows (a, m, b): how many rows a cell's links lead to from node a, or a link of its forest from a to b."""
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        side, node, n, raw, alone = zip(*rows, strict=True)
-        x = np.frombuffer(b"".join(raw), np.float64).reshape(len(rows), -1)
+    def links(cell: int, alone: bool, rows: list[tuple]) -> pa.RecordBatch | None:
+        side, node, n, raw, cells = zip(*rows, strict=True)
+        dim = len(raw[0])
+        x = np.frombuffer(b"".join(raw), np.float32 if dims[0] * 4 == dim else np.float64).reshape(len(rows), -1).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         side, node, n = np.array(side), np.array(node), np.array(n)
         a = np.flatnonzero(~side)
-        b = a if alone[0] else np.flatnonzero(side)
-        norms = np.sqrt((x * x).sum(axis=1))
-        near = x[a] @ x[b].T / (norms[a][:, None] * norms[b][None, :]) >= cosine
-        u, v = np.nonzero(near)
-        u, v = a[u], b[v]
-        if alone[0]:
-            u, v = u[u < v], v[u < v]
-        if not len(u):
+        b = a if alone else np.flatnonzero(side)
+        if not len(a) or not len(b):
+            return None
+        norms, earlier = np.sqrt((x * x).sum(axis=1)), _padded([f[f < cell] for f in (np.frombuffer(c, np.int64) for c in cells)])
+        order = np.argsort(node)
+        rank = np.empty(len(node), np.int64)
+        rank[order] = np.arange(len(node))
+        forest, m = Forest(len(node)), np.zeros(len(node), np.int64)
+        for start in range(0, len(a), ROWS):
+            own = a[start : start + ROWS]
+            near = x[own] @ x[b].T / (norms[own][:, None] * norms[b][None, :]) >= cosine
+            u, v = np.nonzero(near)
+            u, v = own[u], b[v]
+            if alone:
+                u, v = u[u < v], v[u < v]
+            for k in range(0, len(u), 1 << 16):
+                p, q = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
+                met = np.zeros(len(p), bool)  # in an earlier cell
+                for c in range(earlier.shape[1]):
+                    mine = earlier[p, c]
+                    met |= (mine >= 0) & (earlier[q] == mine[:, None]).any(axis=1)
+                p, q = p[~met], q[~met]
+                np.add.at(m, p, n[q])
+                np.add.at(m, q, n[p])
+                forest.add(rank[p], rank[q])
+        i, j = forest.pairs()
+        some = np.flatnonzero(m)
+        if not len(some):
             return None
-        low = node[u] < node[v]
-        return pa.RecordBatch.from_arrays([pa.array(np.where(low, p, q)) for p, q in ((node[u], node[v]), (node[v], node[u]), (n[u], n[v]), (n[v], n[u]))], names=["a", "b", "n_a", "n_b"])
+        nulls = lambda k: pa.nulls(k, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([node[some], node[order][i]])),
+                pa.concat_arrays([pa.array(m[some]), nulls(len(i))]),
+                pa.concat_arrays([nulls(len(some)), pa.array(node[order][j])]),
+            ],
+            names=["a", "m", "b"],
+        )
+
+    dims: list[int] = [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                dims[0] = key[1]
+                if found := links(key[2], key[3] == key[4], rows):
+                    yield found
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("label", "dim", "filter", "i", "j", "side", "node", "n", "vector")]
-            for label, dim, f, i, j, side, node, n, vector in zip(*columns, strict=True):
-                if (label, dim, f, i, j) != key:
-                    if len(rows) > 1 and (out := pairs(rows)):
-                        yield out
-                    key, rows = (label, dim, f, i, j), []
-                rows.append((side, node, n, vector, i == j))
-        if len(rows) > 1 and (out := pairs(rows)):
-            yield out
+            columns = [batch.column(c).to_pylist() for c in ("label", "dim", "cell", "i", "j", "side", "node", "n", "vector", "cells")]
+            for *mine, side, node, n, vector, cells in zip(*columns, strict=True):
+                if mine != key:
+                    yield from out()
+                    key, rows = mine, []
+                rows.append((side, node, n, vector, cells))
+        yield from out()
+        release()
 
     return run
 
@@ -162,19 +220,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     nodes = good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     largest = nodes.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0] or 0
-    found = _decoded(nodes, code_size(largest), seed)
-    cell = ["label", "dim", "filter"]
-    hot = materialise(found.groupBy(*cell).count().where(F.col("count") > BLOCK).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"), "hot")
-    blocks = F.coalesce(F.col("blocks"), F.lit(1))
-    dealt = found.join(hot, cell, "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(*cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "node", "n", "vector")
+    size = code_size(largest)
+    found = _decoded(nodes, size, cell_blocks(largest, size), seed)
+    cell = ["label", "dim", "cell"]
+    hot = materialise(found.groupBy(*cell).count().where(F.col("count") > BLOCK).withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count"), "hot")
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    dealt = found.join(hot, cell, "left").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select(*cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "node", "n", "vector", "cells")
     cell = [*cell, "i", "j"]
-    pairs = dealt.repartition(width(spark), *cell).sortWithinPartitions(*cell).mapInArrow(_verified(cosine), "a long, b long, n_a long, n_b long")
-    links = materialise(pairs.distinct(), "pairs")
-    roots = components(links.select("a", "b"))
-    both = links.select(F.col("a").alias("node"), F.col("n_b").alias("m")).unionByName(links.select(F.col("b").alias("node"), F.col("n_a").alias("m")))
-    counts = both.groupBy("node").agg(F.sum("m").alias("m"))
+    met = materialise(dealt.repartition(width(spark), *cell).sortWithinPartitions(*cell).mapInArrow(_verified(cosine), "a long, m long, b long"), "links")
+    roots = components(met.where("b IS NOT NULL").select("a", "b"))
+    counts = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("m"))
     known = nodes.join(counts, "node", "left").join(roots, "node", "left")
     known = materialise(known.select("label", "vector", "least", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "known")
     least = materialise(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
