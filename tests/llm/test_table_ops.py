@@ -101,7 +101,7 @@ def test_recall_as_the_code_grows(size, blocks):
     near = np.flatnonzero((x * y).sum(1) >= 0.98)
     cells = lambda v: set((code.decode(v) // size ** (4 - blocks)).tolist())
     assert len(near) > 80 and np.mean([bool(cells(x[i]) & cells(y[i])) for i in near]) >= 0.97
-    assert np.mean([len(cells(v)) for v in x]) <= 1.3 * cap_filters.CELLS[blocks]
+    assert np.mean([len(cells(v)) for v in x]) <= 2 * cap_filters.CELLS[blocks]
 
 
 # ---- mixing

@@ -53,8 +53,8 @@ ORDERED = "array<struct<start:int,kind:int,stop:int,value:string>>"
 RUN = 256
 
 
-def _located(text: Column, pattern: Column, kind: int) -> Column:
-    """All matches of ``pattern`` as structs (kind, start, stop, value), offsets in code points."""
+def _located(text: Column, pattern: Column, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """All matches of ``pattern`` (whose values are ``wanted``) as structs (kind, start, stop, value), offsets in code points."""
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     none = F.array().cast(SPANS)
 
@@ -65,7 +65,8 @@ def _located(text: Column, pattern: Column, kind: int) -> Column:
         def add(acc: Column, x: Column) -> Column:
             begin = acc["at"] + F.char_length(x["gap"])
             stop = begin + F.char_length(x["value"])
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(_span(F.lit(kind), begin, stop, x["value"]))).alias("out"))
+            more = F.concat(acc["out"], F.array(_span(F.lit(kind), begin, stop, x["value"])))
+            return F.struct(stop.alias("at"), (F.when(wanted(x["value"]), more).otherwise(acc["out"]) if wanted else more).alias("out"))
 
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)
 
@@ -164,15 +165,15 @@ def _keys(words: Column) -> Column:
 
 
 def _placed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, n_entity, copy), and (copy, n, words) once a text, of rows (copy, words, entities).
+    """(entity, n_entity, alone, copy), and (copy, n, words) once a text, of rows (copy, words, entities). ``alone``: the entity is in one text only.
 
     Entities of one and the same text have equal statistics: they are one, so that a text full of them is not multiplied by its terms.
     """
     by_copy = held.select(F.explode("entities").alias("entity"), "copy").groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("n"))
     by_entity = by_copy.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("copies"), F.min("copy").alias("copy"))
-    known = by_entity.select(F.col("entity").alias("value"), F.when(F.col("copies") == 1, F.concat(F.lit("in:"), F.hex("copy"))).otherwise(F.col("entity")).alias("entity"), "n_entity")
+    known = by_entity.select(F.col("entity").alias("value"), F.when(F.col("copies") == 1, F.concat(F.lit("in:"), F.hex("copy"))).otherwise(F.col("entity")).alias("entity"), "n_entity", (F.col("copies") == 1).alias("alone"))
     known = materialise(known, "entities")
-    placed = by_copy.select(F.col("entity").alias("value"), "copy").join(known, "value").select("entity", "n_entity", "copy").distinct()
+    placed = by_copy.select(F.col("entity").alias("value"), "copy").join(known, "value").select("entity", "n_entity", "alone", "copy").distinct()
     once = held.groupBy("copy").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     return materialise(placed, "placed"), once
 
@@ -187,8 +188,9 @@ def _counts(found: DataFrame, pairs: DataFrame) -> DataFrame:
 def _disclosures(placed: DataFrame, once: DataFrame, found: DataFrame, rows: int, support: int, generalise: float, remove: float) -> DataFrame:
     """The pairs that disclose: (entity, term, key, share, value), the value being what replaces the term."""
     terms = once.select("copy", "n", F.explode("words").alias("term")).withColumn("key", _term_key(F.col("term")))
-    pairs = placed.join(terms, "copy").groupBy("entity", "n_entity", "term", "key").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("copies"))
-    pairs = materialise(pairs, "pairs")
+    beside = placed.where("NOT alone").join(terms, "copy").groupBy("entity", "n_entity", "term", "key").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("copies"))
+    single = placed.where("alone").join(once, "copy").select("entity", "n_entity", F.explode("words").alias("term"), F.col("n").alias("n_both"), F.lit(1).cast("long").alias("copies"))
+    pairs = materialise(beside.unionByName(single.withColumn("key", _term_key(F.col("term")))), "pairs")
     counts = _counts(found, pairs)
     n = F.lit(float(max(1, rows)))
     information = F.log2(n / F.col("n_entity"))
@@ -207,13 +209,11 @@ def _disclosures(placed: DataFrame, once: DataFrame, found: DataFrame, rows: int
 
 def _term_spans(text: Column, marked: Column) -> Column:
     """Spans of the terms that are keys of the map ``marked``; their value is what replaces them."""
-    words = F.filter(_words(text), lambda t: F.map_contains_key(marked, t))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
     def instead(s: Column) -> Column:
         return _span(s["kind"], s["start"], s["stop"], F.coalesce(F.element_at(marked, F.lower(s["value"])), F.lit("<TERM>")))
 
-    return F.when(F.size(words) > 0, F.transform(_located(text, pattern, 4), instead)).otherwise(F.array().cast(SPANS))
+    return F.transform(_located(text, F.lit(TERM), 4, lambda v: F.map_contains_key(marked, F.lower(v))), instead)
 
 
 def personal_spans(docs: DataFrame, keep: list[str], text_col: str = "text", support: int = 3, generalise: float = 0.9, remove: float = 0.98, everywhere: bool = False) -> DataFrame:
@@ -232,33 +232,36 @@ def personal_spans(docs: DataFrame, keep: list[str], text_col: str = "text", sup
     spans = spans.select("row", "text", "base", "words", secrets.alias("secrets"))
     some = (F.size("base") > 0) | (F.size("secrets") > 0)
     entities = F.array_distinct(F.concat(F.transform("base", _key), F.transform("secrets", lambda w: F.concat(F.lit("4:"), w))))
-    held_text = [] if text_col in keep else ["text"]
-    found = spans.select(F.monotonically_increasing_id().alias("uid"), "row", *held_text, "base", "secrets", F.when(some, F.unhex(F.md5("text"))).alias("copy"), F.when(some, F.col("words")).alias("words"), F.when(some, entities).alias("entities"), _keys(F.col("words")).alias("keys"))
+    found = spans.select("row", "base", "secrets", F.unhex(F.md5("text")).alias("copy"), some.alias("some"), F.when(some, F.col("words")).alias("words"), F.when(some, entities).alias("entities"), _keys(F.col("words")).alias("keys"))
     found = materialise(found, "spans")
-    held = found.where("copy IS NOT NULL")
+    held = found.where("some")
     placed, once = _placed(held.select("copy", "words", "entities"))
     disclosed = _disclosures(placed, once, found, found.count(), support, generalise, remove)
-    hidden = held.select("uid", F.explode("secrets").alias("term")).select("uid", "term", F.lit("").alias("value"))
+    best = F.max(F.struct("share", "value")).alias("best")
     if everywhere:
-        best = F.max(F.struct("share", F.col("value"))).alias("best")
         secret = held.select(F.explode("secrets").alias("term")).distinct().select("term", _term_key(F.col("term")).alias("key"), F.lit(2.0).alias("share"), F.lit("").alias("value"))
         highest = disclosed.select("term", "key", "share", "value").unionByName(secret).groupBy("term", "key").agg(best).select("term", "key", F.col("best.value").alias("value"))
         highest = materialise(highest, "highest")
-        each = found.select("uid", F.explode("keys").alias("key"))
-        marks = possible(each, [F.col("key")], highest, ["key"], "members_maybe").where("members_maybe AND key >= 0").join(highest, "key").select("uid", "term", "value")
+        each = found.select("copy", F.explode("keys").alias("key"))
+        marks = possible(each, [F.col("key")], highest, ["key"], "members_maybe").where("members_maybe AND key >= 0").join(highest, "key").select("copy", "term", "value")
     else:
-        best = F.max(F.struct("share", F.col("value"))).alias("best")
-        marks = disclosed.join(placed.select("entity", "copy"), "entity").join(held.select("uid", "copy"), "copy").groupBy("uid", "term").agg(best).select("uid", "term", F.col("best.value").alias("value"))
-        marks = marks.join(hidden.select("uid", "term"), ["uid", "term"], "left_anti").unionByName(hidden)
-    marks = marks.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("marked"))
-    marks = materialise(marks.withColumnRenamed("uid", "mark_uid"), "marks")
+        beside = disclosed.join(placed.select("entity", "copy"), "entity").select("copy", "term", "share", "value")
+        hidden = held.select("copy", F.explode("secrets").alias("term")).select("copy", "term", F.lit(2.0).alias("share"), F.lit("").alias("value"))
+        marks = beside.unionByName(hidden).groupBy("copy", "term").agg(best).select("copy", "term", F.col("best.value").alias("value"))
+    marks = marks.groupBy("copy").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("marked"))
+    marks = materialise(marks.withColumnRenamed("copy", "mark_copy"), "marks")
     none = F.array().cast(SPANS)
-    flagged = possible(found.drop("keys", "words", "entities", "copy", "secrets"), [F.col("uid")], marks, ["mark_uid"], "members_maybe")
-    near = flagged.where("members_maybe").join(marks, F.col("uid") == F.col("mark_uid"), "left")
-    whole = F.coalesce(F.col("row").getField(text_col), F.lit("")) if text_col in keep else F.col("text")
+    rows = possible(found.select("row", "base", "copy"), [F.col("copy")], marks, ["mark_copy"], "members_maybe")
+    clean = rows.where("NOT members_maybe").select("row", "base", none.alias("terms"))
+    if text_col in keep:
+        near = rows.where("members_maybe").withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    else:  # few texts: read again
+        again = docs.select(own.alias("row"), text.alias("text")).withColumn("copy", F.unhex(F.md5("text")))
+        near = possible(again, [F.col("copy")], marks, ["mark_copy"], "members_maybe").where("members_maybe").withColumn("base", base_spans(F.col("text")))
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-    near = near.select("row", "base", F.when(F.col("marked").isNotNull(), F.filter(_term_spans(whole, F.col("marked")), apart)).otherwise(none).alias("terms"))
-    return near.unionByName(flagged.where("NOT members_maybe").select("row", "base", none.alias("terms")))
+    met = near.join(marks, F.col("copy") == F.col("mark_copy"), "left")
+    spans_ = F.when(F.col("marked").isNotNull(), F.filter(_term_spans(F.col("text"), F.col("marked")), apart)).otherwise(none)
+    return clean.unionByName(met.select("row", "base", spans_.alias("terms")))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
