@@ -1,6 +1,6 @@
 """A filter of bounded size for which rows a table of keys can concern at all.
 
-Keys are hashed to ``SLOTS`` slots; the slots that are taken are bitmaps of 4 KB, 8 MB in all
+Keys are hashed to ``SLOTS`` slots; the slots that are taken are bitmaps of 4 KB, 4 MB in all
 whatever the data, which is what is broadcast. Rows whose slot is free are not concerned and
 need no shuffle. The others must be joined with the table itself, which decides: when the
 slots fill up, more rows take that way and results stay the same.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trawl.llm.shared import materialise
 
 #: Slots of all bitmaps; bits of one (Spark's own width).
-SLOTS, BITMAP = 1 << 26, 32_768
+SLOTS, BITMAP = 1 << 25, 32_768
 
 
 def _slot(columns: list) -> F.Column:

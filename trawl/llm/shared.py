@@ -57,6 +57,16 @@ def release_tables(spark: SparkSession) -> None:
     forget(spark, _folder(spark))
 
 
+#: Rows of an Arrow batch: texts may be long, and batches of both sides of each Python worker are held outside the heap.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, unless the session says how large they are to be."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which also cuts its lineage.
 
@@ -64,6 +74,7 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) ->
     shuffle partitions, so that rounds over them do not leave thousands of tiny files.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, tag)
     if share > 1:
         df = df.coalesce(max(1, width(spark) // share))
@@ -72,6 +83,7 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
