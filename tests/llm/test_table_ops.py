@@ -331,8 +331,11 @@ def test_lexicon_and_threshold():
     rng = np.random.default_rng(4)
     bad = rng.random(400) < 0.25
     rows = [np.unique(np.append(rng.integers(100, 3000, 80), [7, 9] if b else [8]).astype(np.uint32)) for b in bad]
-    assert set(weak_labels.mine_lexicon(rows, bad).tolist()) == {7, 9}
-    assert not len(weak_labels.mine_lexicon(rows, np.zeros(400, bool))) and not len(weak_labels.mine_lexicon([], bad[:0]))
+    apart = list(range(400))
+    assert set(weak_labels.mine_lexicon(rows, bad, apart).tolist()) == {7, 9}
+    assert not len(weak_labels.mine_lexicon(rows, bad, [0] * 400))  # copies of one text
+    assert not len(weak_labels.mine_lexicon(rows, np.zeros(400, bool), apart)) and not len(weak_labels.mine_lexicon([], bad[:0], []))
+    assert weak_labels.signature("One two three four") == weak_labels.signature("one TWO three four") != weak_labels.signature(None)
     scores, truth = np.array([0.9, 0.8, 0.8, 0.7, 0.6, 0.2]), np.array([True, True, True, False, True, False])
     assert weak_labels.threshold(scores, truth) == 0.8
     assert weak_labels.threshold(scores, ~truth) == weak_labels.threshold(scores[:0], truth[:0]) == weak_labels.NEVER  # nothing is rejected
@@ -343,8 +346,8 @@ def test_query_equals_its_parts_in_plain_python(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     labels = {r["doc_id"]: int(not (r["quality"] == 1 and r["toxic"] == 0)) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     half = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in labels], "i long").select("i", (F.pmod(F.xxhash64("i", F.lit(9)), F.lit(1 << 30)) % 2).alias("h")).collect()}
-    first = [(weak_labels._read(r["text"])[0], labels[r["doc_id"]]) for r in rows if half.get(r["doc_id"]) == 0]
-    lexicon = frozenset(weak_labels.mine_lexicon([t for t, _ in first], np.array([b for _, b in first]) == 1).tolist())
+    first = [(weak_labels._read(r["text"])[0], labels[r["doc_id"]], weak_labels.signature(r["text"])) for r in rows if half.get(r["doc_id"]) == 0]
+    lexicon = frozenset(weak_labels.mine_lexicon([t for t, *_ in first], np.array([b for _, b, _ in first]) == 1, [k for *_, k in first]).tolist())
     read = {r["doc_id"]: weak_labels._read(r["text"], lexicon) for r in rows}
     counts = collections.Counter(weak_labels.code(p) for _, p in read.values())
     _, _, posterior = weak_labels.estimate(counts, len(weak_labels.LABELLERS))
