@@ -150,6 +150,18 @@ def test_nearest_batch_equals_nearest(spark):
         assert [found[k, i + 1] for i in range(7)] == [r["vec_id"] for r in vectors.nearest(df, q, 7).collect()]
 
 
+def test_nearest_batch_of_many_blocks_ties_and_awkward_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    x = np.random.default_rng(3).integers(-1, 2, size=(200, 3)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0, 0.0, 0.0]), (902, [1.0, None, 0.0]), (None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = {i: v / np.linalg.norm(v) for i, v in enumerate(x) if v.any()}
+    expected = {(q, k + 1, i) for q in unit if q % 4 == 0 for k, (_, i) in enumerate(sorted((round(1 - float(unit[q] @ v), 9) + 0.0, i) for i, v in unit.items())[:6])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in vectors.nearest_batch(df, asked, 6).collect()} == expected
+    assert vectors.nearest_batch(df, asked.limit(0), 6).count() == vectors.nearest_batch(df.limit(0), asked, 6).count() == 0
+
+
 def test_stale_and_rollback_keep_order_and_repeats(spark):
     df = spark.createDataFrame([(["b", "a", "b", "c"], ["c", "d"])], "old array<string>, new array<string>")
     r = df.select(changes.stale_ids(F.col("old"), F.col("new")).alias("s"), changes.rollback_ids(F.col("old"), F.col("new")).alias("r")).first()

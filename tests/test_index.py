@@ -1,7 +1,8 @@
+import json
 import os
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
-import json
 
 import pytest
 from pyspark.sql import types as T
@@ -90,6 +91,26 @@ def test_store(spark, tmp_path):
     assert store.read().count() == 0
 
 
+def test_a_dead_writers_lock_is_taken_over(spark, tmp_path):
+    store, lock = Store(spark, str(tmp_path / "t"), SCHEMA, "k"), tmp_path / "t/LOCK"
+    assert store.files.claim("LOCK")
+    with pytest.raises(RuntimeError), store.lock():
+        pass
+    assert lock.exists()
+    os.utime(lock, (1, 1))
+    with store.lock(), pytest.raises(RuntimeError), store.lock():
+        pass
+    assert not lock.exists() and not list(tmp_path.glob("t/LOCK*"))
+
+
+def test_a_held_lock_stays_fresh(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"), SCHEMA, "k")
+    with store.lock(stale=2.0):
+        time.sleep(3)
+        with pytest.raises(RuntimeError), store.lock(stale=2.0):
+            pass
+
+
 def test_compaction(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"), SCHEMA, "k")
     store.replace(spark.range(1024).selectExpr("id AS k", "'x' AS v").repartition(64))
@@ -184,6 +205,17 @@ def test_poller(spark):
     assert p.poll().count() == 0
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_paths_below_an_awkward_root(spark, tmp_path, scheme):
+    root = tmp_path / "a+b (c)"
+    (root / "x").mkdir(parents=True)
+    (root / "x/k.py").write_text("1")
+    assert [r["relative_path"] for r in read_files(spark, scheme + str(root)).collect()] == ["x/k.py"]
+    q = file_events(spark, scheme + str(root)).writeStream.format("memory").queryName("awkward").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [r["relative_path"] for r in spark.table("awkward").collect()] == ["x/k.py"]
+
+
 def test_watch_stream_coalesces_and_survives_errors(spark, workspace, tmp_path):
     calls = []
     events = watched(file_events(spark, str(workspace)), ["py", "md"], ["docs"])

@@ -155,7 +155,7 @@ def regions(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-LANGUAGES = {".go": "go", ".py": "python", ".js": "javascript", ".mjs": "javascript", ".jsx": "tsx", ".ts": "typescript", ".tsx": "tsx", ".bsl": "bsl", ".os": "bsl"}
+LANGUAGES = {".go": "go", ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "tsx", ".ts": "typescript", ".tsx": "tsx", ".bsl": "bsl", ".os": "bsl"}
 
 
 def tree(text: str, language: str) -> list[Node]:

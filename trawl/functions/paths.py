@@ -12,6 +12,12 @@ def slashes(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
+def relative_to(path: Column, root: str) -> Column:
+    """A listed file's path below ``root``, a plain path or a URI; listings give local files as ``file:/``."""
+    base = re.sub(r"^file:/+", "/", root.rstrip("/")) + "/"
+    return F.element_at(F.split(path, F.lit("\\Q" + base + "\\E"), 2), -1)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(slashes(path), "/"), -1)
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Vectors in a packed block: with 64 dimensions a pair of blocks is 256 KB, and Spark ends Arrow batches at 64 MB.
+BLOCK = 256
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -46,35 +49,54 @@ def nearest(df: DataFrame, query: list[float], k: int, vector_col: str = "embedd
     return rows.withColumn("score", score).orderBy("score", id_col).limit(k)
 
 
-def nearest_batch(df: DataFrame, queries: list[tuple[int, list[float]]], k: int, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(query_id, id, score, rank) of the ``k`` nearest rows of each query; ``queries`` is a bounded list.
+def _blocks(df: DataFrame, vector_col: str, id_col: str, prefix: str) -> DataFrame:
+    """Rows of up to ``BLOCK`` ids and unit-length vectors each, as packed numbers; vectors without a direction are left out."""
+    schema = T.StructType([T.StructField(prefix + "ids", T.BinaryType()), T.StructField(prefix + "vectors", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.float64)
+            length = np.linalg.norm(x, axis=1)
+            sound = np.isfinite(length) & (length > 0)
+            ids, x = ids[sound], x[sound] / length[sound, None]
+            starts = range(0, len(ids), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k : k + BLOCK].tobytes() for k in starts], pa.binary()), pa.array([x[k : k + BLOCK].tobytes() for k in starts], pa.binary())], names=schema.names)
+
+    return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col).mapInArrow(pack, schema)
+
 
-    Every partition keeps its own k best of each query, batch by batch with a matrix
-    product, so the shuffle holds partitions x queries x k rows.
+def nearest_batch(df: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(query_id, id, score, rank) of the ``k`` nearest rows of each query, distances to nine digits, ties by id.
+
+    ``queries`` holds query_id and the vector column. Both sides are packed into blocks, every
+    block of queries meets every block of rows in one matrix product, and a task keeps its own k
+    best of each query it sees. Spark broadcasts the blocks of queries while they are small and
+    deals pairs of partitions otherwise, so no side must fit anywhere as a whole. Vectors that
+    are null, zero or not finite take no part; no queries or no rows give an empty result.
     """
-    ids = [q for q, _ in queries]
-    wanted = np.array([v for _, v in queries], np.float64)
-    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    if not isinstance(queries, DataFrame):
+        queries = df.sparkSession.createDataFrame(queries, f"query_id long, {vector_col} array<double>")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[float, int]]] = [[] for _ in ids]
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(names):
-                continue
-            far = 1 - (x @ wanted.T) / np.linalg.norm(x, axis=1)[:, None]
-            for q in range(len(ids)):
-                at = np.argpartition(far[:, q], min(k, len(names)) - 1)[:k] if len(names) > k else np.arange(len(names))
-                edge = far[at, q].max()
-                at = np.flatnonzero(far[:, q] <= edge)
-                held[q] = sorted(held[q] + [(float(far[i, q]), names[i]) for i in at])[:k]
-        rows = [(q, name, score) for q, own in zip(ids, held, strict=True) for score, name in own]
-        yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], id_col: [r[1] for r in rows], "score": [r[2] for r in rows]}, schema=pa.schema([("query_id", pa.int64()), (id_col, pa.int64()), ("score", pa.float64())]))
+            for names, vectors, asked, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                ids, n = np.frombuffer(names, np.int64), len(asked) // 8
+                far = 1 - np.frombuffer(wanted, np.float64).reshape(n, -1) @ np.frombuffer(vectors, np.float64).reshape(len(ids), -1).T
+                own = np.broadcast_to(ids, far.shape)
+                if asked in held:
+                    far, own = np.hstack([held[asked][0], far]), np.hstack([held[asked][1], own])
+                at = np.lexsort((own, np.round(far, 9) + 0.0), axis=-1)[:, :k]
+                held[asked] = np.take_along_axis(far, at, 1), np.take_along_axis(own, at, 1)
+        for asked, (far, own) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(asked, np.int64), far.shape[1])), pa.array(own.ravel()), pa.array(far.ravel())], names=["query_id", id_col, "score"])
 
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("score", T.DoubleType())])
-    found = df.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(best, schema)
-    order = Window.partitionBy("query_id").orderBy("score", id_col)
+    pairs = _blocks(df, vector_col, id_col, "").crossJoin(_blocks(queries, vector_col, "query_id", "query_"))
+    found = pairs.mapInArrow(best, schema)
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9), id_col)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -17,7 +17,7 @@ from trawl.functions import vectors
 from trawl.functions.paths import matches_glob
 from trawl.functions.text import embed_text
 from trawl.index.embed import Embedder, with_embeddings
-from trawl.index.snapshot import Store, read_json, write_json
+from trawl.index.snapshot import STALE, Store, read_json, write_json
 from trawl.operators import changes, rerank, stats
 from trawl.operators.windows import acceptable
 
@@ -148,7 +148,7 @@ class Engine:
 
     def ready(self) -> tuple[bool, str]:
         """Whether a search can be answered, else what is missing."""
-        if self.files.exists("LOCK"):
+        if self.files.exists("LOCK") and self.files.age("LOCK") <= STALE:
             return False, "indexing"
         meta = read_json(self.files, "META.json")
         if not meta:

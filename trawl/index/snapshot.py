@@ -6,11 +6,17 @@ All files go through the session's file systems, so a store can lie anywhere Spa
 from __future__ import annotations
 
 import json
+import threading
+import time
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Seconds after which a lock that its holder does not write any more counts as left behind.
+STALE = 600.0
+
 
 class Files:
     """Small files and renames on the file system of a folder."""
@@ -52,6 +58,13 @@ class Files:
         except Exception:  # another process was faster
             return False
 
+    def age(self, path: str) -> float:
+        """Seconds since a file was written."""
+        return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
+
+    def rename(self, path: str, to: str) -> bool:
+        return self.exists(path) and self.fs.rename(self._path(path), self._path(to))
+
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
@@ -78,14 +91,39 @@ class Store:
         return self.spark.read.schema(self.schema).parquet(f"{self.files.root}/v={v}")
 
     @contextmanager
-    def lock(self):  # noqa: ANN201
-        """One writer at a time."""
-        if not self.files.claim("LOCK"):
+    def lock(self, stale: float = STALE):  # noqa: ANN201
+        """One writer at a time. The holder writes its name again and again; a lock that was not written for ``stale`` seconds is taken over."""
+        me = uuid.uuid4().hex
+        if not self.files.claim("LOCK") and not self._take_over(stale, me):
             raise RuntimeError("another writer holds the index")
+        self.files.write("LOCK", me)
+        done = threading.Event()
+
+        def hold() -> None:
+            while not done.wait(stale / 10):
+                self.files.write("LOCK", me)
+
+        holder = threading.Thread(target=hold, daemon=True)
+        holder.start()
         try:
             yield
         finally:
-            self.files.delete("LOCK")
+            done.set()
+            holder.join()
+            if self.files.read("LOCK") == me:
+                self.files.delete("LOCK")
+
+    def _take_over(self, stale: float, me: str) -> bool:
+        """Moves a dead writer's lock away, which only one can do, and claims a new one."""
+        seen = self.files.read("LOCK")
+        if seen is not None and self.files.age("LOCK") <= stale:
+            return False
+        if seen is not None and self.files.rename("LOCK", f"LOCK.{me}"):
+            if self.files.read(f"LOCK.{me}") != seen:  # somebody took it over in between
+                self.files.rename(f"LOCK.{me}", "LOCK")
+                return False
+            self.files.delete(f"LOCK.{me}")
+        return self.files.claim("LOCK")
 
     def stage(self, df: DataFrame) -> int:
         """Writes a version without making it count."""

@@ -50,11 +50,11 @@ def knn_filtered(spark, sf_dir):
     return found.select("vec_id", "path", F.round("score", 6).alias("score"))
 
 
-@query("j9_knn_batch", f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {DIST.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 10)) WHERE rank <= 5")
+@query("j9_knn_batch", f"SELECT query_id, vec_id, rank, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {DIST.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 5")
 def knn_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    queries = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id < 10").collect()]  # ten rows
-    return vectors.nearest_batch(e, queries, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest_batch(e, queries, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 @query("centroid_by_label", "SELECT label, pos, round(avg(x), 6) AS value FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
@@ -63,15 +63,14 @@ def centroid_by_label(spark, sf_dir):
     return cells.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("value"))
 
 
-@query("a11_l2_normalize", "SELECT vec_id, pos, round(x / norm, 6) AS value FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 50)")
+@query("a11_l2_normalize", "SELECT vec_id, pos, round(x / norm, 6) AS value FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)")
 def l2_normalize(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 50")
-    return rows.select("vec_id", F.posexplode(vectors.unit(F.col("embedding"))).alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.unit(F.col("embedding"))).alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query("a11_mean_pool", "WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT m.label, m.pos, round(m.x / n.norm, 6) AS value FROM m JOIN n USING (label)")
+@query("a11_mean_pool", "WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL) GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT m.label, m.pos, round(m.x / n.norm, 6) AS value FROM m JOIN n USING (label)")
 def mean_pool(spark, sf_dir):
-    found = vectors.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding", F.col("vec_id") % 3 != 0)
+    found = vectors.mean_pool(table(spark, sf_dir, "embeddings"), "label", "embedding", F.col("embedding").isNotNull())
     return found.select("label", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 

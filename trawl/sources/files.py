@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions.paths import has_extension, in_skipped_dir
+from trawl.functions.paths import has_extension, in_skipped_dir, relative_to
 
 
 def contained(root: str, path: str) -> bool:
@@ -35,8 +35,7 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     ``listed`` restricts to a list, such as ``git_files`` gives.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    path = F.element_at(F.split("path", F.lit("\\Q" + base + "\\E"), 2), -1)
+    path = relative_to(F.col("path"), root)
     rows = found.select(path.alias("relative_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     rows = rows.where(has_extension(F.col("relative_path"), extensions or []) & ~in_skipped_dir(F.col("relative_path"), skipped or []))
     if listed is not None:
@@ -45,13 +44,13 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] | None = No
 
 
 class Journal:
-    """Ids that are to be deleted, as JSON lines, for a run that was cut short."""
+    """Ids that are to be deleted, one a JSON line, for a run that was cut short."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
     def append(self, ids: DataFrame) -> None:
-        ids.agg(F.collect_list("doc_id").alias("doc_ids")).where(F.size("doc_ids") > 0).write.mode("append").json(self.path)
+        ids.select(F.array("doc_id").alias("doc_ids")).write.mode("append").json(self.path)
 
     def pending(self) -> DataFrame:
         """All ids of the journal; a broken line is an error."""

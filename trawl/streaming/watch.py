@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trawl.functions.paths import is_watched
+from trawl.functions.paths import is_watched, relative_to
 from trawl.operators.changes import poll_diff
 
 
 def file_events(spark: SparkSession, root: str) -> DataFrame:
     """A stream of (relative_path, mtime_ns, size) of files that appear under ``root``."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    path = F.element_at(F.split("path", base), -1)
+    path = relative_to(F.col("path"), root)
     return stream.select(path.alias("relative_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), F.col("modificationTime").alias("ts"))
 
 
@@ -55,15 +54,18 @@ def watch(events: DataFrame, reindex: Callable[[], None], checkpoint: str, **tri
 
 
 class Poller:
-    """Events by comparing listings; the first listing is the base line and has none."""
+    """Events by comparing listings; the first listing is the base line and has none. Events can be read until the next but one poll."""
 
     def __init__(self, listing: Callable[[], DataFrame]) -> None:
-        self.listing, self.before = listing, None
+        self.listing, self.before, self.oldest = listing, None, None
 
     def poll(self) -> DataFrame | None:
         now = self.listing().cache()
         now.count()
         before, self.before = self.before, now
+        if self.oldest is not None:
+            self.oldest.unpersist()  # what the events before the last were made from
+        self.oldest = before
         if before is None:
             return None
         return poll_diff(before, now)
