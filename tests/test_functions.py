@@ -186,3 +186,19 @@ def test_desync(spark, ids, chunks, collection, want):
     m = spark.createDataFrame([(ids, chunks)], "doc_ids array<string>, chunk_count int")
     c = spark.createDataFrame([(x,) for x in collection], "doc_id string")
     assert stats.desync(m, c).first()["desync"] is want
+
+
+def test_status_paths():
+    assert [paths.status_path("/w/s", p) for p in (" ", "a/b", "/w/s/a", "/w/x", "/w/s", " logs/ ")] == ["", "a/b", "a", "../x", ".", "logs"]
+
+
+def test_counters(tmp_path):
+    assert text.counter_of("http") is text.count_tokens and text.Fixed(0)("abc") == 1 and text.Fixed(7)("") == 7
+    with pytest.raises(FileNotFoundError):
+        text.counter_of("onnx", str(tmp_path / "none.json"))
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.save(str(tmp_path / "t.json"))
+    assert text.counter_of("ONNX", str(tmp_path / "t.json"))("a b  zzz a") == 4

@@ -1,18 +1,20 @@
 import json
 import os
+import subprocess
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import types as T
 
 from trawl.index.catalog import Catalog
 from trawl.index.embed import ConstantEmbedder, HashEmbedder, HttpEmbedder, pooled
 from trawl.index.engine import Engine, IdentityMismatch
-from trawl.index.snapshot import Store
+from trawl.index.snapshot import Store, read_json, write_json
 from trawl.sources.config import Settings, load, merged, parse_dotenv
-from trawl.sources.files import Journal, contained, git_files, read_files
+from trawl.sources.files import Journal, contained, git_files, read_files, workspace_files
 from trawl.streaming.watch import Poller, debounced, file_events, watch, watched
 
 
@@ -71,6 +73,43 @@ def test_identity(spark, workspace, tmp_path):
     assert other.reindex(files, force=True)["written"] and other.ready()[0]
 
 
+def test_other_formats_are_built_anew(spark, workspace, tmp_path):
+    files, engine = read_files(spark, str(workspace)), Engine(spark, str(tmp_path), "w", ConstantEmbedder(8))
+    engine.reindex(files)
+    write_json(engine.files, "META.json", read_json(engine.files, "META.json") | {"format": 0})
+    assert engine.ready() == (False, "identity: format")
+    assert engine.reindex(files)["new"] == 3 and engine.ready()[0]
+    engine.files.delete("META.json")
+    assert engine.reindex(files)["new"] == 3 and engine.ready()[0] and not engine.reindex(files)["written"]
+
+
+def test_deletes_are_tried_again(spark, tmp_path, monkeypatch):
+    store, calls = Store(spark, str(tmp_path / "t"), SCHEMA, "k"), []
+
+    class Busy:
+        def delete(self, path, recursive):
+            calls.append(path)
+            if len(calls) % 4:
+                store.files.fs.getFileStatus(store.files._path("none"))  # raises
+
+    files = store.files
+    busy = type("F", (), {"fs": Busy(), "_path": staticmethod(files._path)})()
+    with pytest.raises(Py4JJavaError):
+        type(files).delete(busy, "x", pause=0)
+    type(files).delete(busy, "x", pause=0)
+    assert len(calls) == 4
+
+
+def test_workspace_files(spark, workspace):
+    found, warning = workspace_files(spark, str(workspace), ["PY", ".md"], ["docs"])
+    assert [r["relative_path"] for r in found.collect()] == ["auth.py"] and warning
+    subprocess.run(["git", "init", "-q", str(workspace)], check=True)
+    (workspace / ".gitignore").write_text("auth.py\n")
+    (workspace / "Other.Py").write_text("1")
+    found, warning = workspace_files(spark, str(workspace), ["py"])
+    assert [r["relative_path"] for r in found.collect()] == ["Other.Py"] and not warning
+
+
 SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column
@@ -18,6 +19,13 @@ def relative_to(path: Column, root: str) -> Column:
     return F.element_at(F.split(path, F.lit("\\Q" + base + "\\E"), 2), -1)
 
 
+def status_path(root: str, path: str) -> str:
+    """How a status names a path: relative to the workspace, with slashes, '' for none."""
+    path = path.strip()
+    base = os.path.abspath(root)
+    return os.path.relpath(os.path.join(base, path), base).replace(os.sep, "/") if path else ""
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(slashes(path), "/"), -1)
 

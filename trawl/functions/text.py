@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +38,51 @@ def count_tokens(text: str) -> int:
     return int(len(text) / RUNES_PER_TOKEN)
 
 
+def character_count(text: Column) -> Column:
+    """A token a code point."""
+    return F.char_length(text)
+
+
+@dataclass(frozen=True)
+class Fixed:
+    """A counter that says the same of any text, one at least."""
+
+    tokens: int
+
+    def __call__(self, text: str) -> int:
+        return max(1, self.tokens)
+
+
+@cache
+def _tokenizer(path: str) -> object:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@dataclass(frozen=True)
+class ByTokenizer:
+    """Tokens of a tokenizer file, special ones included, by estimate where it fails on a text; read once a process, so the path must be on every executor."""
+
+    path: str
+
+    def __call__(self, text: str) -> int:
+        tokenizer = _tokenizer(self.path)
+        try:
+            return len(tokenizer.encode(text).ids)
+        except Exception:  # the library raises its own type-less errors
+            return count_tokens(text)
+
+
+def counter_of(provider: str, tokenizer_path: str = "") -> Callable[[str], int]:
+    """The counter of an embedder's provider, for ``Options.count``: a model's own tokenizer, else the estimate."""
+    if provider.lower() != "onnx":
+        return count_tokens
+    if not Path(tokenizer_path).is_file():
+        raise FileNotFoundError(f"no tokenizer file: {tokenizer_path}")
+    return ByTokenizer(tokenizer_path)
+
+
 def content_fingerprint(snippet: Column) -> Column:
     return F.substring(F.sha2(trimmed(snippet), 256), 1, 8)
 

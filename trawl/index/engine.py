@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -67,6 +69,14 @@ def mismatch(meta: dict, now: Identity) -> str:
     return "fingerprint" if meta.get("fingerprint") and meta["fingerprint"] != now.fingerprint else ""
 
 
+def _best_effort(action: Callable[[], object]) -> None:
+    """Upkeep that may fail without harm to what was written."""
+    try:
+        action()
+    except Exception as e:
+        logging.getLogger(__name__).warning("upkeep of the index failed: %s", e)
+
+
 class Engine:
     """An index of one workspace in one folder."""
 
@@ -85,12 +95,15 @@ class Engine:
 
         Only new and changed files are chunked and embedded. Both tables are staged and then
         promoted, chunks first; a run that fails before leaves the old versions. A run with
-        nothing to do writes nothing.
+        nothing to do writes nothing. An index of another format, or without meta data, is
+        built anew.
         """
         with self.chunks.lock():
             meta = read_json(self.files, "META.json")
             found = mismatch(meta, self.identity) if meta else ""
-            if found and not force:
+            if found == "format" or (not meta and self.chunks.version()):
+                force = True  # made by another version of the engine, or left without meta data: built anew
+            elif found and not force:
                 raise IdentityMismatch(found)
             if meta and not force and self.desync():
                 force = True
@@ -114,7 +127,8 @@ class Engine:
             listed = self.manifest.stage(known.join(status.where("status <> 'unchanged'").select("relative_path"), "relative_path", "left_anti").unionByName(rows))
             self.chunks.promote(version)
             self.manifest.promote(listed)
-            self.chunks.compact()
+            for store in (self.chunks, self.manifest):
+                _best_effort(store.compact)
             now = datetime.now(UTC).isoformat()
             write_json(self.files, "META.json", vars(self.identity) | {"format": FORMAT, "created_at": (meta or {}).get("created_at", now), "updated_at": now})
             status.unpersist()

@@ -11,6 +11,7 @@ import time
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -58,6 +59,12 @@ class Files:
         except Exception:  # another process was faster
             return False
 
+    def put(self, path: str, text: str) -> None:
+        """Writes in place, so that the file never goes away."""
+        s = self.fs.create(self._path(path), True)
+        s.write(bytearray(text.encode()))
+        s.close()
+
     def age(self, path: str) -> float:
         """Seconds since a file was written."""
         return time.time() - self.fs.getFileStatus(self._path(path)).getModificationTime() / 1000
@@ -65,8 +72,16 @@ class Files:
     def rename(self, path: str, to: str) -> bool:
         return self.exists(path) and self.fs.rename(self._path(path), self._path(to))
 
-    def delete(self, path: str) -> None:
-        self.fs.delete(self._path(path), True)
+    def delete(self, path: str, attempts: int = 3, pause: float = 0.05) -> None:
+        """Tries again after a pause that grows, where a file system says no for a moment."""
+        for attempt in range(1, attempts + 1):
+            try:
+                self.fs.delete(self._path(path), True)
+                return
+            except Py4JJavaError:
+                if attempt == attempts:
+                    raise
+                time.sleep(pause * attempt)
 
     def sizes(self, path: str) -> list[int]:
         return [s.getLen() for s in self.fs.listStatus(self._path(path)) if s.getPath().getName().startswith("part-")] if self.exists(path) else []
@@ -96,12 +111,12 @@ class Store:
         me = uuid.uuid4().hex
         if not self.files.claim("LOCK") and not self._take_over(stale, me):
             raise RuntimeError("another writer holds the index")
-        self.files.write("LOCK", me)
+        self.files.put("LOCK", me)
         done = threading.Event()
 
         def hold() -> None:
             while not done.wait(stale / 10):
-                self.files.write("LOCK", me)
+                self.files.put("LOCK", me)
 
         holder = threading.Thread(target=hold, daemon=True)
         holder.start()

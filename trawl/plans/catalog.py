@@ -80,6 +80,11 @@ def over_fetch(spark, sf_dir):
     return table(spark, sf_dir, "nation").select((F.col("n_nationkey") - 3).alias("asked"), rerank.over_fetch_of(asked).cast("long").alias("fetched"))
 
 
+@query("x6_character_count", "SELECT doc_id, length(text) AS tokens FROM documents")
+def character_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.character_count(F.col("text")).cast("long").alias("tokens"))
+
+
 @query("x15_query_terms", r"SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'), lambda t: length(t) >= 3))) AS terms FROM documents")
 def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.query_terms(F.col("text"))).alias("terms"))

@@ -34,7 +34,11 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] | None = No
 
     ``listed`` restricts to a list, such as ``git_files`` gives.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if extensions:  # other files are left out when Spark lists, before a byte is read
+        ends = ",".join(sorted({"".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else c for c in e.lstrip(".")) for e in extensions}))
+        reader = reader.option("pathGlobFilter", f"*.{{{ends}}}")
+    found = reader.load(root)
     path = relative_to(F.col("path"), root)
     rows = found.select(path.alias("relative_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     rows = rows.where(has_extension(F.col("relative_path"), extensions or []) & ~in_skipped_dir(F.col("relative_path"), skipped or []))
@@ -43,6 +47,14 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     return rows
 
 
+def workspace_files(spark: SparkSession, root: str, extensions: list[str] | None = None, skipped: list[str] | None = None) -> tuple[DataFrame, str]:
+    """The files of a workspace and a warning, '' where version control lists them and else why all files were walked."""
+    listed = git_files(root)
+    if listed is not None:
+        return read_files(spark, root, extensions, skipped, [p for p in listed if contained(root, p)]), ""
+    return read_files(spark, root, extensions, skipped), "version control gave no list; all files below the root were walked"
+
+
 class Journal:
     """Ids that are to be deleted, one a JSON line, for a run that was cut short."""
 
