@@ -394,10 +394,11 @@ def debounce_sessions(spark, sf_dir):
     return runs.select("user_id", F.unix_timestamp("first_event").alias("first_s"), F.unix_timestamp("last_event").alias("last_s"), "n")
 
 
-@query("x16_headings", "SELECT doc_id, level, title FROM (SELECT doc_id, doc_id % 8 AS level, CASE WHEN doc_id % 8 BETWEEN 1 AND 6 THEN lang || ' ' || source END AS title FROM documents) WHERE title IS NOT NULL")
+@query("x16_headings", r"SELECT doc_id, length(regexp_extract(line, '^\s*(#{1,6}) +(\S.*?)\s*$', 1)) AS level, regexp_extract(line, '^\s*(#{1,6}) +(\S.*?)\s*$', 2) AS title FROM (SELECT doc_id, unnest(string_split('  ' || repeat('#', doc_id % 8) || ' ' || lang || ' ' || source || '  ' || chr(10) || coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^\s*#{1,6} +\S')")
 def headings(spark, sf_dir):
-    line = F.concat(F.lit("  "), F.repeat(F.lit("#"), F.pmod("doc_id", F.lit(8)).cast("int")), F.lit(" "), "lang", F.lit(" "), "source", F.lit("  "))
-    found = table(spark, sf_dir, "documents").select("doc_id", text.heading_level(line).cast("long").alias("level"), text.heading_title(line).alias("title"))
+    first = F.concat(F.lit("  "), F.repeat(F.lit("#"), F.pmod("doc_id", F.lit(8)).cast("int")), F.lit(" "), "lang", F.lit(" "), "source", F.lit("  "))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat_ws("\n", first, "text"), "\n")).alias("line"))
+    found = lines.select("doc_id", text.heading_level(F.col("line")).cast("long").alias("level"), text.heading_title(F.col("line")).alias("title"))
     return found.where("level > 0")
 
 
@@ -420,10 +421,15 @@ def cloud_paths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", paths.in_cloud_folder(path).alias("synced"))
 
 
-@query("x29_error_class", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'lock' WHEN 1 THEN 'skippable' WHEN 2 THEN 'skippable' ELSE 'abort' END AS class FROM events")
+def _says(parts):
+    return "(" + " OR ".join("contains(message, '" + p.replace("'", "''") + "')" for p in parts) + ")"
+
+
+@query("x29_error_class", f"SELECT doc_id, CASE WHEN {_says(text.LOCKED)} THEN 'lock' WHEN {_says(text.CORRUPT + text.ONE_FILE)} THEN 'skippable' ELSE 'abort' END AS class FROM (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'Can''t open LOCK file' WHEN 1 THEN 'segment is CORRUPT' WHEN 2 THEN 'line too long for indexing' ELSE '' END || ': ' || coalesce(text, '')) AS message FROM documents)")
 def error_class(spark, sf_dir):
-    says = F.get(F.array(*map(F.lit, ("Can't open LOCK file", "segment is CORRUPT", "line too long for indexing", "connection reset"))), F.pmod("event_id", F.lit(4)).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", text.error_class(says).alias("class"))
+    says = F.get(F.array(*map(F.lit, ("Can't open LOCK file", "segment is CORRUPT", "line too long for indexing", ""))), F.pmod("doc_id", F.lit(4)).cast("int"))
+    message = F.concat(says, F.lit(": "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.error_class(message).alias("class"))
 
 
 @query("o2_distinct_in_order", "SELECT doc_id, list_distinct(terms) IS NOT NULL AS ok, len(list_distinct(terms))::INTEGER AS n FROM (SELECT doc_id, string_split(text, ' ') AS terms FROM documents)")
@@ -562,9 +568,10 @@ def fences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.opens_fence(line).alias("opens"), text.is_table_row(line).alias("is_table"))
 
 
-@query("x18_query_text", "SELECT doc_id, doc_id % 3 <> 1 AS is_query, CASE doc_id % 3 WHEN 0 THEN source WHEN 2 THEN 'Поле' ELSE '' END AS name FROM documents")
+@query("x18_query_text", r"WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(10) || '  select ' || source || ', b from t ' WHEN 1 THEN 'selected x ' WHEN 2 THEN 'ВЫБРАТЬ Поле ИЗ Т ' ELSE '' END || coalesce(text, '') AS given FROM documents), f AS (SELECT doc_id, regexp_matches(given, '^\s*((?i:select)|ВЫБРАТЬ)(\s|$)') AS is_query, string_split_regex(regexp_extract(given, '^\s*(\S[^\n]*)', 1), '[\s,]+') AS fields FROM t) SELECT doc_id, is_query, CASE WHEN is_query AND len(fields) > 1 THEN fields[2] ELSE '' END AS name FROM f")
 def query_text_names(spark, sf_dir):
-    given = F.get(F.array(F.concat(F.lit("\n  select "), "source", F.lit(", b from t")), F.lit("selected x"), F.lit("ВЫБРАТЬ Поле ИЗ Т")), F.pmod("doc_id", F.lit(3)).cast("int"))
+    start = F.get(F.array(F.concat(F.lit("\n  select "), "source", F.lit(", b from t ")), F.lit("selected x "), F.lit("ВЫБРАТЬ Поле ИЗ Т "), F.lit("")), F.pmod("doc_id", F.lit(4)).cast("int"))
+    given = F.concat(start, F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", text.is_query_text(given).alias("is_query"), text.query_name(given).alias("name"))
 
 
