@@ -148,9 +148,10 @@ class Engine:
         began = time.monotonic()
         vector = self.embedder.embed([query])[0]
         near = vectors.nearest(chunks, vector, rerank.over_fetch(limit), "embedding", "doc_id", matches_glob(F.col("path"), path_glob))
-        hits = rerank.rerank(near.drop("embedding"), query, limit)
+        hits = rerank.rerank(near.drop("embedding"), query, limit).select(*HIT)
+        hits = self.spark.createDataFrame(hits.collect(), hits.schema)  # at most ``limit`` rows; the latency is that of the whole search
         self.latency = [*self.latency, (time.monotonic() - began) * 1000][-20:]
-        return hits.select(*HIT)
+        return hits
 
     # ---- status
 
