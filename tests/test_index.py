@@ -83,6 +83,15 @@ def test_other_formats_are_built_anew(spark, workspace, tmp_path):
     assert engine.reindex(files)["new"] == 3 and engine.ready()[0] and not engine.reindex(files)["written"]
 
 
+def test_slow_searches_show_in_the_status(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), "w", ConstantEmbedder(8))
+    found = []
+    for latency in ([], [10.0], [6000.0], [10.0] * 6, [10.0] * 6 + [50.0]):
+        engine.latency = latency
+        found.append(engine.slow_search())
+    assert found == ["", "", "absolute_slow_threshold", "", "median_ratio"]
+
+
 def test_deletes_are_tried_again(spark, tmp_path, monkeypatch):
     store, calls = Store(spark, str(tmp_path / "t"), SCHEMA, "k"), []
 

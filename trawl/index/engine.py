@@ -159,7 +159,15 @@ class Engine:
         m = stats.manifest_stats(self.manifest.read()).first()
         docs, failed = self.chunks.read().count(), self.rejected.count() if self.rejected is not None else 0
         warned = self.spark.range(1).select(stats.diagnostics(F.lit(m["chunks"]), F.lit(docs), F.lit(failed), F.lit(0)).alias("w")).first()["w"]
-        return {"files": m["files"], "chunks": m["chunks"], "doc_count": docs, "collection": self.identity.name, "version": self.chunks.version(), "warnings": warned, "ready": self.ready()[0]}
+        return {"files": m["files"], "chunks": m["chunks"], "doc_count": docs, "collection": self.identity.name, "version": self.chunks.version(), "warnings": warned, "slow_search": self.slow_search(), "ready": self.ready()[0]}
+
+    def slow_search(self) -> str:
+        """Why the last search counts as slow, '' if it does not or there was none."""
+        if not self.latency:
+            return ""
+        samples = self.spark.createDataFrame(list(enumerate(self.latency)), "seq long, ms double")  # 20 at most
+        last = stats.rolling_latency(samples).orderBy(F.desc("seq")).first()
+        return last["reason"] if last["degraded"] else ""
 
     def ready(self) -> tuple[bool, str]:
         """Whether a search can be answered, else what is missing."""
