@@ -1,8 +1,8 @@
 """Phrase collocations: word sequences that stand together far more often than their parts would by chance.
 
 Texts become chunks of word numbers once. Sequences of 1, 2 and more words are then exploded
-into rows (language, phrase, count), a row for each distinct sequence of a chunk, and summed
-by Spark. A sequence that occurs often enough has only parts that do, so sequences of two
+into rows (language, phrase, count), one for each distinct sequence of a chunk, and summed by
+Spark; on their way through the shuffle the rows of a chunk and bucket are lines of one text. A sequence that occurs often enough has only parts that do, so sequences of two
 words are exploded where both words may be frequent, longer ones where all their pairs may
 be. What may be is said by a bitmap of fixed size: a stray bit costs rows, never a result.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import materialise, release, struct, table
+from trawl.llm.shared import materialise, release, struct, table, width
 from trawl.llm.word_chunks import Unsqueezed, squeeze
 
 #: Words after which a chunk ends, at the next end of a piece; bytes of a text that are split at once.
@@ -30,7 +30,10 @@ BREAK = b"."
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(BREAK[0] if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-ROWS = struct(lang="string", phrase="binary", f="long")
+#: Buckets for each shuffle partition, so that hashed buckets lie evenly.
+BUCKETS_EACH = 2
+
+ROWS = struct(lang="string", bucket="long", phrases="binary", times="string")
 
 
 def words_of(raw: bytes) -> Iterator[list[bytes]]:
@@ -127,26 +130,40 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray
             yield lang, ids, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def _batches(lang: str, phrases: list[bytes], f: np.ndarray, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(phrases), size):
-        some = phrases[k : k + size]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()), pa.array(f[k : k + size], pa.int64())], schema=_arrow(ROWS))
+def _batches(lang: str, phrases: list[bytes], f: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases, in order, packed as lines of one text for each of the buckets ``at``: neighbours are alike, so that these compress."""
+    order = np.argsort(at, kind="stable")
+    buckets, cuts = np.unique(at[order], return_index=True)
+    rows = [order[a:b].tolist() for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
+    texts, times = [b"\n".join(map(phrases.__getitem__, r)) for r in rows], [" ".join(map(str, f[r].tolist())) for r in rows]
+    for k in range(0, len(rows), 500):
+        n = len(rows[k : k + 500])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(buckets[k : k + n], pa.int64()), pa.array(texts[k : k + n], pa.binary()), pa.array(times[k : k + n], pa.string())], schema=_arrow(ROWS))
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
+def _summed(rows: DataFrame, parts: int) -> DataFrame:
+    """(lang, phrase, f) of packed rows; what is alike lies in one bucket, and a frequent phrase is a line a chunk."""
+    pairs = F.arrays_zip(F.split(F.col("phrases").cast("string"), "\n", -1).alias("phrase"), F.split("times", " ").alias("f"))
+    lines = rows.repartition(parts, "bucket").select("bucket", "lang", F.inline(pairs))
+    return lines.groupBy("bucket", "lang", "phrase").agg(F.sum(F.col("f").cast("long")).alias("f")).drop("bucket")
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """(lang, phrase, f) of all words; the row of each language whose phrase is null counts all its words."""
+    """(lang, phrase, f) of all words; the row of each language whose phrase is empty counts all its words."""
+    parts = width(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, words in _opened(batches):
-            times = np.bincount(ids, minlength=len(words))[1:]
-            yield from _batches(lang, [*words[1:], None], np.append(times, times.sum()))
+            times = np.bincount(ids, minlength=len(words))
+            times[0] = times[1:].sum()
+            order = np.array(sorted(range(1, len(words)), key=words.__getitem__), np.int64)
+            order = np.insert(order, 0, 0)
+            at = (_mixed([_hashes(lang, words)]) % np.uint64(parts * BUCKETS_EACH))[order]
+            at[0] = 0
+            yield from _batches(lang, [b"", *(words[i] for i in order[1:].tolist())], times[order], at.astype(np.int64))
         release()
 
-    return _summed(chunks.mapInArrow(run, ROWS))
+    return _summed(chunks.mapInArrow(run, ROWS), parts)
 
 
 def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
@@ -156,13 +173,17 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _slots(parts: list[np.ndarray]) -> np.ndarray:
-    """Filter slots of sequences, given the hashes of their first, second, ... words."""
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """Hashes of sequences, given those of their first, second, ... words."""
     h = np.zeros(len(parts[0]), np.uint64)
     for p in parts:
         h = (h ^ p) * np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(35)
-    return (h % np.uint64(SLOTS)).astype(np.int64)
+    return h
+
+
+def _slots(parts: list[np.ndarray]) -> np.ndarray:
+    return (_mixed(parts) % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _filter(frequent: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
@@ -192,7 +213,7 @@ def sequence_counts(chunks: DataFrame, frequent: DataFrame, size: int, longest:
 
     Counts are exact: within a chunk sequences are told apart by number, between chunks by text.
     """
-    may_be = _filter(frequent)
+    may_be, parts = _filter(frequent), width(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, words in _opened(batches):
@@ -215,13 +236,15 @@ def sequence_counts(chunks: DataFrame, frequent: DataFrame, size: int, longest:
                 if not len(at):
                     break
                 _, first, back, f = np.unique(code[at] * m + ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
-                columns = [map(words.__getitem__, ids[at[first] + k].tolist()) for k in range(n)]
-                yield from _batches(lang, list(map(b" ".join, zip(*columns, strict=True))), f)
+                columns = [ids[at[first] + k] for k in range(n)]
+                lines = list(map(b" ".join, zip(*(map(words.__getitem__, c.tolist()) for c in columns), strict=True)))
+                bucket = _mixed([h[c] for c in columns]) % np.uint64(parts * BUCKETS_EACH)
+                yield from _batches(lang, lines, f, bucket.astype(np.int64))
                 code = np.zeros(len(ok), np.int64)
                 code[at] = back
         release()
 
-    return _summed(chunks.mapInArrow(run, ROWS))
+    return _summed(chunks.mapInArrow(run, ROWS), parts)
 
 
 def _numbered(ids: np.ndarray, ok: np.ndarray, size: int, m: np.int64) -> np.ndarray:
@@ -246,8 +269,8 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     their names, are not looked at. Texts of any length are split in slices.
     """
     chunks = materialise(chunks_of(docs, text_col, lang_col), "collocation-chunks", "uncompressed")
-    counted = materialise(word_counts(chunks).where(F.col("phrase").isNull() | (F.col("f") >= least)), "collocation-words")
-    totals, found = counted.where("phrase IS NULL").select("lang", F.col("f").alias("n")), [counted.where("phrase IS NOT NULL")]
+    counted = materialise(word_counts(chunks).where((F.col("phrase") == "") | (F.col("f") >= least)), "collocation-words")
+    totals, found = counted.where("phrase = ''").select("lang", F.col("f").alias("n")), [counted.where("phrase <> ''")]
     for size, high in ((1, min(2, longest)), (2, longest)):
         if high > size:
             counts = sequence_counts(chunks, found[-1], size, high)
