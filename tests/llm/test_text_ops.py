@@ -362,6 +362,35 @@ def test_rows_of_one_id_are_judged_one_by_one(spark):
     assert simhash.without_near_copies(docs.limit(0)).collect() == []
 
 
+def test_columns_of_any_name_come_through(spark):
+    names = ["judged_text", "judged_id", "judged_maybe", "judged_first", "judged_digest", "members_map", "members_bits", "maybe", "row", "id", "digest", "key", "n"]
+    rows = [(i, f"one two three four five six seven {i // 2}", *(f"{c}{i}" for c in names)) for i in range(8)] + [(None, None, *names)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["doc_id", "text", *names]))
+    left = simhash.without_near_copies(docs)
+    assert left.schema == docs.schema
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([tuple(None if x is None else str(x) for x in r) for r in [*rows[:8:2], rows[8]]], key=str)
+    assert simhash.without_near_copies(docs.limit(0)).collect() == []
+
+
+def test_texts_of_few_shingles(spark):
+    """All pairs of similarity 0.8 or more are found where they have nine shingles together or fewer."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(400):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(5 + k % 9)]
+        texts += [" ".join(t), " ".join([*t, "more"])] if k % 2 else [" ".join(t), " ".join(["first", *t])]
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(0, 800, 2):
+        n = len(texts[k].split()) - 4
+        assert (found[k + 1] == k) == (n / (n + 1) >= 0.8) or n > 8, (k, n)
+
+
+@pytest.mark.parametrize(("rows", "copies"), [(10**4, 24), (10**6, 30), (10**9, 200), (10**11, 1000)])
+def test_cells_stay_small(rows, copies):
+    shape = simhash.near_shape(rows, 0.8, 0.995, 3)
+    assert shape.copies <= copies and rows / 2 ** min(b - a for a, b in zip(shape.ends, shape.ends[1:], strict=False)) <= trie_join.CELL
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 300), (None, 4), (200, 201), (201, 200)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from trawl.llm.components import components
 from trawl.llm.members import possible
 from trawl.llm.shared import materialise, release, table
-from trawl.llm.trie_join import Shape, lot_limit, lot_links, trie_links
+from trawl.llm.trie_join import CELL, Shape, lot_limit, lot_links, trie_links
 
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
@@ -89,27 +89,32 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _digest(text: str) -> F.Column:
+def _digest(text: str | F.Column) -> F.Column:
     """What tells texts of one id apart; null is as empty."""
-    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"))
+
+
+#: Sets of so many shingles at most are also linked by what is left of them without one shingle.
+SMALL = 9
 
 
 def _wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int) -> DataFrame:
-    """Per row of ``docs``: id, digest, key (128 bits of its set of shingles), size of the set, lanes."""
+    """Per row of ``docs``: id, digest, key (128 bits of its set of shingles), size of the set, lanes, and for small sets the keys without one shingle each."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, prints = [], [], []
+            keys, sizes, prints, less = [], [], [], []
             for raw in _raw(batch.column(2)):
                 own = np.unique(shingle_hashes(raw, shingle))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 prints.append(majority(own, lanes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], names=["id", "digest", "key", "size", "lanes"])
+                less.append([xxhash.xxh3_128_digest(np.delete(own, k).tobytes()) for k in range(len(own))] if len(own) <= SMALL else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary()), pa.array(less, pa.list_(pa.binary()))], names=["id", "digest", "key", "size", "lanes", "less"])
         release()
 
-    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("digest string, key binary, size int, lanes binary").fields])
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("digest string, key binary, size int, lanes binary, less array<binary>").fields])
     return docs.select(F.col(id_col).alias("id"), _digest(text_col).alias("digest"), text_col).mapInArrow(run, kind)
 
 
@@ -158,30 +163,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return first.join(sets.withColumnsRenamed({"node": "a", "set": "x"}), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Rows that a row meets by chance in each table, about: beyond that longer ranges are taken.
+MET_BY_CHANCE = 400
+
+
 def near_shape(rows: int, similarity: float, recall: float, errors: int) -> Shape:
-    """Ranges so short that texts of this similarity are within ``errors`` bits in one of them by ``recall``, and so long that a row meets few others by chance.
+    """The ranges that copy a row least often, of those that find texts of this similarity within their errors in one of them by
+    ``recall``, in which a row meets few others by chance, and whose cells hold about ``CELL`` rows at most however many rows there are.
 
     The limits in all bits: what texts half-way to equality differ in on average; and what texts at the similarity differ in, with
     three standard deviations allowed for.
     """
-    share = differing_share(similarity)
-    bits = min(60, max(20, math.ceil(math.log2(max(2, rows))) + 4))
-    hit = sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(errors + 1))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+    share, found = differing_share(similarity), []
+    for e in range(1, errors + 1):
+        for bits in range(20, 61):
+            chance = rows * sum(math.comb(bits, k) for k in range(e + 1)) / 2**bits
+            if rows / 2 ** (bits // (e + 1)) > CELL / 2 or chance > MET_BY_CHANCE:
+                continue
+            hit = sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(e + 1))
+            tables = math.ceil(math.log(1 - recall) / math.log(1 - hit))
+            found.append((tables * (e + 1), -e, bits, tables))
+            break  # longer ranges need more tables
+    _, e, bits, tables = min(found)
     lanes = max(4, -(-tables * bits // 64))
     n = 64 * lanes
     sure = differing_share((1 + similarity) / 2) * n
     far = share * n + 3 * math.sqrt(n * share * (1 - share))
-    return Shape(lanes, errors, tables, bits, tuple(sorted({int(sure + (far - sure) * k / 6) for k in range(7)})))
+    return Shape(lanes, -e, tables, bits, tuple(sorted({int(sure + (far - sure) * k / 6) for k in range(7)})))
+
+
+def _small_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of sets where one is the other without one shingle: for unions of ``SMALL`` or fewer all that differ and can be similar. Keys are unique, so each set meets one other for each of its shingles at most."""
+    least = math.ceil(1 / (1 - similarity) - 1e-9) if similarity < 1 else SMALL + 1
+    parts = nodes.where(F.col("size").between(least, SMALL)).select(F.col("node").alias("x"), F.explode("less").alias("key"))
+    return parts.join(nodes.select(F.col("node").alias("y"), "key"), "key").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _rows_and_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, recall: float, errors: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, digest, key) of ``docs``, and (key, root) of the nodes that have links."""
     shape = near_shape(docs.count(), similarity, recall, errors)
     rows = materialise(_wide_prints(docs, id_col, text_col, shingle, shape.words), "wide")
-    nodes = rows.groupBy("key", "size", "lanes").agg(F.min(F.struct("id", "digest")).alias("least"))
-    nodes = materialise(nodes.select("key", "size", "lanes", "least.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = materialise(trie_links(nodes, nodes.count(), shape).distinct(), "pairs")
+    nodes = rows.groupBy("key", "size", "lanes").agg(F.min(F.struct("id", "digest")).alias("least"), F.first("less").alias("less"))
+    nodes = materialise(nodes.select("key", "size", "lanes", "least.*", "less").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = materialise(trie_links(nodes, nodes.count(), shape).unionByName(_small_links(nodes, similarity)).distinct(), "pairs")
     ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(nodes.join(ends, "node").select("node", "id", "digest", "size", "lanes"), "wanted")
     sets = materialise(_sets_of(wanted.select("node", "id", "digest"), docs, id_col, text_col, shingle), "sets")
@@ -251,13 +275,14 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.digest") == F.col("digest"))
     judged = grouped.join(first, "root").select(F.col("id").alias("judged_id"), F.col("digest").alias("judged_digest"), stays.alias("judged_first"), "n").where("NOT judged_first OR n > 1").drop("n")
     judged = materialise(judged, "judged")
-    marked = possible(docs.withColumn("judged_text", _digest(text_col)), [F.col(id_col), F.col("judged_text")], judged, ["judged_id", "judged_digest"], "judged_maybe")
-    sure, maybe = marked.where("NOT judged_maybe"), marked.where("judged_maybe")
-    held = maybe.join(judged, maybe[id_col].eqNullSafe(judged["judged_id"]) & (maybe["judged_text"] == judged["judged_digest"]), "left")
+    own = docs.select(F.struct("*").alias("row"))  # whatever the columns are called
+    own = own.select("row", F.col("row")[id_col].alias("id"), _digest(F.col("row")[text_col]).alias("digest"))
+    marked = possible(own, ["id", "digest"], judged, ["judged_id", "judged_digest"], "maybe")
+    sure, maybe = marked.where("NOT maybe"), marked.where("maybe")
+    held = maybe.join(judged, maybe["id"].eqNullSafe(judged["judged_id"]) & (maybe["digest"] == judged["judged_digest"]), "left")
     other, again = held.where("judged_first IS NULL"), held.where("judged_first")
-    again = again.dropDuplicates([id_col, "judged_text"])
-    names = docs.columns
-    return sure.select(*names).unionByName(other.select(*names)).unionByName(again.select(*names))
+    again = again.dropDuplicates(["id", "digest"])
+    return sure.select("row").unionByName(other.select("row")).unionByName(again.select("row")).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
