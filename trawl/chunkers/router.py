@@ -86,8 +86,12 @@ def chunk_text(path: str, text: str, route: str, opts: Options) -> Iterator[Chun
 _SCHEMA = "relative_path string, chunk_index int, start_line long, end_line long, start_byte long, end_byte long, chunk_type string, snippet string, symbol_name string, symbol_kind string, parent_scope string, chunk_strategy string"
 
 
-def chunk_files(files: DataFrame, opts: Options | None = None, routing: Routing | None = None, path_col: str = "relative_path", text_col: str = "content") -> DataFrame:
-    """Chunks of all files, with ordinals and ids. Line windows are expressions; the other routes run in Python, file by file."""
+def chunk_files(files: DataFrame, opts: Options | None = None, routing: Routing | None = None, path_col: str = "relative_path", text_col: str = "content", errors: bool = False) -> DataFrame:
+    """Chunks of all files, with ordinals and ids. Line windows are expressions; the other routes run in Python, file by file.
+
+    With ``errors`` a file whose chunks cannot be made does not fail the others: it comes as one
+    row without a snippet, whose ``error`` (null for chunks) says why.
+    """
     opts, routing = opts or Options(), routing or Routing()
     rows = files.select(F.col(path_col).alias("relative_path"), normal_text(F.col(text_col)).alias("content"))
     by_python = [e for e in (*PROSE, ".dcs", *LANGUAGES) if route_of(e, routing) != "line_window"]
@@ -98,14 +102,23 @@ def chunk_files(files: DataFrame, opts: Options | None = None, routing: Routing
             out = []
             for path, text in zip(batch["relative_path"], batch["content"], strict=True):
                 ext = path[path.rfind(".") :]
-                for k, c in enumerate(chunk_text(path, text or "", route_of(ext, routing), opts), 1):
-                    d = asdict(c)
-                    out.append((path.replace("\\", "/"), k, d["start_line"], d["end_line"], d["start_byte"], d["end_byte"], d["kind"], d["snippet"], d["symbol"], d["symbol_kind"], d["scope"], d["strategy"]))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _SCHEMA.split(", ")])
-
-    made = rows.where(special).mapInPandas(run, _SCHEMA) if by_python else None
+                name = path.replace("\\", "/")
+                try:
+                    chunks = [asdict(c) for c in chunk_text(path, text or "", route_of(ext, routing), opts)]
+                except Exception as e:
+                    if not errors:
+                        raise
+                    out.append((name, 0, *[None] * 10, f"{type(e).__name__}: {e}"))
+                    continue
+                for k, d in enumerate(chunks, 1):
+                    out.append((name, k, d["start_line"], d["end_line"], d["start_byte"], d["end_byte"], d["kind"], d["snippet"], d["symbol"], d["symbol_kind"], d["scope"], d["strategy"], None))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({x.split()[0]: "Int64" for x in schema.split(", ") if x.endswith((" long", " int"))})
+
+    schema = f"{_SCHEMA}, error string"
+    made = rows.where(special).mapInPandas(run, schema) if by_python else None
     windows = line_windows(rows.where(~special) if by_python else rows, window=opts.window_lines, overlap=opts.overlap_lines)
-    columns = ["doc_id", *(x.split()[0] for x in _SCHEMA.split(", ")), "name"]
+    columns = ["doc_id", *(x.split()[0] for x in _SCHEMA.split(", ")), "name", *(["error"] if errors else [])]
+    windows = windows.withColumn("error", F.lit(None).cast("string"))
     if made is None:
         return windows.select(*columns)
     made = made.withColumn("name", basename(F.col("relative_path")))

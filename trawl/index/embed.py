@@ -132,21 +132,53 @@ def pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / np.where(n > 0, n, 1)
 
 
-def with_embeddings(df: DataFrame, text_col: str, embedder: Embedder, batch: int = 32) -> DataFrame:
-    """``df`` with ``embedding`` array<float> of a text column, embedded in batches; the text column is dropped."""
+def with_embeddings(df: DataFrame, text_col: str, embedder: Embedder, batch: int = 32, error_col: str | None = None) -> DataFrame:
+    """``df`` with ``embedding`` array<float> of a text column, embedded in batches; the text column is dropped.
+
+    With ``error_col``, a string column of ``df``, rows that have an error already are passed by,
+    and one whose text cannot be embedded gets the message there and no vector; the texts of a
+    batch that fails are tried one by one.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kept = [c for c in df.columns if c != text_col]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("embedding", T.ArrayType(T.FloatType()))])
     arrow = to_arrow_schema(schema)
 
+    def embed(texts: list[str]) -> list[list[float]]:
+        vectors = embedder.embed(texts)
+        if any(len(v) != embedder.dims for v in vectors):
+            raise ValueError("a vector of other length than the collection's")
+        return vectors
+
+    def each(texts: list[str], errors: list[str | None]) -> list[list[float] | None]:
+        todo = [i for i, e in enumerate(errors) if e is None]
+        out: list[list[float] | None] = [None] * len(texts)
+        try:
+            found = embed([texts[i] for i in todo]) if todo else []
+        except Exception as e:
+            if len(todo) == 1:
+                errors[todo[0]] = f"{type(e).__name__}: {e}"
+                return out
+            for i in todo:
+                one = errors[i : i + 1]
+                out[i], errors[i] = each(texts[i : i + 1], one)[0], one[0]
+            return out
+        for i, v in zip(todo, found, strict=True):
+            out[i] = v
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                vectors = embedder.embed(part.column(text_col).to_pylist())
-                if any(len(v) != embedder.dims for v in vectors):
-                    raise ValueError("a vector of other length than the collection's")
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(vectors, pa.list_(pa.float32()))], schema=arrow)
+                columns, texts = {c: part.column(c) for c in kept}, part.column(text_col).to_pylist()
+                if error_col is None:
+                    vectors = embed(texts)
+                else:
+                    errors = columns[error_col].to_pylist()
+                    vectors = each(texts, errors)
+                    columns[error_col] = pa.array(errors, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(vectors, pa.list_(pa.float32()))], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -43,14 +43,29 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         """Whole or not at all: a new file that takes the old one's place."""
-        s = self.fs.create(self._path(path + ".new"), True)
-        s.write(bytearray(text.encode()))
-        s.close()
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri() if self.root.startswith(("file:", "hdfs:", "s3")) else jvm.java.io.File(self.root).toURI())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(context.makeQualified(self._path(path + ".new")), context.makeQualified(self._path(path)), options)
+        self.put(path + ".new", text)
+        self._rename(path + ".new", path, "OVERWRITE")
+
+    def publish(self, path: str, text: str) -> bool:
+        """Writes a file that nobody has written yet, whole; false if somebody has."""
+        own = f"{path}.{uuid.uuid4().hex}"
+        self.put(own, text)
+        try:
+            self._rename(own, path, "NONE")
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self.delete(own)
+            return False
+        return True
+
+    def _rename(self, path: str, to: str, how: str) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        where = self.fs.makeQualified(self._path("")).toUri()  # the file system that all other calls go to
+        context = hadoop.FileContext.getFileContext(where, self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = getattr(hadoop.Options.Rename, how)
+        context.rename(self.fs.makeQualified(self._path(path)), self.fs.makeQualified(self._path(to)), options)
 
     def claim(self, path: str) -> bool:
         """Creates an empty file; false if there is one."""
@@ -86,24 +101,29 @@ class Files:
     def sizes(self, path: str) -> list[int]:
         return [s.getLen() for s in self.fs.listStatus(self._path(path)) if s.getPath().getName().startswith("part-")] if self.exists(path) else []
 
-    def names(self) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self._path(""))]
+    def names(self, path: str = "") -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(path))] if self.exists(path) else []
 
+    def below(self, path: str) -> dict[str, int]:
+        """Sizes of the data files below a folder, by their path from the root."""
+        out, base = {}, self.fs.makeQualified(self._path("")).toString().rstrip("/") + "/"
+        found = self.fs.listFiles(self._path(path), True) if self.exists(path) else None
+        while found is not None and found.hasNext():
+            s = found.next()
+            if s.getPath().getName().startswith("part-"):
+                out[s.getPath().toString().removeprefix(base)] = s.getLen()
+        return out
 
-class Store:
-    """A table of one schema under a folder: ``v=<n>`` folders of Parquet and ``CURRENT`` with the one that counts."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str) -> None:
-        self.spark, self.schema, self.key, self.files = spark, schema, key, Files(spark, root)
+class LostLock(Exception):
+    """Another writer took the lock over, so what this one does must not count any more."""
 
-    def version(self) -> int:
-        return int(self.files.read("CURRENT") or 0)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.version() if version is None else version
-        if not v:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.files.root}/v={v}")
+class Locked:
+    """A folder with one writer at a time."""
+
+    files: Files
+    owner = ""
 
     @contextmanager
     def lock(self, stale: float = STALE):  # noqa: ANN201
@@ -112,10 +132,10 @@ class Store:
         if not self.files.claim("LOCK") and not self._take_over(stale, me):
             raise RuntimeError("another writer holds the index")
         self.files.put("LOCK", me)
-        done = threading.Event()
+        self.owner, done = me, threading.Event()
 
         def hold() -> None:
-            while not done.wait(stale / 10):
+            while not done.wait(stale / 10) and self.files.read("LOCK") == me:
                 self.files.put("LOCK", me)
 
         holder = threading.Thread(target=hold, daemon=True)
@@ -125,9 +145,15 @@ class Store:
         finally:
             done.set()
             holder.join()
+            self.owner = ""
             if self.files.read("LOCK") == me:
                 self.files.delete("LOCK")
 
+    def owned(self) -> None:
+        """Raises if the lock that this writer took is another's by now."""
+        if self.owner and self.files.read("LOCK") != self.owner:
+            raise LostLock("another writer has taken the index over")
+
     def _take_over(self, stale: float, me: str) -> bool:
         """Moves a dead writer's lock away, which only one can do, and claims a new one."""
         seen = self.files.read("LOCK")
@@ -140,6 +166,22 @@ class Store:
             self.files.delete(f"LOCK.{me}")
         return self.files.claim("LOCK")
 
+
+class Store(Locked):
+    """A table of one schema under a folder: ``v=<n>`` folders of Parquet and ``CURRENT`` with the one that counts."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str) -> None:
+        self.spark, self.schema, self.key, self.files = spark, schema, key, Files(spark, root)
+
+    def version(self) -> int:
+        return int(self.files.read("CURRENT") or 0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        v = self.version() if version is None else version
+        if not v:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.files.root}/v={v}")
+
     def stage(self, df: DataFrame) -> int:
         """Writes a version without making it count."""
         taken = [int(n[2:]) for n in self.files.names() if n.startswith("v=")]
@@ -150,6 +192,7 @@ class Store:
     def promote(self, version: int, keep_old: int = 1) -> None:
         """Makes a version count, in one rename; versions before the last ``keep_old`` go."""
         before = self.version()
+        self.owned()
         self.files.write("CURRENT", str(version))
         for n in self.files.names():
             if n.startswith("v=") and int(n[2:]) != version and int(n[2:]) <= before - keep_old:

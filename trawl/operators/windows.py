@@ -57,8 +57,12 @@ def longest_line(text):  # noqa: ANN001, ANN201
     return F.array_max(F.transform(F.split(text, "\n", -1), lambda x: F.octet_length(x)))
 
 
+def rejection(max_file_bytes: int = 2 << 20, max_line_bytes: int = 1 << 20, text_col: str = "content"):  # noqa: ANN201
+    """Why a file is not indexed, by the size of file and line; null if it is."""
+    return F.when(F.octet_length(text_col) > max_file_bytes, "file too large for indexing").when(longest_line(F.col(text_col)) > max_line_bytes, "line too long for indexing")
+
+
 def acceptable(files: DataFrame, max_file_bytes: int = 2 << 20, max_line_bytes: int = 1 << 20, text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with a reason) by size of file and line."""
-    reason = F.when(F.octet_length(text_col) > max_file_bytes, "file too large for indexing").when(longest_line(F.col(text_col)) > max_line_bytes, "line too long for indexing")
-    marked = files.withColumn("reason", reason)
+    marked = files.withColumn("reason", rejection(max_file_bytes, max_line_bytes, text_col))
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")

@@ -56,17 +56,18 @@ def workspace_files(spark: SparkSession, root: str, extensions: list[str] | None
 
 
 class Journal:
-    """Ids that are to be deleted, one a JSON line, for a run that was cut short."""
+    """What is going to be deleted, one list a JSON line, written before anything is, so that a run that was cut short is finished by the next."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, column: str = "doc_id") -> None:
+        self.spark, self.path, self.column = spark, path, column
 
     def append(self, ids: DataFrame) -> None:
-        ids.select(F.array("doc_id").alias("doc_ids")).write.mode("append").json(self.path)
+        ids.select(F.array(self.column).alias(f"{self.column}s")).write.mode("append").json(self.path)
 
     def pending(self) -> DataFrame:
         """All ids of the journal; a broken line is an error."""
-        return self.spark.read.schema("doc_ids array<string>").option("mode", "FAILFAST").json(self.path).select(F.explode("doc_ids").alias("doc_id"))
+        found = self.spark.read.schema(f"{self.column}s array<string>").option("mode", "FAILFAST").json(self.path)
+        return found.select(F.explode(f"{self.column}s").alias(self.column))
 
     def clear(self) -> None:
         from trawl.index.snapshot import Files
