@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from trawl.plans import stored  # noqa: F401  registers its queries
 from trawl.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -201,7 +201,8 @@ class Engine:
         t.insert("chunks", rows)
         ids = stats.ids_in_order(rows.select("relative_path", "chunk_index", "doc_id"))
         stat = status.where("status IN ('new', 'changed')").select("relative_path", "mtime_ns", "size", "content_hash").join(bad, "relative_path", "left_anti")
-        t.insert("manifest", stat.join(ids, "relative_path").select(*MANIFEST.fieldNames()))
+        listed = stat.join(ids, "relative_path", "left").withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "doc_ids": F.coalesce("doc_ids", F.array().cast("array<string>"))})
+        t.insert("manifest", listed.select(*MANIFEST.fieldNames()))  # files without chunks, too: they are not new next time
         now = datetime.now(UTC).isoformat()
         meta = vars(self.identity) | {"format": FORMAT, "created_at": (meta or {}).get("created_at", now), "updated_at": now, "version": t.seq}
         write_json(self.files, "META.json", meta)
