@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from trawl.index import inverted
 from trawl.index.log import Kind, Log
+from trawl.operators.split_windows import split_line_windows
 from trawl.plans.catalog import SQL, query
 from trawl.plans.scratch import scratch
 from trawl.plans.workspace import FILES_SQL, files, table
@@ -50,6 +51,16 @@ def index_recall(spark, sf_dir):
     return truth.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found")).withColumns({"probes": F.lit(probes), "share_read": F.lit(share)})
 
 
+@query("c3_split_windows", SQL["c2_line_windows"])
+def split_windows(spark, sf_dir):
+    """Line windows of all documents, which come in pieces of 997 bytes, cut wherever that falls."""
+    d = files(spark, sf_dir).select("relative_path", F.col("content").cast("binary").alias("content"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length("content") - 1), F.lit(997))
+    pieces = d.select("relative_path", F.posexplode(F.transform(starts, lambda k: F.substring("content", k + 1, F.lit(997)))).alias("piece", "content"))
+    found = split_line_windows(pieces, window=12, overlap=4)
+    return found.select("relative_path", "chunk_index", "start_line", "end_line", "start_byte", "end_byte", F.sha2("snippet", 256).alias("snippet_hash"))
+
+
 @query("w6_row_deltas", f"WITH {FILES_SQL} SELECT relative_path, doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(content || '!') ELSE content_hash END AS content_hash FROM files WHERE doc_id % 7 <> 0")
 def row_deltas(spark, sf_dir):
     """Documents as rows of a log: two thirds are stored, a fifth changed, the rest added, a seventh deleted, files packed in between."""

@@ -21,35 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from trawl.sources.walk import file_system, walk
+
 NAME = "trawl_notify"
 EVENT = "relative_path string, event string, mtime_ns long, size long, ts timestamp"
 LISTING = pa.schema([("relative_path", pa.string()), ("mtime_ns", pa.int64()), ("size", pa.int64())])
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """Of a path or an address."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def listing(root: str, skipped: frozenset[str] = frozenset(), extensions: tuple[str, ...] = ()) -> tuple[pa.Table, list[str]]:
-    """The files below ``root``, by path, and folders that could not be read; skipped folders are not gone into."""
-    store, base = file_system(root)
-    rows, unreadable, todo = [], [], [base.rstrip("/")]
-    while todo:
-        folder = todo.pop()
-        try:
-            found = store.get_file_info(fs.FileSelector(folder))
-        except (OSError, PermissionError):
-            unreadable.append(folder[len(base.rstrip("/")) + 1 :])
-            continue
-        for f in found:
-            if f.type == fs.FileType.Directory:
-                if f.base_name not in skipped:
-                    todo.append(f.path)
-            elif f.type == fs.FileType.File and (not extensions or f.base_name.lower().endswith(extensions)):
-                rows.append((f.path[len(base.rstrip("/")) + 1 :], f.mtime_ns, f.size))
-    rows.sort()
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), LISTING.types, strict=True)], schema=LISTING), sorted(unreadable)
+    """The files below ``root``, by path, and what could not be read; skipped folders are not gone into."""
+    found = sorted(walk(root, [""], skipped, extensions), key=lambda r: r[0])
+    rows = [r[:3] for r in found if r[3] is None]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), LISTING.types, strict=True)], schema=LISTING), [r[0] for r in found if r[3] is not None]
 
 
 def changes(before: pa.Table, now: pa.Table) -> Iterator[tuple[str, str, int | None, int | None]]:

@@ -120,7 +120,7 @@ class WorkspaceWatch:
 
     def __init__(self, spark: SparkSession, root: str, folder: str, reindex: Callable[[], object], extensions: list[str], skipped: list[str], quiet_s: float = 2.0, every: str = "1 second") -> None:
         self.spark, self.reindex, self.counters = spark, reindex, Counters()
-        events = notified(spark, root, f"{folder}/listings", skipped=skipped, extensions=extensions)
+        events = notified(spark, root, f"{folder}/listings", skipped=skipped)
         runs = quiet_runs(events.where(is_watched(F.col("relative_path"), extensions, skipped)), quiet_s)
         self.listener = Listener(self.counters)
         spark.streams.addListener(self.listener)
