@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.shared import release, table
+from trawl.llm.shared import release, short_plans, table, tidy
 from trawl.llm.vocab import merge_by_rank, read_ranks, split_pattern, splitter, vocabulary_path
 from trawl.llm.word_chunks import Step, by_chunk, check_numbers, distinct_words, sender, split_words
 
@@ -174,6 +174,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids. A null text counts as empty; null and repeated ids keep their rows; other columns
     are not read; an empty table gives an empty result.
     """
+    short_plans(docs.sparkSession)
+    tidy(docs.sparkSession)
     ranks = read_ranks(vocabulary or vocabulary_path("byte_bpe_50k.tiktoken"))
     id_type = docs.schema[id_col].dataType
     public, pattern = pattern is None, pattern or split_pattern()

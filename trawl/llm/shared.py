@@ -67,6 +67,25 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
 
 
+#: Characters of a plan's text that Spark keeps for each query: plans with a vocabulary in them have over a million.
+PLAN_KEY, PLAN_CHARACTERS = "spark.sql.maxPlanStringLength", 100_000
+
+
+def short_plans(spark: SparkSession) -> None:
+    """Bounded texts of plans, unless the session says how long they may be."""
+    if spark.conf.get(PLAN_KEY, None) in (None, str((1 << 31) - 16)):
+        spark.conf.set(PLAN_KEY, PLAN_CHARACTERS)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage where its heap has grown over half of what it may have: plans and results of
+    steps that are over, and only then Spark removes their shuffle files and broadcasts."""
+    jvm = spark.sparkContext._jvm
+    memory = jvm.java.lang.Runtime.getRuntime()
+    if 2 * memory.totalMemory() > memory.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which also cuts its lineage.
 
@@ -79,6 +98,7 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", share: int = 1) ->
     if share > 1:
         df = df.coalesce(max(1, width(spark) // share))
     df.write.option("compression", codec).parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
