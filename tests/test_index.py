@@ -10,7 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import types as T
 
 from trawl.index.catalog import Catalog
-from trawl.index.embed import ConstantEmbedder, HashEmbedder, HttpEmbedder, pooled
+from trawl.index.embed import ConstantEmbedder, HashEmbedder, HttpEmbedder, embedder_of, pooled
 from trawl.index.engine import Engine, IdentityMismatch
 from trawl.index.snapshot import Store, read_json, write_json
 from trawl.sources.config import Settings, load, merged, parse_dotenv
@@ -183,6 +183,32 @@ def test_catalog_closes_idle_workspaces_oldest_first():
     assert set(c.engines) == {"b", "c"}
 
 
+def test_catalog_takes_over_what_differs():
+    c, opened = Catalog(lambda w: w, most=9), []
+    open_ = lambda w, spec: opened.append(w) or f"{w}{spec}"
+    assert c.apply({"a": 1, "b": 1}, open_) == {"added": ["a", "b"], "changed": [], "removed": []}
+    assert c.apply({"a": 1, "b": 2, "c": 1}, open_) == {"added": ["c"], "changed": ["b"], "removed": []}
+    assert opened == ["a", "b", "c", "b"] and c.engines == {"a": "a1", "b": "b2", "c": "c1"}
+    with c.borrow("c"), pytest.raises(RuntimeError):
+        c.apply({"a": 2}, open_)
+    with pytest.raises(ZeroDivisionError):
+        c.apply({"a": 2}, lambda w, spec: 1 / 0)
+    assert c.engines == {"a": "a1", "b": "b2", "c": "c1"}
+    assert c.apply({"a": 1}, open_)["removed"] == ["b", "c"] and list(c.engines) == ["a"]
+
+
+def test_settings_reach_the_engine(spark, tmp_path):
+    s = load("dims: 16\nstrategy: prose\nmin_chunk_tokens: 7", environment={"TRAWL_PROVIDER": "constant"}, dotenv="TRAWL_DIMS=8\nTRAWL_PROVIDER=hash")
+    engine = Engine.of_settings(spark, str(tmp_path), "w", s)
+    assert isinstance(engine.embedder, ConstantEmbedder) and engine.embedder.dims == 8 and engine.routing.strategy == "prose" and engine.opts.min_tokens == 7
+    http = embedder_of(load("provider: http\nmodel: m\nembed_url: http://x/", environment={}), {"TRAWL_EMBED_KEY": "k"})
+    assert (http.url, http.model, http.key) == ("http://x", "m", "k")
+    assert embedder_of(load("provider: onnx\nmodel: a\ntokenizer: b", environment={})).model_path == "a"
+    for bad in ("provider: http", "provider: onnx", "provider: none"):
+        with pytest.raises(ValueError):
+            embedder_of(load(bad, environment={}))
+
+
 def test_http_embedder():
     seen = []
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from contextlib import contextmanager
 
 from trawl.index.engine import Engine
@@ -15,6 +15,7 @@ class Catalog:
         self.engines: dict[str, Engine] = {}
         self._refs: dict[str, int] = {}
         self._used: dict[str, float] = {}
+        self._specs: dict[str, object] = {}
 
     @contextmanager
     def borrow(self, workspace_id: str):  # noqa: ANN201
@@ -44,3 +45,22 @@ class Catalog:
             raise RuntimeError(f"in use: {busy}")
         now = self._clock()
         self.engines, self._refs, self._used = fresh, dict.fromkeys(fresh, 0), dict.fromkeys(fresh, now)
+
+    def apply(self, specs: Mapping[str, object], opened: Callable[[str, object], Engine]) -> dict[str, list[str]]:
+        """Brings the engines in step with what workspaces are asked for: those whose spec is new or another are opened, those that
+        are not asked for any more are closed, the others stay open. All or nothing; what is to be closed or replaced must be idle.
+        Returns the names that were added, changed and removed."""
+        added = sorted(w for w in specs if w not in self._specs)
+        changed = sorted(w for w in specs if w in self._specs and self._specs[w] != specs[w])
+        removed = sorted(w for w in self._specs if w not in specs)
+        busy = [w for w in (*changed, *removed) if self._refs.get(w)]
+        if busy:
+            raise RuntimeError(f"in use: {busy}")
+        fresh = {w: opened(w, specs[w]) for w in (*added, *changed)}
+        for w in removed:
+            self.close(w)
+        now = self._clock()
+        for w, engine in fresh.items():
+            self.engines[w], self._refs[w], self._used[w] = engine, self._refs.get(w, 0), now
+        self._specs = dict(specs)
+        return {"added": added, "changed": changed, "removed": removed}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from trawl.functions.versions import RETRYABLE, retry_delay
+from trawl.sources.config import Settings
 
 
 class Embedder(Protocol):
@@ -124,6 +126,24 @@ class OnnxEmbedder:
         return pooled(hidden, mask).tolist()
 
 
+def embedder_of(s: Settings, environment: Mapping[str, str] | None = None) -> Embedder:
+    """The embedder that settings name: hash, constant, http (its key from the environment variable they name) or onnx."""
+    env = os.environ if environment is None else environment
+    if s.provider == "hash":
+        return HashEmbedder(s.dims)
+    if s.provider == "constant":
+        return ConstantEmbedder(s.dims)
+    if s.provider == "http":
+        if not s.embed_url or not s.model:
+            raise ValueError("provider http needs embed_url and model")
+        return HttpEmbedder(s.embed_url, s.model, s.dims, env.get(s.embed_key_env, ""))
+    if s.provider == "onnx":
+        if not s.model or not s.tokenizer:
+            raise ValueError("provider onnx needs model and tokenizer")
+        return OnnxEmbedder(s.model, s.tokenizer, s.dims)
+    raise ValueError(f"unknown provider: {s.provider}")
+
+
 def pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Means of the unmasked tokens' vectors, scaled to length 1 unless zero."""
     m = mask[:, :, None].astype(np.float64)

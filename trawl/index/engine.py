@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -20,12 +20,13 @@ from trawl.functions import vectors
 from trawl.functions.paths import matches_glob
 from trawl.functions.text import embed_text, error_class
 from trawl.index import inverted
-from trawl.index.embed import Embedder, with_embeddings
+from trawl.index.embed import Embedder, embedder_of, with_embeddings
 from trawl.index.log import Kind, Log, State, Transaction, View, reached
 from trawl.index.requests import Progress
 from trawl.index.snapshot import STALE, read_json, write_json
 from trawl.operators import changes, rerank, stats
 from trawl.operators.windows import rejection
+from trawl.sources.config import Settings
 from trawl.sources.files import Journal
 
 _s, _l, _i = T.StringType(), T.LongType(), T.IntegerType()
@@ -103,6 +104,12 @@ class Engine:
         self.files, self.latency, self.rejected = self.log.files, [], None
         self.read_files: tuple[int, int] = (0, 0)
 
+    @classmethod
+    def of_settings(cls, spark: SparkSession, root: str, workspace_id: str, s: Settings, environment: Mapping[str, str] | None = None) -> Engine:
+        """An engine as settings say: the embedder, chunking, routing."""
+        opts = Options(embed_ratio=s.embed_ratio, overlap_ratio=s.prose_overlap, prefix=s.context_prefix, min_tokens=s.min_chunk_tokens, window_lines=s.window_lines, overlap_lines=s.overlap_lines)
+        return cls(spark, root, workspace_id, embedder_of(s, environment), opts, Routing(strategy=s.strategy))
+
     def _meta(self) -> dict | None:
         """The meta data of what counts: they are written before the commit, so those of a run that died are passed over."""
         meta, now = read_json(self.files, "META.json"), self.log.version()
@@ -150,9 +157,8 @@ class Engine:
         for journal in journals:  # what an earlier run had begun to delete is not known any more
             known = known.join(journal.pending(), "relative_path", "left_anti")
         stat = files.select("relative_path", "mtime_ns", "size", "content_hash", rejection().alias("reason")).cache()
+        status = changes.incremental_diff(stat.where("reason IS NULL"), known).join(stat, "relative_path", "left").cache()
         try:
-            status = changes.incremental_diff(stat.where("reason IS NULL"), known)
-            status = status.join(stat, "relative_path", "left").cache()
             counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
             report = {s: counts.get(s, 0) for s in ("new", "changed", "unchanged", "removed")}
             progress.files_total, progress.files_done = sum(report.values()), report["unchanged"]
@@ -161,8 +167,8 @@ class Engine:
             if written:
                 self._write(t, files, status, journals, meta, progress)
             self._reject(stat.where("reason IS NOT NULL").select("relative_path", "reason"), t.id if written else "")
-            status.unpersist()
         finally:
+            status.unpersist()
             stat.unpersist()
         if not written:
             return report | {"written": False}

@@ -415,9 +415,11 @@ def collection_ids(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(name.alias("name")).select("name", text.valid_collection_id(F.col("name")).alias("valid"))
 
 
-@query("x26_cloud_paths", "SELECT doc_id, doc_id % 3 = 0 AS synced FROM documents")
+@query("x26_cloud_paths", r"SELECT doc_id, regexp_matches('/' || regexp_replace(lower('/home/me/' || CASE doc_id % 3 WHEN 0 THEN 'One Drive - Home' WHEN 1 THEN 'my-dropbox-archive' ELSE 'work' END || '/' || replace(coalesce(text, ''), chr(10), '/')), '[ ._\-\t]', '', 'g'), '/(gdrive|googledrive|yandexdisk|onedrive|dropbox|icloud)') AS synced FROM documents")
 def cloud_paths(spark, sf_dir):
-    path = F.concat(F.lit("/home/me/"), F.get(F.array(F.lit("One Drive - Home"), F.lit("my-dropbox-archive"), F.lit("work")), F.pmod("doc_id", F.lit(3)).cast("int")), F.lit("/"), "source")
+    """Paths of a planted folder and all lines of a text as folders."""
+    folder = F.get(F.array(F.lit("One Drive - Home"), F.lit("my-dropbox-archive"), F.lit("work")), F.pmod("doc_id", F.lit(3)).cast("int"))
+    path = F.concat(F.lit("/home/me/"), folder, F.lit("/"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("/")))
     return table(spark, sf_dir, "documents").select("doc_id", paths.in_cloud_folder(path).alias("synced"))
 
 
@@ -488,7 +490,7 @@ def syntax(spark, sf_dir):
 def query_blocks(spark, sf_dir):
     from trawl.chunkers.router import chunk_files
 
-    block = F.concat(F.lit("<schema>\n<query>\nSELECT "), F.col("source"), F.lit(", x FROM t;\nSELECT 'a;b' FROM u</query>\n<name>"), F.col("lang"), F.lit("</name>\n</schema>\n"))
+    block = F.concat(F.lit("<schema>\n<query>\nSELECT "), F.col("source"), F.lit(", x FROM t;\nSELECT 'a;b' FROM u</query>\n<name>"), F.col("lang"), F.lit("</name>\n</schema>\n"), F.coalesce("text", F.lit("")))
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("s/"), F.col("doc_id").cast("string"), F.lit(".dcs")).alias("relative_path"), block.alias("content"))
     return chunk_files(rows).select(*_CHUNK_COLUMNS)
 
@@ -562,10 +564,13 @@ def journal_union(spark, sf_dir):
     return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x17_fences", r"SELECT doc_id, regexp_matches(line, '^\s*(`{3,}|~{3,})') AS opens, contains(trim(line), '|') AND (starts_with(trim(line), '|') OR ends_with(trim(line), '|')) AS is_table FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  ```py' WHEN 1 THEN '~~' WHEN 2 THEN '| ' || source || ' |' WHEN 3 THEN source || ' | x' ELSE '~~~~' END AS line FROM documents)")
+@query("x17_fences", rf"SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '^\s*(`{{3,}}|~{{3,}})')) AS opens, count(*) FILTER (starts_with(t, '|') OR ends_with(t, '|')) AS tables FROM (SELECT doc_id, line, {_TRIM.format('line')} AS t FROM (SELECT doc_id, unnest(string_split(CASE doc_id % 5 WHEN 0 THEN '  ```py' WHEN 1 THEN '~~' WHEN 2 THEN '| ' || source || ' |' WHEN 3 THEN source || ' | x' ELSE '~~~~' END || chr(10) || coalesce(text, ''), chr(10))) AS line FROM documents)) GROUP BY doc_id")
 def fences(spark, sf_dir):
-    line = F.get(F.array(F.lit("  ```py"), F.lit("~~"), F.concat(F.lit("| "), "source", F.lit(" |")), F.concat("source", F.lit(" | x")), F.lit("~~~~")), F.pmod("doc_id", F.lit(5)).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.opens_fence(line).alias("opens"), text.is_table_row(line).alias("is_table"))
+    """Lines, fences and table rows of all texts, each behind a planted line."""
+    first = F.get(F.array(F.lit("  ```py"), F.lit("~~"), F.concat(F.lit("| "), "source", F.lit(" |")), F.concat("source", F.lit(" | x")), F.lit("~~~~")), F.pmod("doc_id", F.lit(5)).cast("int"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.concat(first, F.lit("\n"), F.coalesce("text", F.lit(""))), "\n", -1)).alias("line"))
+    found = lines.select("doc_id", text.opens_fence(F.col("line")).alias("opens"), text.is_table_row(F.col("line")).alias("is_table"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("opens").alias("opens"), F.count_if("is_table").alias("tables"))
 
 
 @query("x18_query_text", r"WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(10) || '  select ' || source || ', b from t ' WHEN 1 THEN 'selected x ' WHEN 2 THEN 'ВЫБРАТЬ Поле ИЗ Т ' ELSE '' END || coalesce(text, '') AS given FROM documents), f AS (SELECT doc_id, regexp_matches(given, '^\s*((?i:select)|ВЫБРАТЬ)(\s|$)') AS is_query, string_split_regex(regexp_extract(given, '^\s*(\S[^\n]*)', 1), '[\s,]+') AS fields FROM t) SELECT doc_id, is_query, CASE WHEN is_query AND len(fields) > 1 THEN fields[2] ELSE '' END AS name FROM f")

@@ -25,6 +25,12 @@ class Settings:
     stats_window: int = 20
     slow_seconds: float = 5.0
     slow_ratio: float = 2.0
+    provider: str = "hash"
+    dims: int = 64
+    model: str = ""
+    tokenizer: str = ""
+    embed_url: str = ""
+    embed_key_env: str = "TRAWL_EMBED_KEY"
 
 
 #: What a project may set.
@@ -67,8 +73,8 @@ def parse_dotenv(text: str) -> dict[str, str]:
     return out
 
 
-def load(text: str = "", project: str = "", environment: Mapping[str, str] | None = None) -> Settings:
-    """Settings from YAML texts; YAML needs its library."""
+def load(text: str = "", project: str = "", environment: Mapping[str, str] | None = None, dotenv: str = "") -> Settings:
+    """Settings from YAML texts, the environment, and the text of a file of variables, which the environment overrides; YAML needs its library."""
     def mapping(t: str) -> dict:
         if not t.strip():
             return {}
@@ -76,4 +82,5 @@ def load(text: str = "", project: str = "", environment: Mapping[str, str] | Non
 
         return yaml.safe_load(t) or {}
 
-    return merged(from_environment(merged(Settings(), mapping(text)), environment), mapping(project), PROJECT_KEYS)
+    env = parse_dotenv(dotenv) | dict(os.environ if environment is None else environment)
+    return merged(from_environment(merged(Settings(), mapping(text)), env), mapping(project), PROJECT_KEYS)
