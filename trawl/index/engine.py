@@ -237,6 +237,9 @@ class Engine:
     def _reject(self, rows: DataFrame, run: str) -> None:
         """The rejected files of this run, in a table that takes the place of the last one's."""
         before = set(self.files.names("rejected"))
+        if not run and not before and rows.isEmpty():  # nothing to write, nothing to take the place of
+            self.rejected = self.spark.createDataFrame([], "relative_path string, reason string")
+            return
         path = f"{self.base}/rejected/{run or 'sizes'}"
         rows.write.mode("append" if run else "overwrite").parquet(path)
         for name in before - {run or "sizes"}:

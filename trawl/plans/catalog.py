@@ -511,10 +511,10 @@ def search(spark, sf_dir):
 
     embedder = HashEmbedder(64)
     asked = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
-    made = chunk_files(files(spark, sf_dir))
+    made = chunk_files(files(spark, sf_dir).where(paths.matches_glob(F.col("relative_path"), "**/*.md")))
     given = made.withColumn("embed_text", text.embed_text(F.col("relative_path"), F.col("parent_scope"), F.col("snippet")))
     found = with_embeddings(given, "embed_text", embedder).withColumnRenamed("relative_path", "path")
-    near = vectors.nearest(found, embedder.embed([asked])[0], rerank.over_fetch(20), "embedding", "doc_id", paths.matches_glob(F.col("path"), "**/*.md"))
+    near = vectors.nearest(found, embedder.embed([asked])[0], rerank.over_fetch(20), "embedding", "doc_id")
     return rerank.rerank(near.drop("embedding"), asked, 20).select("doc_id", "path", "start_line", "end_line", "score", "adjusted")
 
 
