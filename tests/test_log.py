@@ -284,6 +284,9 @@ def test_the_index_follows_the_collection(spark, tmp_path):
     found = engine._near(engine.log.state(), vector, 40, F.lit(True), True)
     assert sorted(r["doc_id"] for r in found.collect()) == sorted(r["doc_id"] for r in vectors.nearest(engine.chunks.read(), vector, 40, "embedding", "doc_id").collect())
     assert any("submarine" in r["snippet"] for r in found.collect()) or engine.chunks.read().where("relative_path = 'd9/new.md' AND cell IS NOT NULL").count() == 1
+    engine.reindex(corpus(spark, dict(list(changed.items())[4:]) | {"rule.md": "# ---\n\n*** --- ***\n"}))
+    engine.reindex(corpus(spark, dict(list(changed.items())[6:])))  # nothing but removals
+    assert engine.search("*** lemon", 3).count() == 3
     in_cells = engine.log.read("cells").select("doc_id")
     assert there(in_cells) == there(engine.chunks.read().where("embedding IS NOT NULL").select("doc_id")) and engine.verified()
     assert engine.log.pack() and there(engine.log.read("cells").select("doc_id")) == there(in_cells)
@@ -311,6 +314,11 @@ def test_awkward_vectors(spark):
     assert inverted.search(rows, asked.limit(0), cells, 3).collect() == []
 
 
+def test_vectors_without_a_direction_are_no_neighbours(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in vectors.nearest(df, [1.0, 0.1], 9).collect()] == [3, 4]
+
+
 def test_codes_are_near_what_they_stand_for(spark):
     x = np.random.default_rng(2).standard_normal((50, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")

@@ -39,14 +39,15 @@ def nearest(df: DataFrame, query: list[float], k: int, vector_col: str = "embedd
     """The ``k`` rows nearest to ``query`` by cosine distance, ties by id; ``only`` is a filter below the top-k.
 
     A sort and limit that Spark runs as one top-k a partition and a merge of k rows each.
+    Vectors that are null or zero take no part.
     """
     k = k if k > 0 else 10
     rows = df if only is None else df.where(only)
     q = np.asarray(query, np.float64)
     length = float(np.linalg.norm(q))
     v = F.col(vector_col)
-    score = F.lit(1.0) - dot(v, literal_vector(q / length if length else q)) / F.sqrt(dot(v, v))
-    return rows.withColumn("score", score).orderBy("score", id_col).limit(k)
+    score = F.lit(1.0) - F.try_divide(dot(v, literal_vector(q / length if length else q)), F.sqrt(dot(v, v)))
+    return rows.withColumn("score", score).where("score IS NOT NULL").orderBy("score", id_col).limit(k)
 
 
 def _blocks(df: DataFrame, vector_col: str, id_col: str, prefix: str) -> DataFrame:

@@ -38,8 +38,9 @@ CELL = T.StructType([CHUNK["cell"], CHUNK["doc_id"], CHUNK["relative_path"], *in
 KINDS = {"chunks": Kind(CHUNK, "array(doc_id)"), "manifest": Kind(MANIFEST, "doc_ids"), "cells": Kind(CELL, "array(doc_id)", bucket="cell")}
 HIT = ["path", "start_line", "end_line", "chunk_type", "snippet", "symbol_name", "symbol_kind", "parent_scope", "chunk_strategy", "score"]
 FORMAT = 2
-#: Commits after which small files are packed, and rows that are taken as queries to see how many cells a search needs.
-WRITES, TUNED_ON = 256, 200
+#: Commits after which small files are packed, and after which files that nothing lists are deleted; rows that are taken as
+#: queries to see how many cells a search needs.
+WRITES, VACUUM, TUNED_ON = 256, 16, 200
 
 
 class IdentityMismatch(Exception):
@@ -203,7 +204,7 @@ class Engine:
             rows = rows.withColumn("cell", F.lit(None).cast("int"))
         else:
             rows = inverted.assigned(rows, "embedding", centroids)
-            t.radii = inverted.radii(self.spark.read.schema(CELL).parquet(*self._paths(t.insert("cells", rows))))
+            t.radii = inverted.radii(t.insert("cells", rows))
         t.insert("chunks", rows)
         ids = stats.ids_in_order(rows.select("relative_path", "chunk_index", "doc_id"))
         stat = status.where("status IN ('new', 'changed')").select("relative_path", "mtime_ns", "size", "content_hash").join(bad, "relative_path", "left_anti")
@@ -218,10 +219,6 @@ class Engine:
         _best_effort(own.clear)
         _best_effort(lambda: self.files.delete(staged.removeprefix(f"{self.base}/")))
 
-    @staticmethod
-    def _paths(df: DataFrame) -> list[str]:
-        return df.inputFiles()
-
     def _failed(self, t: Transaction, rows: DataFrame, progress: Progress) -> DataFrame:
         """(relative_path) of the files whose rows hold an error; raises if one of them is not a file's own."""
         errors = rows.where("error IS NOT NULL")
@@ -257,9 +254,11 @@ class Engine:
         return out
 
     def _upkeep(self) -> None:
-        if self.log.state().writes >= WRITES:
+        writes = self.log.state().writes
+        if writes >= WRITES:
             self.log.pack()
-        self.log.vacuum()
+        if writes >= WRITES or writes % VACUUM == 0:
+            self.log.vacuum()
 
     def desync(self) -> bool:
         """Whether the manifest names other chunks than the collection holds: by digests of both sets that every commit carries on."""
@@ -287,9 +286,8 @@ class Engine:
             name = f"data/{t.id}/centroids.json"
             write_json(self.files, name, {"centroids": centroids.tolist()})
             placed = inverted.assigned(rows.drop("cell"), "embedding", centroids)
-            t.replace("cells", placed)
+            fresh = t.replace("cells", placed)
             t.replace("chunks", placed)
-            fresh = self.spark.read.schema(CELL).parquet(*(f"{self.base}/{p}" for p in sorted(t.tables["cells"]["add"]))) if t.tables["cells"]["add"] else self.spark.createDataFrame([], CELL)
             t.radii, t.radii_anew = inverted.radii(fresh), True
             numbered = fresh.select("cell", "scale", "code", "embedding", F.xxhash64("doc_id").alias("number"))
             asked = numbered.orderBy("number").limit(TUNED_ON).select(F.col("number").alias("query_id"), "embedding")

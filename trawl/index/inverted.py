@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from trawl.functions.vectors import cosine_distance
 
-#: Rows that centroids are learnt on at most, centroids at most, and rounds of learning.
-SAMPLE, CELLS, ROUNDS = 65_536, 4_096, 10
+#: Rows that centroids are learnt on at most, and numbers in these; centroids at most, and rounds of learning.
+SAMPLE, NUMBERS, CELLS, ROUNDS = 65_536, 1 << 22, 4_096, 10
 #: Vectors of a packed block, and candidates by codes for each neighbour asked for.
 BLOCK, CANDIDATES = 256, 8
 #: Distances are compared to so many digits; radii and bounds get this much slack.
@@ -44,14 +44,14 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def learn(df: DataFrame, id_col: str, vector_col: str, dims: int, cells: int = 0) -> np.ndarray:
-    """Centroids of length 1 by spherical k-means on the ``SAMPLE`` rows whose ids have the least hashes.
+    """Centroids of length 1 by spherical k-means on the rows whose ids have the least hashes: ``SAMPLE`` at most, of ``NUMBERS`` components in all.
 
     ``cells`` defaults to the square root of the number of rows, ``CELLS`` at most. No rows with
     a direction give one centroid.
     """
     rows = df.where(F.size(vector_col) == dims)
     cells = min(CELLS, cells or round(rows.count() ** 0.5))
-    taken = rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector_col).collect()
+    taken = rows.orderBy(F.xxhash64(id_col), id_col).limit(max(1, min(SAMPLE, NUMBERS // dims))).select(vector_col).collect()
     x, sound = _unit(np.array([[0.0 if c is None else c for c in r[0]] for r in taken], np.float64).reshape(-1, dims))
     x = x[sound]
     if not len(x):

@@ -62,7 +62,7 @@ class State:
 
     def fold(self, c: dict) -> State:
         if c.get("wiped"):
-            self.tables, self.digests, self.radii = {}, {}, {}
+            self.tables, self.digests, self.radii, self.meta = {}, {}, {}, {}
         for name, change in c["tables"].items():
             files = self.tables.setdefault(name, {})
             for path in change["remove"]:
@@ -226,14 +226,14 @@ class Transaction:
         """All rows of all tables go."""
         self.wiped, self.base.tables, self.base.radii = True, {}, {}
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """A table's rows and dead paths go, others come."""
+    def replace(self, table: str, rows: DataFrame) -> DataFrame:
+        """A table's rows and dead paths go, others come; returns these as they were written."""
         for p, f in self.base.tables.get(table, {}).items():
             self.tables[table]["remove"].append(p)
             self.touched.add((table, f["bucket"]))
         held = self.base.digests.get(table, [0, 0])
         self._count(table, (held[0], held[1]), -1)
-        self.insert(table, rows)
+        return self.insert(table, rows)
 
     def _count(self, table: str, digest: tuple[int, int], sign: int) -> None:
         held = self.tables[table]["digest"]
