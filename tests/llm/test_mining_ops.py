@@ -313,3 +313,28 @@ def test_rebuilt_conversations(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = prefix_trie.prefix_trie(prefix_trie.rebuilt(turns), turns.select(F.col("conv_id").alias("conv")), "pos")
     assert by_text(map(tuple, found.collect())) == plain_trie(want)
+
+
+# ---- the columns of the TIFF query
+
+
+def test_tiff_query_digests_what_plain_python_does(spark):
+    """Sizes, hashes and features of the samples read back, from the texts alone."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op5_tiff"](spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    seen = {}
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        told = dict(x.split("=") for x in r["feature"].split(";"))
+        a = np.frombuffer(payload, np.uint8)
+        n = np.bincount(a, minlength=256)
+        share = n[n > 0] / len(a)
+        grid = a.reshape(int(told["rows"]), -1)
+        assert int(told["edges"]) == int((grid[:, 1:] != grid[:, :-1]).sum()) and int(told["top"]) == int(n.argmax()) and int(told["pages"]) >= 1
+        assert abs(float(told["mean"]) - a.mean()) < 1e-4 and abs(float(told["entropy"]) + float((share * np.log2(share)).sum())) < 1e-4
+        assert seen.setdefault(payload, (r["media_sha256"], r["media_bytes"], r["feature"])) == (r["media_sha256"], r["media_bytes"], r["feature"])
+    assert len({v[0] for v in seen.values()}) == len(seen)
