@@ -319,6 +319,26 @@ def test_vectors_without_a_direction_are_no_neighbours(spark):
     assert [r["vec_id"] for r in vectors.nearest(df, [1.0, 0.1], 9).collect()] == [3, 4]
 
 
+def test_parts_and_shares_are_bounded_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8))
+    x[100:250] = x[100]  # more than a part holds
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    centroids = inverted.learn(df, "vec_id", "embedding", 8, 12)
+    rows = inverted.assigned(df, "embedding", centroids)
+    cells, asked = inverted.Cells(centroids, inverted.radii(rows)), df.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    want = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in vectors.nearest_batch(df, asked, 6).collect())
+    for name, value in {"PART": 512, "MATRIX": 64, "FOUND": 50, "LEAST": 16}.items():
+        monkeypatch.setattr(inverted, name, value)
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in inverted.search(rows, asked, cells, 6, 2).collect()) == want
+    found = inverted.search(rows, asked, cells, 6, len(centroids), exact=False).collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in found} & {w[:2] for w in want}) >= 0.9 * len(want)
+    parts = inverted.Parts({0: 5, 1: 6, 3: 40, 4: 1}, 5, 10)
+    assert parts.count == 7 and [c.tolist() for c in parts.cells] == [[0], [1], [3], [3], [3], [3], [4]]
+    blocks = inverted._asked(asked, cells, inverted.Parts({c: 64 for c in range(len(centroids))}, len(centroids), 64), 2, len(centroids), "embedding", False).collect()
+    assert max(len(b["ids"]) // 8 for b in blocks) <= 64 // len(centroids)
+
+
 def test_codes_are_near_what_they_stand_for(spark):
     x = np.random.default_rng(2).standard_normal((50, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
