@@ -333,6 +333,14 @@ def test_parts_and_shares_are_bounded_and_change_nothing(spark, monkeypatch):
     assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in inverted.search(rows, asked, cells, 6, 2).collect()) == want
     found = inverted.search(rows, asked, cells, 6, len(centroids), exact=False).collect()
     assert len({(r["query_id"], r["vec_id"]) for r in found} & {w[:2] for w in want}) >= 0.9 * len(want)
+    searches = []
+    own = inverted.search
+    monkeypatch.setattr(inverted, "search", lambda *a, **k: searches.append(1) or own(*a, **k))
+    sample = asked.limit(20)
+    probes, recall = inverted.tuned(rows, sample, cells, 6, 0.9)
+    truth = {(r["query_id"], r["vec_id"]) for r in own(rows, sample, cells, 6).collect()}
+    again = {(r["query_id"], r["vec_id"]) for r in own(rows, sample, cells, 6, probes, False).collect()}
+    assert len(searches) == 2 and recall == len(truth & again) / len(truth) and (recall >= 0.9 or probes == len(centroids))
     parts = inverted.Parts({0: 5, 1: 6, 3: 40, 4: 1}, 5, 10)
     assert parts.count == 7 and [c.tolist() for c in parts.cells] == [[0], [1], [3], [3], [3], [3], [4]]
     blocks = inverted._asked(asked, cells, inverted.Parts({c: 64 for c in range(len(centroids))}, len(centroids), 64), 2, len(centroids), "embedding", False).collect()

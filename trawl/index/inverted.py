@@ -123,10 +123,10 @@ class Cells:
         d = self.away(x)
         return [r[np.isfinite(row[r])] for row, r in zip(d, np.argsort(d, axis=1, kind="stable")[:, :probes], strict=True)]
 
-    def reach(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """How far the last of the cells is that each vector looks in first."""
-        d, last = self.away(x), min(max(1, probes), len(self.centroids)) - 1
-        return np.partition(d, last, axis=1)[:, last]
+    def reach(self, x: np.ndarray, probes: int | np.ndarray) -> np.ndarray:
+        """How far the last of the ``probes`` cells is that each vector looks in first."""
+        last = np.broadcast_to(np.clip(probes, 1, len(self.centroids)) - 1, len(x))
+        return np.sort(self.away(x), axis=1)[np.arange(len(x)), last]
 
     def within(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
         """Vectors x cells: whether a cell that holds rows is within reach."""
@@ -163,7 +163,7 @@ def _mixed(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     return (((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.asarray(n, np.uint64)).astype(np.int64)
 
 
-def _asked(queries: DataFrame, cells: Cells, parts: Parts, shares: int, probes: int, vector_col: str, with_limit: bool) -> DataFrame:
+def _asked(queries: DataFrame, cells: Cells, parts: Parts, shares: int, probes: int | str, vector_col: str, with_limit: bool) -> DataFrame:
     """Blocks (part, share, ids, vectors, limits) of queries for each part of the rows that has a cell to look in: the
     ``probes`` nearest, all within the distance ``limits``; or, with a ``limit`` of their own, all that can hold a row as near."""
     sent = queries.sparkSession.sparkContext.broadcast((cells, parts))
@@ -174,7 +174,8 @@ def _asked(queries: DataFrame, cells: Cells, parts: Parts, shares: int, probes:
             for at in _runs(batch.num_rows, len(c.centroids)):
                 some = batch.slice(at.start, len(at))
                 x, sound = _unit(_matrix(some.column(1), c.centroids.shape[1]))
-                limit = some.column(2).to_numpy(zero_copy_only=False) if with_limit else c.reach(x, probes)
+                given = some.column(2).to_numpy(zero_copy_only=False) if more else probes
+                limit = given if with_limit else c.reach(x, given)
                 wanted = (c.possible(x, limit) if with_limit else c.within(x, limit)) & sound[:, None]
                 ids = some.column(0).to_numpy()
                 share = _mixed(ids, shares)
@@ -185,7 +186,8 @@ def _asked(queries: DataFrame, cells: Cells, parts: Parts, shares: int, probes:
                         if len(i):
                             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([s], pa.int32()), *(pa.array([v[i].tobytes()], pa.binary()) for v in (ids, x, limit.astype(np.float64)))], names=["part", "share", "ids", "vectors", "limits"])
 
-    columns = [F.col("query_id").cast("long"), vector_col, *(["limit"] if with_limit else [])]
+    more = ["limit"] if with_limit else [probes] if isinstance(probes, str) else []
+    columns = [F.col("query_id").cast("long"), vector_col, *more]
     return queries.where("query_id IS NOT NULL").select(*columns).mapInArrow(run, "part int, share int, ids binary, vectors binary, limits binary")
 
 
@@ -297,7 +299,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: DataFrame, cells: Cells, k: int, probes: int = 8, exact: bool = True, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, cells: Cells, k: int, probes: int | str = 8, exact: bool = True, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` nearest rows of each query, distances to nine digits, ties by id.
 
     ``rows`` are ``assigned`` ones, ``queries`` hold query_id and the vector column. Cells are
@@ -305,8 +307,8 @@ def search(rows: DataFrame, queries: DataFrame, cells: Cells, k: int, probes: in
     in one task, which compares cell by cell and keeps k rows of a query. With ``exact``, the
     ``probes`` nearest cells tell how near the k-th row is at most, and then every cell that may
     hold a row as near is read; else codes choose ``CANDIDATES`` x k rows of the nearest cells,
-    whose distances are then computed. Vectors that are null, zero, not finite or of another
-    length take no part.
+    whose distances are then computed. ``probes`` may be a column of ``queries``. Vectors that are
+    null, zero, not finite or of another length take no part.
     """
     sound, dims = rows.where(F.col("cell") >= 0), cells.centroids.shape[1]
     counts = {r["cell"]: r["count"] for r in sound.groupBy("cell").count().collect() if r["cell"] < len(cells.centroids)}
@@ -330,11 +332,16 @@ def search(rows: DataFrame, queries: DataFrame, cells: Cells, k: int, probes: in
 
 def tuned(rows: DataFrame, queries: DataFrame, cells: Cells, k: int = 10, target: float = 0.95, vector_col: str = "embedding", id_col: str = "vec_id") -> tuple[int, float]:
     """The fewest cells to look in, of 1, 2, 4, ..., with which a search by codes finds ``target`` of the true neighbours of ``queries``, a bounded sample; and the recall that was measured."""
+    sample, levels = queries.select(F.col("query_id").cast("long"), vector_col).collect(), [1]
+    while levels[-1] < len(cells.centroids):
+        levels.append(min(2 * levels[-1], len(cells.centroids)))
     truth = {(r["query_id"], r[id_col]) for r in search(rows, queries, cells, k, vector_col=vector_col, id_col=id_col).collect()}
-    probes = 1
-    while True:
-        found = {(r["query_id"], r[id_col]) for r in search(rows, queries, cells, k, probes, False, vector_col, id_col).collect()}
-        recall = len(found & truth) / len(truth) if truth else 1.0
-        if recall >= target or probes >= len(cells.centroids):
-            return probes, recall
-        probes = min(2 * probes, len(cells.centroids))
+    # a query for each number of cells, so that one search answers for all of them
+    each = [(i * len(levels) + j, r[1], n) for i, r in enumerate(sample) for j, n in enumerate(levels)]
+    kind = T.StructType([T.StructField("query_id", T.LongType()), queries.schema[vector_col], T.StructField("probes", T.LongType())])
+    found: list[set] = [set() for _ in levels]
+    for r in search(rows, rows.sparkSession.createDataFrame(each, kind), cells, k, "probes", False, vector_col, id_col).collect():
+        found[r["query_id"] % len(levels)].add((sample[r["query_id"] // len(levels)]["query_id"], r[id_col]))
+    recall = [len(f & truth) / len(truth) if truth else 1.0 for f in found]
+    at = next((i for i, r in enumerate(recall) if r >= target), len(levels) - 1)
+    return levels[at], recall[at]
