@@ -138,3 +138,23 @@ def test_all_routes_together(spark):
     found = chunk_files(rows, Options(min_tokens=1))
     assert {(r["relative_path"], r["chunk_strategy"]) for r in found.collect()} == {("a.md", "prose"), ("b.py", "ast"), ("c.yaml", "line_window")}
     assert found.groupBy("doc_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_chunks_are_handed_on_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from trawl.chunkers import router
+
+    taken = []
+    df = spark.createDataFrame([("a.md", "x")], "relative_path string, content string")
+    own = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: taken.append(f) or own(self, f, schema))
+    router.chunk_files(df)
+    texts = [f"# Part {i}\n" + "\n\n".join(f"# Head {k}\n\nSome words {k}." for k in range(90)) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}.md" for i in range(60)]), pa.array(texts)], names=["relative_path", "content"])
+    out = list(taken[0](iter([batch])))
+    want = [(f"d{i}.md", c.snippet) for i, x in enumerate(texts) for c in router.chunk_text(f"d{i}.md", x, "prose", router.Options())]
+    assert [(p, x) for b in out for p, x in zip(b.column(0).to_pylist(), b.column(7).to_pylist(), strict=True)] == want
+    assert len(want) > 3000 and max(b.num_rows for b in out) <= 1000
+    long = [*taken[0](iter([pa.RecordBatch.from_arrays([pa.array([f"q{i}.txt" for i in range(40)]), pa.array([f"word{i} " * 40_000 for i in range(40)])], names=["relative_path", "content"])]))]
+    assert max(sum(len(x) for x in b.column(7).to_pylist()) for b in long) < (1 << 21) + 4096

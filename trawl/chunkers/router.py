@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +85,10 @@ def chunk_text(path: str, text: str, route: str, opts: Options) -> Iterator[Chun
 
 _SCHEMA = "relative_path string, chunk_index int, start_line long, end_line long, start_byte long, end_byte long, chunk_type string, snippet string, symbol_name string, symbol_kind string, parent_scope string, chunk_strategy string"
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+#: Chunks, and characters of them, that are handed on at once.
+HELD, HELD_CHARACTERS = 1000, 1 << 21
+
 
 def chunk_files(files: DataFrame, opts: Options | None = None, routing: Routing | None = None, path_col: str = "relative_path", text_col: str = "content", errors: bool = False) -> DataFrame:
     """Chunks of all files, with ordinals and ids. Line windows are expressions; the other routes run in Python, file by file.
@@ -97,25 +101,38 @@ def chunk_files(files: DataFrame, opts: Options | None = None, routing: Routing
     by_python = [e for e in (*PROSE, ".dcs", *LANGUAGES) if route_of(e, routing) != "line_window"]
     special = F.lower(extension(F.col("relative_path"))).isin(by_python)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, text in zip(batch["relative_path"], batch["content"], strict=True):
-                ext = path[path.rfind(".") :]
-                name = path.replace("\\", "/")
-                try:
-                    chunks = [asdict(c) for c in chunk_text(path, text or "", route_of(ext, routing), opts)]
-                except Exception as e:
-                    if not errors:
-                        raise
-                    out.append((name, 0, *[None] * 10, f"{type(e).__name__}: {e}"))
-                    continue
-                for k, d in enumerate(chunks, 1):
-                    out.append((name, k, d["start_line"], d["end_line"], d["start_byte"], d["end_byte"], d["kind"], d["snippet"], d["symbol"], d["symbol_kind"], d["scope"], d["strategy"], None))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({x.split()[0]: "Int64" for x in schema.split(", ") if x.endswith((" long", " int"))})
-
     schema = f"{_SCHEMA}, error string"
-    made = rows.where(special).mapInPandas(run, schema) if by_python else None
+    arrow = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):  # one by one: no batch is held as Python strings
+                for row in of_file(path.as_py(), text.as_py()):
+                    held.append(row)
+                    size += len(row[7] or "")
+                    if len(held) >= HELD or size >= HELD_CHARACTERS:
+                        yield packed(held)
+                        held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    def of_file(path: str, text: str | None) -> Iterator[tuple]:
+        name = path.replace("\\", "/")
+        made = chunk_text(path, text or "", route_of(path[path.rfind(".") :], routing), opts)
+        if errors:  # a file's chunks come all or not at all
+            try:
+                made = list(made)
+            except Exception as e:
+                yield (name, 0, *[None] * 10, f"{type(e).__name__}: {e}")
+                return
+        for k, c in enumerate(made, 1):
+            yield name, k, c.start_line, c.end_line, c.start_byte, c.end_byte, c.kind, c.snippet, c.symbol, c.symbol_kind, c.scope, c.strategy, None
+
+    made = rows.where(special).mapInArrow(run, schema) if by_python else None
     windows = line_windows(rows.where(~special) if by_python else rows, window=opts.window_lines, overlap=opts.overlap_lines)
     columns = ["doc_id", *(x.split()[0] for x in _SCHEMA.split(", ")), "name", *(["error"] if errors else [])]
     windows = windows.withColumn("error", F.lit(None).cast("string"))
