@@ -347,3 +347,28 @@ def test_result_json(spark, workspace, tmp_path):
     engine.reindex(read_files(spark, str(workspace)))
     found = json.loads(result_json(engine.search("pasta", 2), SearchRequest("pasta", 2)))
     assert found["query"] == "pasta" and len(found["results"]) == 2 and "doc_id" not in found["results"][0]
+
+
+def test_hash_embedder_sums_in_order_and_hashes_a_word_once(monkeypatch):
+    import math
+    import re
+
+    import numpy as np
+    import xxhash
+
+    from trawl.index.embed import HashEmbedder
+
+    texts = ["One fish two fish, red fish é blue fish", "", "a b", "x" * 50 + " " + "ab" * 40, *["the same words again and again %d" % (k % 3) for k in range(40)]]
+    want = []
+    for text in texts:
+        v = np.zeros(16)
+        for word in re.findall(r"\w+", text.lower()):
+            for part, weight in [(word, 1.0), *((word[i : i + 3], 0.3) for i in range(len(word) - 2))]:
+                h = xxhash.xxh64_intdigest(part)
+                v[h % 16] += weight if h >> 63 else -weight
+        n = math.sqrt(float(v @ v))
+        want.append((v / n if n else v).tolist())
+    hashed, own = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x: hashed.append(x) or own(x))
+    assert HashEmbedder(16).embed(texts) == want
+    assert hashed.count("again") <= 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import time
 import urllib.error
 import urllib.request
@@ -34,22 +35,37 @@ class HashEmbedder:
         self.dims, self.profile = dims, f"hash{dims}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import re
-
-        import xxhash
-
-        out = []
+        words, parts, kinds, out = _Codes(self.dims, 2), _Codes(self.dims, 0), np.array([-0.3, 0.3, -1.0, 1.0]), []
         for text in texts:
-            v = np.zeros(self.dims)
+            codes: list[int] = []
             for word in re.findall(r"\w+", text.lower()):
-                for part, weight in [(word, 1.0), *((word[i : i + 3], 0.3) for i in range(len(word) - 2))]:
-                    h = xxhash.xxh64_intdigest(part)
-                    v[h % self.dims] += weight if h >> 63 else -weight
-            n = math.sqrt(float(v @ v))
-            out.append((v / n if n else v).tolist())
+                codes.append(words[word])
+                codes += [parts[word[i : i + 3]] for i in range(len(word) - 2)]
+            kind, at = np.divmod(np.array(codes, np.int64), self.dims)
+            x = np.bincount(at, kinds[kind], self.dims)  # added up in the order of the text
+            n = math.sqrt(float(x @ x))
+            out.append((x / n if n else x).tolist())
         return out
 
 
+class _Codes(dict):
+    """Where words or their parts count, and whether above or below zero; each is hashed once, ``MOST`` are remembered."""
+
+    MOST = 1 << 15
+
+    def __init__(self, dims: int, kind: int) -> None:
+        self.dims, self.kind = dims, kind
+
+    def __missing__(self, part: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(part)
+        code = (self.kind + (h >> 63)) * self.dims + h % self.dims
+        if len(self) < self.MOST:
+            self[part] = code
+        return code
+
+
 class ConstantEmbedder:
     """Every text to the first unit vector."""
 
