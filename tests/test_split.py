@@ -48,6 +48,21 @@ def test_ordinals_go_on_over_blocks(spark, monkeypatch):
     compared(spark, {"a.md": text}, [("a.md", k, text.encode()[k * 50 : k * 50 + 50]) for k in range(80)], window=3, overlap=1)
 
 
+def test_pieces_are_read_twice_and_cut_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    text = "\n".join(f"line {k}" for k in range(200)).encode()
+    pieces = [(f"f{i}.md", k, bytearray(text[k * 100 : k * 100 + 100])) for i in range(4) for k in range(-(-len(text) // 100))]
+    given = spark.createDataFrame(pieces, "relative_path string, piece int, content binary")
+    assert split_line_windows(given.mapInArrow(count, given.schema), window=12, overlap=4).count() == 100
+    assert len(pieces) <= seen.value <= 2 * len(pieces)
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "ws"

@@ -32,12 +32,12 @@ def _placed(pieces: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy("relative_path").orderBy("piece")
     until = before.rowsBetween(Window.unboundedPreceding, -1)
-    facts = facts.withColumns({"at": F.coalesce(F.sum("raw").over(until), F.lit(0)), "came": F.lag("last").over(before)})
-    heads = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "head"))), lambda x: x["head"]), "")
-    marked = facts.where("at < 3").groupBy("relative_path").agg(F.startswith(heads, F.lit(MARK)).alias("marked"))
-    mark = F.when(F.col("marked"), F.greatest(F.lit(0), F.least(3 - F.col("at"), F.col("raw")))).otherwise(0)
+    heads = F.concat_ws("", "head", F.lead("head", 1).over(before), F.lead("head", 2).over(before))  # a piece has a byte at least
+    facts = facts.withColumns({"at": F.coalesce(F.sum("raw").over(until), F.lit(0)), "came": F.lag("last").over(before), "heads": heads})
+    marked = F.startswith(F.first("heads").over(before), F.lit(MARK))
+    mark = F.when(marked, F.greatest(F.lit(0), F.least(3 - F.col("at"), F.col("raw")))).otherwise(0)
     drop = F.when((F.col("came") == "0D") & F.startswith("head", F.lit("0A")), 1).otherwise(0)  # the second half of a line end
-    facts = facts.join(marked, "relative_path").withColumns({"mark": mark, "drop": drop})
+    facts = facts.withColumns({"mark": mark, "drop": drop})
     facts = facts.withColumns({"size": F.col("size") - F.col("mark") - F.col("drop"), "ends": F.col("ends") - F.col("drop")})
     whole = Window.partitionBy("relative_path")
     facts = facts.select("relative_path", "piece", (F.col("mark") + F.col("drop")).alias("skip"), F.coalesce(F.sum("ends").over(until), F.lit(0)).alias("line"), F.coalesce(F.sum("size").over(until), F.lit(0)).alias("byte"), (F.sum("ends").over(whole) + 1).alias("n"))
@@ -78,8 +78,10 @@ def split_line_windows(pieces: DataFrame, window: int = 0, overlap: int = 0) ->
     step = size - over
     pieces = pieces.select("relative_path", F.col("piece").cast("long").alias("piece"), F.col("content").cast("binary").alias("content")).where(F.octet_length("content") > 0)
     slices = _slices(_placed(pieces), size, step)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("byte", "part"))), lambda x: x["part"].cast("string"))
-    met = slices.groupBy("relative_path", "at").agg(F.first("n").alias("n"), F.min("byte").alias("start_byte"), F.array_join(parts, "").alias("text"))
+    # rows and counts need the same columns of this shuffle, so that Spark takes it for both
+    met = slices.groupBy("relative_path", "at").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("byte", "part"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["part"].cast("string")), "")
+    met = met.select("relative_path", "at", "n", F.col("parts")[0]["byte"].alias("start_byte"), text.alias("text"))
     end = F.least(F.col("at") * step + size, F.col("n"))
     text = F.when(end < F.col("n"), F.expr("cast(substring(cast(text as binary), 1, octet_length(text) - 1) as string)")).otherwise(F.col("text"))
     met = met.select("relative_path", "at", (F.col("at") * step + 1).alias("start_line"), end.alias("end_line"), "start_byte", text.alias("raw"), F.make_valid_utf8(text).alias("snippet"))
