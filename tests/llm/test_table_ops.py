@@ -423,3 +423,23 @@ def test_pipeline_keeps_odd_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in docs.collect()) == [(False, 1), (True, None)]
     for _, stage in p.STAGES:
         assert stage(spark, odd.limit(0), SF).collect() == []
+
+
+def test_pipeline_mixes_to_tempered_shares(spark):
+    import corpus_pipeline as p
+
+    docs = mixable(spark).where("doc_id <> 5")
+    out = p.source_mixing(spark, docs, SF).cache()
+    assert out.columns == docs.columns
+
+    def shares(df):
+        rows = df.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum(mixing.token_weight(F.col("text"))).alias("w")).collect()
+        return {r["s"]: r["w"] / sum(x["w"] for x in rows) for r in rows}
+
+    before, after = shares(docs), shares(out)
+    total = sum(x**0.8 for x in before.values())
+    apart = lambda x: sum(abs(x.get(s, 0.0) - b**0.8 / total) for s, b in before.items()) / 2
+    assert apart(after) < 0.01 < apart(before)
+    assert out.groupBy(*docs.columns).count().where("count > 1").count() > 0
+    tokens = [df.agg(F.sum(mixing.token_weight(F.col("text")))).first()[0] for df in (docs, out)]
+    assert abs(tokens[1] / tokens[0] - 0.9) < 0.05
