@@ -443,3 +443,32 @@ def test_pipeline_mixes_to_tempered_shares(spark):
     assert out.groupBy(*docs.columns).count().where("count > 1").count() > 0
     tokens = [df.agg(F.sum(mixing.token_weight(F.col("text")))).first()[0] for df in (docs, out)]
     assert abs(tokens[1] / tokens[0] - 0.9) < 0.05
+
+
+# ---- shared tables
+
+
+def test_shared_tables_are_read_and_written_in_bounded_pieces(spark):
+    import pyarrow.parquet as pq
+
+    from trawl.llm import shared
+
+    def direct():
+        jvm = spark.sparkContext._jvm
+        kind = jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+        pools = jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(kind)
+        return sum(p.getMemoryUsed() for p in pools if p.getName() == "direct")
+
+    wide = F.concat(*[F.sha2(F.concat_ws(":", "id", F.lit(k)), 512) for k in range(8)])
+    found = shared.materialise(spark.range(0, 60_000, 1, 1).select("id", wide.alias("text")), "wide")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in found.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 60_000 and len(groups) > 1
+    assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) <= 1.1 * shared.GROUP_BYTES
+    before = direct()
+    assert found.agg(F.sum(F.length("text"))).first()[0] == 60_000 * 8 * 128
+    assert direct() - before < 4 << 20  # no buffer outside the heap as large as a row group
+    spark.conf.set(shared.VECTORED_KEY, "true")
+    shared.table(spark, SF, "documents")
+    assert spark.conf.get(shared.VECTORED_KEY) == "true"  # a session's own word holds
+    spark.conf.unset(shared.VECTORED_KEY)
