@@ -94,6 +94,21 @@ def test_vocabulary_whose_ranks_do_not_grow(spark):
     assert found["abcx"] == [300, 120] and all(found[w] == library.encode(w) for w in words)
 
 
+def test_plans_hold_no_vocabulary(docs, monkeypatch):
+    """The driver makes and keeps texts of the plan at every step of a query: the rank map in them was megabytes."""
+    spark, key = docs.sparkSession, "spark.sql.maxPlanStringLength"
+    held = spark.conf.get(key)
+    spark.conf.set(key, 100_000_000)
+    try:
+        found = byte_bpe.encode_documents(docs)
+        assert len(found._jdf.queryExecution().toString()) < 200_000
+    finally:
+        spark.conf.set(key, held)
+    whole = by_row(map(tuple, found.collect()))
+    monkeypatch.setattr(byte_bpe, "ROW_BYTES", 20)  # a word or two a row
+    assert by_row(map(tuple, byte_bpe.encode_documents(docs).collect())) == whole
+
+
 def test_fast_splitter_is_the_pattern():
     import regex
 

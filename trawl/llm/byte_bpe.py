@@ -2,8 +2,9 @@
 
 Distinct pre-tokens meet once. Spark's higher-order functions start from the array of a
 word's bytes and fold over it: each step joins the leftmost pair of lowest rank and looks
-up only the two new pairs. The rank map is a literal in the plan, laid out as a perfect
-hash of pairs of ids, because a lookup in a map literal is a scan. Words beyond
+up only the two new pairs. The rank map comes in the rows, as the arrays of a perfect hash
+of pairs of ids: a lookup in a map is a scan, and a literal is megabytes of each text of the
+plan, which the driver makes and keeps at every step of a query. Words beyond
 ``FOLD_BYTES`` bytes would fold in quadratic time; these are merged with a heap instead,
 with the same result. Decoding concatenates the binary pieces of the ids.
 """
@@ -15,7 +16,7 @@ import hashlib
 import json
 import math
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,27 +86,49 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shifts, slots
 
 
-class RankLiterals:
-    """The rank map as foldable literals: ids of bytes, ranks of byte pairs, and the hash of all pairs."""
+class RankTables:
+    """The rank map as arrays: ids of bytes, ranks of byte pairs, and the hash of all pairs. Executors send them with the words, a row for many."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        def literal(values: Iterable[int | None], kind: str) -> Column:
-            return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), f"array<{kind}>")
+    KINDS = {"byte_ids": "int", "byte_pairs": "int", "shifts": "int", "keys": "bigint", "values": "int"}
 
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         keys, found = pair_ranks(ranks)
         shifts, slots = perfect_hash(keys)
         self.slots, self.buckets = len(slots), len(shifts)
         empty = slots < 0
-        self.byte_ids = literal((ranks.get(bytes((i,))) for i in range(256)), "int")
-        self.byte_pairs = literal((ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)), "int")
-        self.shifts = literal(shifts.tolist(), "int")
         at = np.where(empty, 0, slots)
-        self.keys = literal(np.where(empty, -1, keys[at] if len(keys) else -1).tolist(), "bigint")
-        self.values = literal(np.where(empty, 0, found[at] if len(keys) else 0).tolist(), "int")
+        self.arrays = {
+            "byte_ids": pa.array([ranks.get(bytes((i,))) for i in range(256)], pa.int32()),
+            "byte_pairs": pa.array([ranks.get(bytes(divmod(i, 256))) for i in range(1 << 16)], pa.int32()),
+            "shifts": pa.array(shifts, pa.int32()),
+            "keys": pa.array(np.where(empty, -1, keys[at] if len(keys) else -1), pa.int64()),
+            "values": pa.array(np.where(empty, 0, found[at] if len(keys) else 0), pa.int32()),
+        }
         release()
 
 
-def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
+class RankColumns:
+    """The arrays of ``RankTables`` as columns of the row."""
+
+    def __init__(self, tables: RankTables) -> None:
+        self.slots, self.buckets = tables.slots, tables.buckets
+        self.byte_ids, self.byte_pairs, self.shifts, self.keys, self.values = map(F.col, tables.KINDS)
+
+
+class RankLiterals:
+    """The arrays of ``RankTables`` as foldable literals: for rows that come without them. They are megabytes of the plan."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tables = RankTables(ranks)
+
+        def literal(name: str) -> Column:
+            return F.from_json(F.lit(json.dumps(tables.arrays[name].to_pylist(), separators=(",", ":"))), f"array<{tables.KINDS[name]}>")
+
+        self.slots, self.buckets = tables.slots, tables.buckets
+        self.byte_ids, self.byte_pairs, self.shifts, self.keys, self.values = map(literal, tables.KINDS)
+
+
+def fold_merges(raw: Column, ranks: RankColumns | RankLiterals) -> Column:
     """Ids, array<int>, of a word of two bytes or more, given as ``raw``, the array<int> of its bytes."""
 
     def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -120,7 +143,7 @@ def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
         return (bits(h, 20, 0xFFFFF) + shift * bits(h, 42, 0x3FFFF).bitwiseOR(F.lit(1))).bitwiseAND(F.lit(ranks.slots - 1)).cast("int")
 
     def rank(key: Column) -> Column:
-        """The rank of a pair, null if it has none. The literals stand in the plan once: plans are kept and shown as text."""
+        """The rank of a pair, null if it has none. The arrays stand in the plan once: literals are kept and shown as text."""
         return let(let(F.xxhash64(key), slot), lambda i: F.when(F.get(ranks.keys, i) == key, F.get(ranks.values, i)))
 
     def pair(a: Column, b: Column) -> Column:
@@ -152,8 +175,16 @@ def fold_merges(raw: Column, ranks: RankLiterals) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.size(raw)), start, merge)["p"]
 
 
-def _spell(ranks: dict[bytes, int]) -> Step:
-    """The step from rows (word, places) to (places, raw, ids): the bytes to fold, or the ids of words that are pieces or too long to fold."""
+#: Bytes of words and places after which a row of words is full.
+ROW_BYTES = 1 << 21
+
+#: A row of words, with the arrays that their merges are looked up in.
+SPELT = "words array<struct<places: binary, raw: array<int>, ids: array<int>>>, " + ", ".join(f"{name} array<{kind}>" for name, kind in RankTables.KINDS.items())
+
+
+def _spell(ranks: dict[bytes, int], tables: RankTables) -> Step:
+    """The step from rows (word, places) to rows of ``SPELT``: raw are the bytes to fold; ids are given of words that are pieces or too long to fold."""
+    beside = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in tables.arrays.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +193,12 @@ def _spell(ranks: dict[bytes, int]) -> Step:
             raw = [w if i is None else b"" for w, i in zip(words, ids, strict=True)]
             ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
             spelt = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), spelt, pa.array(ids, pa.list_(pa.int32()))], names=["places", "raw", "ids"])
+            rows = pa.StructArray.from_arrays([batch.column(1), spelt, pa.array(ids, pa.list_(pa.int32()))], names=["places", "raw", "ids"])
+            weight = np.cumsum([4 * len(w) + len(p) for w, p in zip(words, batch.column(1).to_pylist(), strict=True)])
+            cuts = [*np.flatnonzero(np.diff(weight // ROW_BYTES, prepend=-1)).tolist(), len(words)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = pa.ListArray.from_arrays(pa.array([a, b], pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([own, *beside], names=["words", *tables.arrays])
 
     return run
 
@@ -180,8 +216,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_type = docs.schema[id_col].dataType
     public, pattern = pattern is None, pattern or split_pattern()
     chunks = split_words(docs, id_col, text_col, lambda: splitter(pattern, public), frequencies=False)
-    words = distinct_words(chunks, _spell(ranks), "places binary, raw array<int>, ids array<int>")
-    encoded = words.select("places", F.coalesce("ids", fold_merges(F.col("raw"), RankLiterals(ranks))).alias("ids"))
+    tables = RankTables(ranks)
+    words = distinct_words(chunks, _spell(ranks, tables), SPELT)
+    folded = F.transform("words", lambda w: F.struct(w["places"].alias("places"), F.coalesce(w["ids"], fold_merges(w["raw"], RankColumns(tables))).alias("ids")))
+    encoded = words.select(F.inline_outer(folded))  # no row is empty; from an inner one Spark infers a filter that folds again
     send, sent = sender(id_type)
     back = encoded.mapInArrow(send, sent)
     fields = [T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
