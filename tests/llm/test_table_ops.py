@@ -1,12 +1,15 @@
 """Vector links, mixing, sharding, classification and the pipeline against plain versions."""
 
 import collections
+import itertools
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from trawl.llm import cap_filters, mixing, ring, weak_labels
@@ -366,6 +369,39 @@ def test_query_equals_its_parts_in_plain_python(spark):
     assert 0 < sum(not r["kept"] for r in found) and all(r["kept"] for r in found if labels.get(r["doc_id"]) == 0)
 
 
+def test_each_text_is_parsed_once(spark):
+    """Scores come from what was counted; the result reads neither texts nor their files again."""
+    found = weak_labels.op9_weak_labels(spark, SF)
+    assert found.inputFiles() and not [x for x in found.inputFiles() if "documents.parquet" in x]
+
+
+def test_words_and_votes_of_odd_texts():
+    """Words and capitals by table, symbols only where three stand together, runs by bytes: all as by character and expression."""
+    rng = random.Random(12)
+    pools = [[chr(i) for i in range(128)], list("ab AB.\n#|é"), [*"aé—…²٣Σ \n_9AİßⅧ\x1c\x85\u3000"]]
+    insults = ["idiot", "Idiot", "so", "so", "so", "wörter", "scum!", "SO###", "a—b"]
+    for k in range(3000):
+        text = "".join(rng.choice(pools[k % 3]) * rng.choice((1, 1, 2, 3, 9)) for _ in range(rng.randrange(99))) if k % 4 else " ".join(rng.choices(insults, k=rng.randrange(60)))
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        assert weak_labels.words_of(text) == words
+        n, tokens, lines = len(words), text.count(" ") + text.count("\n") + 1, [x for x in text.split("\n") if x.strip()]
+        run = max((len(list(g)) for _, g in itertools.groupby(words)), default=0)
+        stems = collections.Counter(w[:5] for w in words if len(w) >= 5)
+        want = (
+            weak_labels._vote(len(re.findall(r"([^\w\s])\1\1", text)) / tokens, 0.05, 0.3),
+            weak_labels._vote(text.count("|") / tokens, 0.05, 0.2),
+            weak_labels._vote(sum(map(str.isupper, text)) / sum(map(len, words)), 0.25, 0.5) if n >= 10 else 1,
+            weak_labels._vote(1 - len(set(words)) / n, 0.75, 0.9) if n >= 50 else 1,
+            weak_labels._vote(run, 4, 8) if n >= 20 else 1,
+            weak_labels._vote(1 - len(set(lines)) / len(lines), 0.2, 0.6) if len(lines) >= 4 else 1,
+            weak_labels._vote(sum(w in weak_labels.INSULTS for w in words), 0, 2),
+            weak_labels.NONE,
+        )
+        terms, pattern = weak_labels._read(text)
+        assert pattern == (want if n else (weak_labels.NONE,) * 8), repr(text)
+        assert terms.tolist() == sorted({xxhash.xxh32_intdigest(w) for w in words} | {xxhash.xxh32_intdigest(s, i) for s, c in stems.items() for i in range(2, min(c, 4) + 1)})
+
+
 def test_classifier_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(i, "a fine text of words " * 5 if i % 4 else "bad### worse$$$ " * 9) for i in range(80)], "doc_id long, text string")
     found = {r["doc_id"]: r["kept"] for r in weak_labels.classify(docs, None).collect()}

@@ -13,9 +13,12 @@ labeller has seen, says at which score rejects are right. All documents are scor
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,33 +49,63 @@ KEEP, NONE, REJECT = 0, 1, 2
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"([^\w\s])\1\1")
+#: For texts as UTF-8, where bytes below 128 are characters: capitals, all of ASCII, a table that puts spaces for what is no letter, and one that puts 0 for what is no symbol (255 for 0, which is one).
+_CAPITALS, _ASCII = bytes(range(65, 91)), bytes(range(128))
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_MARKS = bytes(b or 255 if b < 128 and re.match(r"[^\w\s]", chr(b)) else 0 for b in range(256))
 
 
 def _vote(value: float, clean: float, bad: float) -> int:
     return REJECT if value >= bad else KEEP if value <= clean else NONE
 
 
-def votes(text: str, words: list[str], counts: Counter, lexicon: frozenset[int] = frozenset(), terms: np.ndarray | None = None) -> tuple[int, ...]:
-    """One vote of each labeller. ``words``: the lower-cased words of letters; ``terms``: their hashes and those of stems."""
+def _sorted(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending; sorts ``values``."""
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def _others(raw: bytes) -> str:
+    """The characters outside ASCII of a text in UTF-8."""
+    return raw.translate(None, _ASCII).decode()
+
+
+def _triples(raw: bytes) -> bool:
+    """Whether a symbol of ASCII stands three times in a row."""
+    a = np.frombuffer(raw.translate(_MARKS), np.uint8)
+    return bool(((a[2:] == a[1:-1]) & (a[1:-1] == a[:-2]) & (a[2:] != 0)).any())
+
+
+def words_of(text: str) -> list[str]:
+    """``_WORD.findall`` of the lower-cased text, by table where what stands outside ASCII are letters, as most of it is."""
+    low = text.lower()
+    raw = low.encode()
+    others = _others(raw)
+    if others and not others.isalpha():
+        return _WORD.findall(low)
+    return raw.translate(_LETTERS).decode().split()
+
+
+def votes(text: str, words: list[str], kinds: set[str], lexicon: frozenset[int] = frozenset(), terms: np.ndarray | None = None) -> tuple[int, ...]:
+    """One vote of each labeller. ``words``: the lower-cased words of letters; ``kinds``: the different ones; ``terms``: hashes of these and of stems."""
     n = len(words)
     if not n:
         return (NONE,) * len(LABELLERS)
+    raw = text.encode()
+    others = _others(raw)
     tokens = text.count(" ") + text.count("\n") + 1
+    symbols = len(_SYMBOLS.findall(text)) if others and not others.isalpha() or _triples(raw) else 0
     lines = [x for x in text.split("\n") if x.strip()]
-    capitals = sum(map(str.isupper, text)) / max(1, sum(map(len, words)))
-    longest, at = 1, 1
-    if n >= 20 and len(counts) < n:
-        for a, b in zip(words, words[1:], strict=False):
-            at = at + 1 if a == b else 1
-            longest = max(longest, at)
+    capitals = (len(raw) - len(raw.translate(None, _CAPITALS)) + sum(map(str.isupper, others))) / max(1, sum(map(len, words)))
+    longest = 1 + max(map(len, bytes(map(operator.eq, words, islice(words, 1, None))).split(b"\0"))) if n >= 20 else 1
     return (
-        _vote(len(_SYMBOLS.findall(text)) / tokens, 0.05, 0.3),
+        _vote(symbols / tokens, 0.05, 0.3),
         _vote(text.count("|") / tokens, 0.05, 0.2),
         _vote(capitals, 0.25, 0.5) if n >= 10 else NONE,
-        _vote(1 - len(counts) / n, 0.75, 0.9) if n >= 50 else NONE,
+        _vote(1 - len(kinds) / n, 0.75, 0.9) if n >= 50 else NONE,
         _vote(longest, 4, 8) if n >= 20 else NONE,
         _vote(1 - len(set(lines)) / len(lines), 0.2, 0.6) if len(lines) >= 4 else NONE,
-        _vote(sum(counts[w] for w in INSULTS), 0, 2),
+        _vote(sum(words.count(w) for w in kinds & INSULTS), 0, 2),
         _vote(len(lexicon.intersection(terms.tolist())), 0, LEXICON_HITS) if lexicon else NONE,
     )
 
@@ -81,34 +114,35 @@ def code(pattern: tuple[int, ...]) -> int:
     return sum(v * 3**k for k, v in enumerate(pattern))
 
 
-def terms_of(counts: Counter) -> np.ndarray:
+def terms_of(words: list[str], kinds: set[str]) -> np.ndarray:
     """Hashes (32 bits, sorted) of a text's words, and of word stems that occur more than once by how often they do."""
+    from xxhash import xxh32_intdigest
+
+    stems = Counter([w[:5] for w in words if len(w) >= 5])
+    names = list(map(xxh32_intdigest, kinds))
+    names += [xxh32_intdigest(s, k) for s, c in stems.items() if c > 1 for k in range(2, min(c, 4) + 1)]
+    return _sorted(np.array(names, np.uint32))
+
+
+@lru_cache(maxsize=3 ** len(LABELLERS))
+def _vote_terms(pattern: tuple[int, ...]) -> np.ndarray:
     import xxhash
 
-    stems: Counter = Counter()
-    for w, c in counts.items():
-        if len(w) >= 5:
-            stems[w[:5]] += c
-    names = [xxhash.xxh32_intdigest(w) for w in counts]
-    names += [xxhash.xxh32_intdigest(s, k) for s, c in stems.items() if c > 1 for k in range(2, min(c, 4) + 1)]
-    return np.unique(np.array(names, np.uint32))
+    return np.array([xxhash.xxh32_intdigest(f"{name}={v}", 99) for name, v in zip(LABELLERS, pattern, strict=True)], np.uint32)
 
 
 def features(terms: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
     """Numbers of the features that a text has: hashed terms and votes."""
-    import xxhash
-
-    votes_ = [xxhash.xxh32_intdigest(f"{name}={v}", 99) for name, v in zip(LABELLERS, pattern, strict=True)]
-    return np.unique(np.concatenate([terms, np.array(votes_, np.uint32)]) & np.uint32(WEIGHTS - 1)).astype(np.int32)
+    return _sorted(np.concatenate([terms, _vote_terms(pattern)]) & np.uint32(WEIGHTS - 1)).astype(np.int32)
 
 
 def _read(text: str | None, lexicon: frozenset[int] = frozenset(), hashed: bool = True) -> tuple[np.ndarray, tuple[int, ...]]:
     """The terms and votes of a text; without a lexicon terms are only hashed on request."""
     text = text or ""
-    words = _WORD.findall(text.lower())
-    counts = Counter(words)
-    terms = terms_of(counts) if lexicon or hashed else None
-    return terms, votes(text, words, counts, lexicon, terms)
+    words = words_of(text)
+    kinds = set(words)
+    terms = terms_of(words, kinds) if lexicon or hashed else None
+    return terms, votes(text, words, kinds, lexicon, terms)
 
 
 def signature(text: str | None) -> int:
@@ -223,8 +257,12 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """Votes, posterior, score and whether the text is kept."""
         terms, pattern = _read(text, self.lexicon)
-        score = _probability(self.weights, features(terms, pattern)) if len(terms) else 0.0
-        return "".join("k-r"[v] for v in pattern), self.posterior.get(code(pattern), 0.5), score, score < self.threshold
+        return self.judge(code(pattern), features(terms, pattern) if len(terms) else terms)
+
+    def judge(self, pattern: int, row: np.ndarray) -> tuple[str, float, float, bool]:
+        """The same from a text's pattern and the numbers of its features (of a text without terms: none)."""
+        score = _probability(self.weights, row) if len(row) else 0.0
+        return "".join("k-r"[pattern // 3**k % 3] for k in range(len(LABELLERS))), self.posterior.get(pattern, 0.5), score, score < self.threshold
 
 
 def _share(rows: int, wanted: int) -> int:
@@ -267,30 +305,32 @@ def _mined(curated: DataFrame) -> frozenset[int]:
     return frozenset(r["term"] for r in curated.where("half = 0").groupBy("half").applyInArrow(mine, "term long").collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Scorer:
-    """Counts vote patterns over all of ``docs``, estimates the labellers, and trains the scorer on posteriors.
-
-    ``labels`` (may be None) has the id, quality and toxic; rows with a null in either do not
-    count, and of an id's several rows the worst does. Rows are trained on by a hash of id and
-    text. Without labels (or without held-out ones of either kind) the posteriors of the
-    training rows stand for them when the threshold is set.
-    """
+def _fit(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, train_rows: int, keep: bool) -> tuple[Scorer, DataFrame]:
+    """``fit``, and per row of ``docs``: pattern, terms (where trained on) and, with ``keep``, id and features, so that scoring need not read texts again."""
     curated = _curated(docs, labels, id_col, text_col, train_rows) if labels is not None else None
     lexicon = _mined(curated) if curated is not None else frozenset()
     pick = F.pmod(F.xxhash64(id_col, text_col, F.lit(11)), F.lit(1 << 30)) < _share(docs.count(), train_rows)
+    schema = struct(pattern="integer", terms="binary")
+    if keep:
+        schema = schema.add("id", docs.schema[id_col].dataType).add("features", "binary")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, terms = [], []
+            codes, terms, rows = [], [], []
             for i in range(batch.num_rows):
                 wanted = batch.column(1)[i].as_py()
-                found, pattern = _read(batch.column(0)[i].as_py(), lexicon, wanted)
+                found, pattern = _read(batch.column(0)[i].as_py(), lexicon, wanted or keep)
                 codes.append(code(pattern))
                 terms.append(found.tobytes() if wanted else None)
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(terms, pa.binary())], names=["pattern", "terms"])
+                if keep:
+                    rows.append(features(found, pattern).tobytes() if len(found) else b"")
+            columns = [pa.array(codes, pa.int32()), pa.array(terms, pa.binary())]
+            if keep:
+                columns += [batch.column(2), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         release()
 
-    known = materialise(docs.select(text_col, pick).mapInArrow(vote, "pattern int, terms binary"), "votes")
+    known = materialise(docs.select(text_col, pick, *[id_col] * keep).mapInArrow(vote, schema), "votes")
     counts = {r["pattern"]: r["count"] for r in known.groupBy("pattern").count().collect()}  # 3 ** labellers rows at most
     _, _, posterior = estimate(counts, len(LABELLERS))
     rows = known.where("terms IS NOT NULL").select(F.lit(1).alias("one"), "pattern", "terms", F.lit(None).cast("int").alias("bad"))
@@ -325,7 +365,18 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
     learnt = rows.groupBy("one").applyInArrow(learn, "weights binary, threshold double").collect()
     weights = np.frombuffer(learnt[0]["weights"], np.float32) if learnt else np.zeros(WEIGHTS + 1, np.float32)
-    return Scorer(weights, learnt[0]["threshold"] if learnt else NEVER, lexicon, posterior)
+    return Scorer(weights, learnt[0]["threshold"] if learnt else NEVER, lexicon, posterior), known
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Scorer:
+    """Counts vote patterns over all of ``docs``, estimates the labellers, and trains the scorer on posteriors.
+
+    ``labels`` (may be None) has the id, quality and toxic; rows with a null in either do not
+    count, and of an id's several rows the worst does. Rows are trained on by a hash of id and
+    text. Without labels (or without held-out ones of either kind) the posteriors of the
+    training rows stand for them when the threshold is set.
+    """
+    return _fit(docs, labels, id_col, text_col, train_rows, False)[0]
 
 
 def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -334,17 +385,17 @@ def classify(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
     A null or empty text has no votes and is kept. Null and repeated ids keep their rows; an
     empty table gives an empty result.
     """
-    scorer = fit(docs, labels, id_col, text_col, train_rows)
+    scorer, known = _fit(docs, labels, id_col, text_col, train_rows, True)
     schema = T.StructType([docs.schema[id_col], *struct(votes="string", posterior="double", score="double", kept="boolean").fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scorer(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
+            found = [scorer.judge(p, np.frombuffer(row, np.int32)) for p, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
         release()
 
-    return docs.select(id_col, text_col).mapInArrow(score, schema)
+    return known.select("id", "pattern", "features").mapInArrow(score, schema)
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
